@@ -26,9 +26,52 @@ def op8_tiktoken_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparquill.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op4_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparquill.llm.warc import read_archives, write_archives
+
+    return read_archives(write_archives(table(spark, sf_dir, "pages")))
+
+
+def op7_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparquill.llm.token_cache import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=1024)
+
+
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparquill.llm.media_store import media_columns
+
+    return media_columns(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
+ORACLE_SQL = {
+    "op4_warc_dictionary": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS payload FROM pages
+        ), d AS (
+            SELECT page_id, octet_length(encode(payload)) AS payload_bytes, sha256(payload) AS payload_digest FROM p
+        ), f AS (
+            SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d
+        )
+        SELECT page_id,
+               CAST(payload_bytes AS BIGINT) AS payload_bytes,
+               payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+        FROM f
+    """,
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE_SQL)
