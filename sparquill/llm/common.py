@@ -64,6 +64,20 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[Batch]], Iterable[Batch]],
     return df.mapInArrow(run, kind)
 
 
+def filter_batches(docs: DataFrame, text: str, start: Callable[[], Callable[[list], list[bool]]], rows: int = ROWS_AT_ONCE) -> DataFrame:
+    """The rows of docs, all columns, that a test of the text's bytes keeps; start() makes the test, once a task."""
+    asked = docs.withColumn(text, F.col(text).cast("string").cast("binary"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = start()
+        for b in batches:
+            for at in range(0, b.num_rows, rows):
+                part = b.slice(at, rows)
+                yield part.filter(pa.array(keep(part.column(text).to_pylist()), pa.bool_()))
+
+    return asked.mapInArrow(run, asked.schema).withColumn(text, F.col(text).cast("string"))
+
+
 def crc32_of(col: Column | str) -> Column:
     """crc32 of a value's decimal text, as a long."""
     c = F.col(col) if isinstance(col, str) else col

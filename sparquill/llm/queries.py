@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sparquill.llm.common import crc32_of
 from sparquill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +28,18 @@ def op8_tiktoken_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op1_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparquill.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op2_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparquill.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparquill.llm.packing import pack_documents
 
@@ -38,6 +52,21 @@ def op4_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(write_archives(table(spark, sf_dir, "pages")))
 
 
+def op5_pseudo_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparquill.llm.pseudo_lm import pseudo_likelihood
+
+    return pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparquill.llm.langid import predict, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs.where(crc32_of("doc_id") % 4 != 2))
+    held = F.coalesce(crc32_of("doc_id") % 4 == 2, F.lit(False)).alias("held_out")
+    return predict(docs, model).select("doc_id", held, "lang_pred", "score")
+
+
 def op7_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparquill.llm.token_cache import count_tokens
 
@@ -50,11 +79,36 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparquill.llm.toxicity import score, train
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = train(docs, labels.where(crc32_of("doc_id") % 5 != 0))
+    held = F.coalesce(crc32_of("doc_id") % 5 == 0, F.lit(False)).alias("held_out")
+    return score(docs, model).select("doc_id", held, "score", "predicted")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 ORACLE_SQL = {
+    "op1_maxscore_topk": """
+        WITH e AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+            FROM e q JOIN e c ON q.vec_id <> c.vec_id
+            WHERE q.vec_id % 100 = 0
+        ), r AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+            FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+    """,
     "op4_warc_dictionary": """
         WITH p AS (
             SELECT page_id, coalesce(html, '') AS payload FROM pages
