@@ -234,7 +234,7 @@ class Tagger:
     def _rows(self, docs: list[list[str]], total: int) -> np.ndarray:
         row = self.row
         wanted = set().union(*docs)
-        missing = wanted - row.keys()
+        missing = {w for w in wanted if w not in row}
         if len(row) + len(missing) > self.most:
             row.clear()
             missing = wanted
