@@ -13,7 +13,7 @@ chain of such bins. What stays unfilled is the open bins of the last round and t
 gaps that no piece fitted.
 
 Tokens equal the library's: the vocabulary drops white space between words, so a
-text's ids are the concatenation of its words' ids and each task keeps a bounded
+text's ids are the concatenation of its words' ids and each worker keeps a bounded
 table of words it has met.
 
 Defined results: null and empty texts are one piece holding the end id alone;
@@ -23,15 +23,17 @@ ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparquill.llm.common import Batch, ByMiss, map_batches, store, text_bytes
+from sparquill.llm.common import Batch, map_batches, store, text_bytes
 from sparquill.llm.token_cache import load_tokenizer
 
 CAPACITY = 4096
@@ -88,11 +90,97 @@ class BestFit:
                 yield b, self.capacity - free
 
 
-def word_ids(tokenizer_file: str):
-    """bytes of a text -> its ids as little-endian unsigned 32-bit bytes."""
-    t = load_tokenizer(tokenizer_file)
-    known = ByMiss(lambda word: np.asarray(t.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes())
-    return lambda raw: b"".join(map(known.__getitem__, raw.split()))
+#: Latin letters, then at most one run of punctuation: one or two pre-tokens, whatever surrounds them.
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?]*)")
+
+
+_STOP = re.compile(rb"[.,](?<=[a-z][.,])(?=[ \n])")
+
+
+def _plainer(raw: bytes) -> bytes:
+    """The text with the same ids and fewer different words.
+
+    ASCII letters are lower-cased, as the vocabulary does anyway, and a full stop or
+    comma between a letter and white space, a pre-token of its own, is set apart.
+    Texts that may hold special strings stay as they are.
+    """
+    return raw if b"<|" in raw else _STOP.sub(rb" \g<0>", raw.lower())
+
+
+class WordIds:
+    """bytes of a text -> its ids as little-endian unsigned 32-bit bytes.
+
+    A bounded table of words is shared by the texts of a worker. Plain words it lacks
+    are encoded many at a time and told apart by the ids that end a pre-token, others
+    one at a time.
+    """
+
+    def __init__(self, tokenizer_file: str, most: int = 1_000_000, suffix: str = "</w>"):
+        self.tokenizer, self.most = load_tokenizer(tokenizer_file), most
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.known: dict[bytes, bytes] = {}
+
+    def __call__(self, raws: Iterable[bytes], at_once: int = 100_000) -> Iterator[bytes]:
+        """Ids of each text; words are learnt for many texts together, a long text's in parts."""
+        held: list[list[bytes]] = []
+        n = 0
+        for raw in raws:
+            words = _plainer(raw).split()
+            if len(words) > at_once:
+                yield from self._texts(held)
+                held, n = [], 0
+                yield b"".join(next(self._texts([words[s : s + at_once]])) for s in range(0, len(words), at_once))
+                continue
+            held.append(words)
+            n += len(words)
+            if n >= at_once:
+                yield from self._texts(held)
+                held, n = [], 0
+        yield from self._texts(held)
+
+    def _texts(self, texts: list[list[bytes]]) -> Iterator[bytes]:
+        known = self.known
+        wanted = set().union(*texts)
+        missing = {w for w in wanted if w not in known}
+        if len(known) + len(missing) > self.most:
+            known.clear()
+            missing = wanted
+        if missing:
+            self._learn(missing)
+        for words in texts:
+            yield b"".join(map(known.__getitem__, words))
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: set[bytes]) -> None:
+        plain, texts, parts, odd = [], [], [], []
+        for w in words:
+            text = w.decode("utf-8", "replace")
+            if m := _PLAIN.fullmatch(text):
+                plain.append(w)
+                texts.append(text)
+                parts.append(2 if m[1] else 1)
+            else:
+                odd.append((w, text))
+        for (w, _), ids in zip(odd, self._encode([text for _, text in odd]), strict=True):
+            self.known[w] = ids.tobytes()
+        groups = range(0, len(plain), 1024)
+        for s, ids in zip(groups, self._encode([" ".join(texts[s : s + 1024]) for s in groups]), strict=True):
+            last = np.flatnonzero(self.ends[ids])[np.cumsum(parts[s : s + 1024]) - 1] + 1
+            data, at = ids.tobytes(), 0
+            for w, end in zip(plain[s : s + 1024], (4 * last).tolist(), strict=True):
+                self.known[w] = data[at:end]
+                at = end
+            if at != len(data):
+                raise RuntimeError("words and ids don't match")
+
+
+@lru_cache(maxsize=2)
+def word_ids(tokenizer_file: str) -> WordIds:
+    return WordIds(tokenizer_file)
 
 
 def _first_bin() -> int:
@@ -109,8 +197,8 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACIT
         names = [c.split()[0] for c in _ROWS.split(", ")]
         for b in batches:
             rows = []
-            for doc, raw in zip(b["k"], b["t"], strict=True):
-                ids = ids_of(raw) + end
+            for doc, ids in zip(b["k"], ids_of(b["t"]), strict=True):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((0, doc, piece, at // 4, len(part) // 4, zlib.crc32(part), *packer.place(len(part) // 4)))
