@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
-def local_session(cpus: int = 8, shuffle_partitions: int = 8) -> SparkSession:
+def local_session(cpus: int = 8, shuffle_partitions: int = 8, checkpoint_dir: str | None = None) -> SparkSession:
     """A local session for tests and the bench."""
+    conf = {"spark.checkpoint.dir": checkpoint_dir} if checkpoint_dir else {}
     return (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("sparquill")
@@ -19,6 +20,7 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("SPARQUILL_DRIVER_MEMORY", "12g"))
+        .config(map=conf)
         .getOrCreate()
     )
 
