@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 from typing import Any
 
 import pyarrow as pa
@@ -24,9 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
-    made = "file://" + tempfile.mkdtemp(prefix="sparquill-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return _own_dir(spark.sparkContext.applicationId)
+
+
+@lru_cache(maxsize=8)
+def _own_dir(_application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="sparquill-")
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:

@@ -159,6 +159,8 @@ def _seed(ids: np.ndarray, x: np.ndarray, k: int, rows: int) -> np.ndarray:
     found = np.full(len(x), -np.inf, x.dtype if x.dtype == object else np.float64)
     for at in range(0, len(x), 512):
         s = (x[at : at + 512] @ y.T).astype(found.dtype)
+        if s.dtype == object:
+            s = _saturated(s)
         s[ids[at : at + 512, None] == other[None, :]] = -np.inf
         if s.shape[1] >= k:
             found[at : at + 512] = np.sort(s, axis=1)[:, -k] if s.dtype == object else np.partition(s, -k, axis=1)[:, -k]
@@ -169,6 +171,11 @@ def _to_long(x) -> int:
     return max(-(1 << 63), min((1 << 63) - 1, int(x)))
 
 
+def _saturated(scores: np.ndarray) -> np.ndarray:
+    """Python integers within the long range, so that what saturates ties everywhere alike."""
+    return np.frompyfunc(_to_long, 1, 1)(scores).astype(object)
+
+
 def _search(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, scale: int, block: int, seed_rows: int) -> DataFrame:
     """Every shard's candidates for one block of queries."""
     exact = _exactly(queries, queries)[0]
@@ -184,6 +191,8 @@ def _search(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, sc
             lists = Lists(x)
             for i in range(len(ids)):
                 at, scores = search_block(lists, q[i], best.thresholds[i])
+                if scores.dtype == object:
+                    scores = _saturated(scores)
                 other = names[at] != ids[i]
                 best.add(i, scores[other], names[at][other])
         for i in range(len(ids)):

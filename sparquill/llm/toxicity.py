@@ -8,7 +8,7 @@ isn't taken for an offence. The chain (`fit_chain`) then learns, by likelihood w
 forward-backward gradients, what marks a token (the word, its beginnings and ending,
 its neighbours) and how marks follow each other. A Tagger gives each token its
 marginal probability; a document's score is a logistic function, fitted on the
-training documents, of the largest marginal, their sum and the length, and its
+training documents, of the largest marginal and the sum of all but slight ones, and its
 offending spans are the runs of tokens above one half.
 
 Training reads a bounded sample: at most `toxic_docs` and `clean_docs` labelled
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
@@ -64,8 +65,8 @@ class Model:
     #: log potentials of (from, to), 0 clean and 1 marked
     transition: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     bias: float = -4.0
-    #: of the score: weights of (largest marginal's logit, log of their sum, log of length) and a constant
-    score: np.ndarray = field(default_factory=lambda: np.zeros(4))
+    #: of the score: weights of (largest marginal's logit, log of the sum of those from 0.02) and a constant
+    score: np.ndarray = field(default_factory=lambda: np.zeros(3))
     constant: float | None = 0.0
 
     def word(self, word: str) -> tuple[float, float, float]:
@@ -91,27 +92,30 @@ def label_tokens(docs: list[list[str]], toxic: np.ndarray, least: int = 5, preci
     """
     seen = [sketches(words) for words in docs]
     base = max(len({s for s, y in zip(seen, toxic, strict=True) if y}), 1) / max(len(set(seen)), 1)
-    has: dict[str, list[int]] = {}
-    by_word: dict[str, list[int]] = {}
-    for i, words in enumerate(docs):
-        for w in set(words):
-            by_word.setdefault(w, []).append(i)
-    for w, at in by_word.items():
-        for f in parts(w):
-            has.setdefault(f, []).extend(at)
     chosen: set[str] = set()
-    for f, at in has.items():
-        hit = {i for i in at if toxic[i]}
-        if len(hit) < least:
-            continue
-        a = min(len({seen[i][side] for i in hit}) for side in (0, 1))
-        b = len({seen[i][0] for i in at if not toxic[i]})
-        if a < least or a < precision * (a + b):
-            continue
-        # the binomial tail's largest term bounds it closely enough here
-        log_chance = lgamma(a + b + 1) - lgamma(a + 1) - lgamma(b + 1) + a * log(base) + b * log(max(1 - base, 1e-9))
-        if log_chance + log(len(has)) < log(chance):
-            chosen.add(f)
+    for cut in (None, *BEGINNINGS):  # one length at a time keeps the tables small
+        name = (lambda w: "=" + w) if cut is None else (lambda w, n=cut: "^" + w[:n])
+        of_doc = lambda words, n=cut or 1, name=name: {name(w) for w in set(words) if len(w) >= n}
+        hits = Counter(f for words, y in zip(docs, toxic, strict=True) if y for f in of_doc(words))
+        groups: dict[str, list[set[int]]] = {f: [set(), set(), set()] for f, n in hits.items() if n >= least}
+        features = len(hits)
+        del hits
+        for words, y, (low, high) in zip(docs, toxic, seen, strict=True):
+            for f in of_doc(words):
+                if found := groups.get(f):
+                    if y:
+                        found[0].add(low)
+                        found[1].add(high)
+                    else:
+                        found[2].add(low)
+        for f, (low, high, clean) in groups.items():
+            a, b = min(len(low), len(high)), len(clean)
+            if a < least or a < precision * (a + b):
+                continue
+            # the binomial tail's largest term bounds it closely enough here
+            log_chance = lgamma(a + b + 1) - lgamma(a + 1) - lgamma(b + 1) + a * log(base) + b * log(max(1 - base, 1e-9))
+            if log_chance + log(features) < log(chance):
+                chosen.add(f)
     return chosen
 
 
@@ -172,27 +176,28 @@ def _pairs(forward: np.ndarray, backward: np.ndarray, emission: np.ndarray, fill
 def fit_chain(docs: list[list[str]], marks: list[np.ndarray], model: Model, epochs: int = 6, rate: float = 0.3, decay: float = 1e-4, batch: int = 256, seed: int = 7) -> None:
     """Fit weights, bias and transitions by AdaGrad on the chains' likelihood."""
     number: dict[str, int] = {}
-    ids = [np.asarray([number.setdefault(w, len(number)) for w in words], np.int64) for words in docs]
-    slots = [_slots(w) for w in number]
-    most = max(map(len, slots), default=2)
-    own = np.full((len(slots), most - 2), DIM, np.int64)
-    for i, s in enumerate(slots):
-        own[i, : len(s) - 2] = s[:-2]
-    side = np.asarray([s[-2:] for s in slots], np.int64).reshape(-1, 2)
-    feats = []  # per document (tokens, features), DIM standing for none
-    for x in ids:
-        f = np.full((len(x), most), DIM, np.int64)
-        if len(x):
-            f[:, : most - 2] = own[x]
-            f[1:, most - 2] = side[x[:-1], 0]
-            f[:-1, most - 1] = side[x[1:], 1]
-        feats.append(f)
-    lengths = [len(x) for x in ids]
+    lengths = [len(words) for words in docs]
     if not sum(lengths):
         return
-    feature, gold = np.concatenate(feats), np.concatenate(marks).astype(float)
+    ids = np.fromiter((number.setdefault(w, len(number)) for words in docs for w in words), np.int32, sum(lengths))
+    gold = np.concatenate(marks)
+    first = np.zeros(len(ids) + 1, bool)  # a document's first token, and the end
+    first[np.cumsum([0, *lengths])] = True
+    most = len(BEGINNINGS) + 2
+    own = np.full((len(number), most), DIM, np.int32)  # DIM stands for none
+    side = np.empty((len(number), 2), np.int32)
+    for i, w in enumerate(number):
+        *mine, side[i, 0], side[i, 1] = _slots(w)
+        own[i, : len(mine)] = mine
+    del number
+
+    def features(at: np.ndarray) -> np.ndarray:
+        before = np.where(first[at], DIM, side[ids[at - 1], 0])
+        after = np.where(first[at + 1], DIM, side[ids[np.minimum(at + 1, len(ids) - 1)], 1])
+        return np.concatenate([own[ids[at]], before[..., None], after[..., None]], axis=-1)
+
     at, filled = windows(lengths)
-    marked = (gold[at] * filled).any(axis=1)
+    marked = (gold[at] & filled).any(axis=1)
     rng = np.random.default_rng(seed)
     clean = np.flatnonzero(~marked)
     chosen = np.concatenate([np.flatnonzero(marked), rng.permutation(clean)[: max(500, 3 * int(marked.sum()))]])
@@ -203,12 +208,12 @@ def fit_chain(docs: list[list[str]], marks: list[np.ndarray], model: Model, epoc
         for s in range(0, len(order), batch):
             rows = order[s : s + batch]
             a, ok = at[rows], filled[rows]
-            f = feature[a]
+            f = features(a)
             w[DIM] = 0.0
             emission = w[f].sum(axis=2) + extra[0]
             transition = extra[1:].reshape(2, 2)
             p, alpha, beta, _ = forward_backward(emission, ok, transition)
-            y = gold[a]
+            y = gold[a].astype(float)
             error = (y - p) * ok / len(rows)
             grad = np.bincount(f.ravel(), weights=np.repeat(error.ravel(), f.shape[2]), minlength=DIM + 1) - decay * w
             moved = np.flatnonzero(grad)
@@ -268,9 +273,10 @@ class Tagger:
 
 
 def summary(p: np.ndarray) -> np.ndarray:
-    """What a document's score is made of."""
+    """What a document's score is made of. Marginals below 0.02 stay out of the sum, so that length alone
+    adds up to nothing."""
     top = min(max(float(p.max()) if len(p) else 0.0, 1e-6), 1 - 1e-6)
-    return np.asarray([np.log(top / (1 - top)), np.log(1e-3 + float(p.sum())), np.log1p(len(p)), 1.0])
+    return np.asarray([np.log(top / (1 - top)), np.log(1e-2 + float(p[p >= 0.02].sum())), 1.0])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, decay: float = 1.0, steps: int = 50) -> np.ndarray:
@@ -293,7 +299,8 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     if not len(y) or y.min() == y.max():
         model.constant = float(y[0]) if len(y) else 0.0
         return model
-    docs = [WORD.findall(t.lower()) for t in texts]
+    same: dict[str, str] = {}
+    docs = [[same.setdefault(w, w) for w in WORD.findall(t.lower())] for t in texts]
     offence = label_tokens(docs, y)
     known = ByMiss(lambda w: any(f in offence for f in parts(w)))
     marks = [np.fromiter((known[w] for w in words), bool, len(words)) if y[i] else np.zeros(len(words), bool) for i, words in enumerate(docs)]
