@@ -34,9 +34,18 @@ def _bigrams(run: Column) -> Column:
 
 def index_tokens(col: ColumnLike) -> Column:
     """ASCII words and two-grams of CJK runs, distinct, in order. White space doesn't end a run; anything else does."""
-    found = F.regexp_extract_all(text_or_empty(col), F.lit(f"{WORD}|[{CJK}](?:\\s*[{CJK}])*"), F.lit(0))
+    t = text_or_empty(col)
+    found = F.regexp_extract_all(t, F.lit(f"{WORD}|[{CJK}](?:\\s*[{CJK}])*"), F.lit(0))
     each = F.transform(found, lambda p: F.when(p.rlike("^[A-Za-z0-9_]"), F.array(F.lower(p))).otherwise(_bigrams(F.regexp_replace(p, "\\s+", ""))))
-    return F.array_distinct(F.flatten(each))
+    # texts without such runs, most of them, take the short way
+    return F.when(t.rlike(f"[{CJK}]"), F.array_distinct(F.flatten(each))).otherwise(ascii_tokens(t))
+
+
+def index_terms(col: ColumnLike) -> Column:
+    """index_tokens as the index holds them: split at underscores, so a term may repeat."""
+    tokens = index_tokens(col)
+    split = F.filter(F.flatten(F.transform(tokens, lambda t: F.split(t, "_"))), lambda t: t != "")
+    return F.when(F.contains(text_or_empty(col), F.lit("_")), split).otherwise(tokens)
 
 
 def folded_tokens(col: ColumnLike) -> Column:
@@ -106,7 +115,7 @@ def strip_inline(col: ColumnLike) -> Column:
 def sentences(col: ColumnLike) -> Column:
     """Split after ., !, ? and their full-width forms where white space follows; blanks dropped."""
     parts = F.split(text_or_empty(col), "(?<=[.!?。！？])\\s+")
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda s: s != "")
 
 
 def matching_sentences(col: ColumnLike, pattern: str, most: int) -> Column:

@@ -1,6 +1,6 @@
 """Ranked, auditable search over evidence nodes.
 
-The index is two tables: postings(token, node_id, tf) and node_stats(node_id, dl).
+The index is two tables: postings(token, node_id) and node_stats(node_id, dl).
 A search filters postings to the query's few tokens first, so that what is joined
 and aggregated is the postings of those tokens, never the texts. Corpus statistics
 (N, df, mean length) are over all nodes, whatever a search filters by.
@@ -46,66 +46,69 @@ def query_tokens(text: str) -> list[str]:
 
 
 def postings(nodes: DataFrame, text: Column, key: str = "node_id") -> DataFrame:
-    """(token, node_id, tf) of distinct tokens; write it bucketed or sorted by token to prune later reads."""
-    return nodes.select(F.col(key).alias("node_id"), F.explode(X.index_tokens(text)).alias("token")).select("token", "node_id", F.lit(1).alias("tf"))
+    """(token, node_id), a row per occurrence; write it bucketed or sorted by token to prune later reads."""
+    return nodes.select(F.explode(X.index_terms(text)).alias("token"), F.col(key).alias("node_id"))
 
 
 def node_stats(nodes: DataFrame, text: Column, key: str = "node_id") -> DataFrame:
-    """(node_id, dl): dl counts distinct tokens, as the index stores them."""
-    return nodes.select(F.col(key).alias("node_id"), F.size(X.index_tokens(text)).alias("dl"))
+    """(node_id, dl)."""
+    return nodes.select(F.col(key).alias("node_id"), F.size(X.index_terms(text)).alias("dl"))
+
+
+def _frequency(terms: Column, token: str) -> Column:
+    """How often a query token occurs; one with underscores is a phrase of adjacent terms."""
+    parts = [p for p in token.split("_") if p]
+    if not parts:
+        return F.lit(0)
+    if len(parts) == 1:
+        return F.when(F.array_contains(terms, parts[0]), F.size(F.filter(terms, lambda t: t == parts[0]))).otherwise(0)
+    at = lambda i: reduce(lambda a, b: a & b, [F.try_element_at(terms, i + k) == p for k, p in enumerate(parts)])
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(terms), F.lit(1))), lambda i: F.coalesce(at(i), F.lit(False)))
+    return F.when(reduce(lambda a, b: a & b, [F.array_contains(terms, p) for p in parts]), F.size(places)).otherwise(0)
 
 
 def bm25(indexed: DataFrame, terms: list[str], mode: str = "or", require: list[str] | None = None) -> DataFrame:
     """(node_id, score) of nodes that match.
 
-    indexed: (node_id, tokens array), one row per node. A term listed as required
-    and as query term counts twice. mode 'and' asks for every term.
+    indexed: (node_id, tokens array of index terms), one row per node. A term listed
+    as required and as query term counts twice. mode 'and' asks for every term.
     """
     ask = terms[:MOST_TERMS]
     must = list(dict.fromkeys(require or []))[:MOST_REQUIRED]
     wanted = list(dict.fromkeys([*ask, *must]))
     if not ask:
         return indexed.select("node_id", F.lit(0.0).alias("score")).where(F.lit(False))
-    # one pass: matched terms and length per node; texts don't travel further
-    has = indexed.select("node_id", F.size("tokens").alias("dl"), F.array_intersect("tokens", F.array(*map(F.lit, wanted))).alias("hit"))
-    totals = has.agg(
-        F.count("*").alias("n_nodes"),
-        F.avg("dl").alias("mean"),
-        *[F.sum(F.array_contains("hit", t).cast("long")).alias(f"df{i}") for i, t in enumerate(wanted)],
-    )
-    both = has.where(F.size("hit") > 0).crossJoin(F.broadcast(totals))  # one row
+    # Frequencies and length per node; texts don't travel further. The rows, a few numbers each, are
+    # dealt once and read twice (statistics, scores), so that texts are tokenized once: the condition
+    # below names the statistics, which keeps it above the exchange and the exchange the same for both.
+    has = indexed.where("node_id is not null").select("node_id", F.size("tokens").alias("dl"), *[_frequency(F.col("tokens"), t).alias(f"f{i}") for i, t in enumerate(wanted)]).repartition("node_id")
+    totals = has.agg(F.count("*").alias("n_nodes"), F.avg("dl").alias("mean"), *[F.sum((F.col(f"f{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(wanted))])
+    hit = [F.col(f"f{i}") > 0 for i in range(len(wanted))]
+    some = lambda words: reduce(lambda a, b: a | b, [hit[wanted.index(t)] for t in words])
+    every = lambda words: reduce(lambda a, b: a & b, [hit[wanted.index(t)] for t in words], F.lit(True))
+    kept = every([*must, *ask]) if mode == "and" else every(must) & some(ask)
+    both = has.crossJoin(F.broadcast(totals)).where(F.when(F.col("n_nodes") > 0, kept))  # one row
     n = F.col("n_nodes").cast("double")
     length = F.lit(K1) * (1 - B + B * F.col("dl") / F.col("mean"))
 
     def part(i: int, times: int) -> Column:
-        df = F.col(f"df{i}").cast("double")
+        df, f = F.col(f"df{i}").cast("double"), F.col(f"f{i}").cast("double")
         idf = F.ln((n - df + 0.5) / (df + 0.5))
-        weight = F.when(idf > 0, idf).otherwise(F.lit(FLOOR))
-        return F.when(F.array_contains("hit", wanted[i]), weight * (K1 + 1) / (1 + length) * times).otherwise(0.0)
+        return F.when(idf > 0, idf).otherwise(F.lit(FLOOR)) * f * (K1 + 1) / (f + length) * times
 
-    times = [(t in ask) + (t in must) for t in wanted]
-    score = reduce(lambda a, b: a + b, [part(i, k) for i, k in enumerate(times)])
-    needed = list(dict.fromkeys([*must, *ask])) if mode == "and" else must
-    kept = F.lit(True)
-    if needed:
-        kept = F.size(F.array_intersect("hit", F.array(*map(F.lit, needed)))) == len(needed)
-    if mode != "and":
-        kept = kept & F.arrays_overlap("hit", F.array(*map(F.lit, ask)))
-    return both.where(kept).select("node_id", score.alias("score"))
+    return both.select("node_id", reduce(lambda a, b: a + b, [part(i, (t in ask) + (t in must)) for i, t in enumerate(wanted)]).alias("score"))
 
 
 def bm25_from_postings(post: DataFrame, stats: DataFrame, terms: list[str]) -> DataFrame:
-    """The same ranking from stored postings: only the terms' lists are read."""
-    ask = terms[:MOST_TERMS]
-    lists = post.where(F.col("token").isin(ask))
-    df = lists.groupBy("token").agg(F.countDistinct("node_id").alias("df"))  # a row per term
+    """The same ranking of single terms from stored postings: only the terms' lists are read."""
+    lists = post.where(F.col("token").isin(terms[:MOST_TERMS])).groupBy("token", "node_id").agg(F.count("*").cast("double").alias("f"))
+    df = lists.groupBy("token").agg(F.count("*").alias("df"))  # a row per term
     totals = stats.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("mean"))
     idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.when(idf > 0, idf).otherwise(F.lit(FLOOR))
     joined = lists.join(F.broadcast(df), "token").join(stats, "node_id").crossJoin(F.broadcast(totals))
-    f = F.col("tf").cast("double")
     length = F.lit(K1) * (1 - B + B * F.col("dl") / F.col("mean"))
-    return joined.groupBy("node_id").agg(F.sum(weight * f * (K1 + 1) / (f + length)).alias("score"))
+    return joined.groupBy("node_id").agg(F.sum(weight * F.col("f") * (K1 + 1) / (F.col("f") + length)).alias("score"))
 
 
 def like_scan(nodes: DataFrame, terms: list[str], content: str = "content") -> DataFrame:
@@ -124,7 +127,7 @@ def search_nodes(nodes: DataFrame, query: str, top_k: int, *, mode: str = "or",
     """
     terms = query_tokens(query)
     must = [t for r in require or [] for t in query_tokens(r)]
-    indexed = nodes.select("node_id", X.index_tokens("content").alias("tokens"))
+    indexed = nodes.select("node_id", X.index_terms("content").alias("tokens"))
     scored = bm25(indexed, terms, mode, must)
     eligible = nodes if where is None else nodes.where(where)
     if scope is not None:

@@ -126,7 +126,7 @@ def planned_figures(plans: DataFrame, key: str = "ws", text: str = "text") -> Da
     lines = plans.select(key, F.posexplode(F.split(text, "\n")).alias("line", "s"))
     w = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at = F.last(F.when(F.col("s").rlike("^#{1,6}\\s"), F.lower(F.trim(F.regexp_replace("s", "^#+", "")))), ignorenulls=True).over(w)
-    cells = F.transform(F.split(F.regexp_replace(F.trim("s"), "^\\||\\|$", ""), "\\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace(F.trim("s"), "^\\||\\|$", ""), "\\|"), lambda x: F.trim(x))
     rows = lines.withColumn("__at", at).where((F.col("__at") == "figures") & F.trim("s").startswith("|")).withColumn("__cells", cells)
     return rows.where(F.element_at("__cells", 1).rlike("^F")).select(key, F.element_at("__cells", 1).alias("figure"), F.col("__cells").alias("row"))
 

@@ -18,28 +18,26 @@ REQUIRE = ["the"]
 _TOKENS = "list_distinct(list_transform(regexp_extract_all({col}, '[A-Za-z0-9_]+'), lambda x: lower(x)))"
 
 
-def _list(words: list[str]) -> str:
-    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
-
-
 def _bm25_sql(terms: list[str], condition: str = "TRUE", require: list[str] | None = None, mode: str = "or", top: int = 20, extra: str = "TRUE") -> str:
     require = require or []
     every = list(dict.fromkeys([*terms, *require]))
     weight = {t: (t in terms) + (t in require) for t in every}
     needed = every if mode == "and" else require
     parts = " + ".join(
-        f"CASE WHEN list_contains(tokens, '{t}') THEN CASE WHEN ln((n - df{i} + 0.5) / (df{i} + 0.5)) > 0 THEN ln((n - df{i} + 0.5) / (df{i} + 0.5)) ELSE 1e-6 END * 2.2 / (1 + 1.2 * (0.25 + 0.75 * dl / mean)) * {weight[t]} ELSE 0 END"
+        f"CASE WHEN ln((n - df{i} + 0.5) / (df{i} + 0.5)) > 0 THEN ln((n - df{i} + 0.5) / (df{i} + 0.5)) ELSE 1e-6 END * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * dl / mean)) * {weight[t]}"
         for i, t in enumerate(every)
     )
-    df = ", ".join(f"CAST(sum(CAST(list_contains(tokens, '{t}') AS INT)) AS DOUBLE) AS df{i}" for i, t in enumerate(every))
-    must = " AND ".join([f"list_contains(tokens, '{t}')" for t in needed] + ["TRUE"])
+    counts = ", ".join(f"len(list_filter(tokens, lambda x: x = '{t}')) AS f{i}" for i, t in enumerate(every))
+    df = ", ".join(f"CAST(count(*) FILTER (f{i} > 0) AS DOUBLE) AS df{i}" for i in range(len(every)))
+    must = " AND ".join([f"f{every.index(t)} > 0" for t in needed] + ["TRUE"])
+    some = " OR ".join(f"f{every.index(t)} > 0" for t in terms)
     return f"""
-        WITH t AS (SELECT doc_id, lang, source, text, {_TOKENS.format(col="text")} AS tokens FROM documents),
-        l AS (SELECT *, len(tokens) AS dl FROM t),
+        WITH t AS (SELECT doc_id, lang, source, text, list_filter(flatten(list_transform({_TOKENS.format(col="text")}, lambda x: string_split(x, '_'))), lambda x: x <> '') AS tokens FROM documents),
+        l AS (SELECT doc_id, lang, source, text, len(tokens) AS dl, {counts} FROM t),
         s AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(dl) AS mean, {df} FROM l)
         SELECT doc_id AS paper_id, round({parts}, 6) AS score
         FROM l, s
-        WHERE list_has_any(tokens, {_list(terms)}) AND {must} AND {condition} AND {extra}
+        WHERE ({some}) AND {must} AND {condition} AND {extra}
         ORDER BY {parts} DESC, doc_id LIMIT {top}
     """
 

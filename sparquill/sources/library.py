@@ -34,7 +34,7 @@ def records(spark: SparkSession, root: str) -> DataFrame:
 def full_texts(spark: SparkSession, root: str) -> DataFrame:
     """(dir_name, markdown) of `<dir>/paper.md`; bytes that aren't UTF-8 are replaced."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "paper.md").load(root)
-    return df.select(F.element_at(F.split(F.url_decode("path"), "/"), -2).alias("dir_name"), F.decode("content", "UTF-8").alias("markdown"))
+    return df.select(F.element_at(F.split(F.url_decode("path"), "/"), -2).alias("dir_name"), F.make_valid_utf8(F.col("content").cast("string")).alias("markdown"))
 
 
 def papers(spark: SparkSession, root: str) -> DataFrame:
@@ -142,7 +142,7 @@ def ris_records(spark: SparkSession, path: str) -> DataFrame:
     """RIS files: records end with `ER  -`; `Last, First` names are flipped."""
     raw = spark.read.option("lineSep", "ER  -").text(path).where(F.col("value").rlike("TY  - "))
     one = lambda tag: F.trim(F.regexp_extract("value", f"(?m)^{tag}  - (.*)$", 1))
-    many = lambda tag: F.transform(F.regexp_extract_all("value", F.lit(f"(?m)^{tag}  - (.*)$"), F.lit(1)), F.trim)
+    many = lambda tag: F.transform(F.regexp_extract_all("value", F.lit(f"(?m)^{tag}  - (.*)$"), F.lit(1)), lambda x: F.trim(x))
     first = lambda *tags: F.coalesce(*[F.nullif(one(t), F.lit("")) for t in tags], F.lit(""))
     kinds = F.create_map(*[F.lit(x) for kv in RIS_KINDS.items() for x in kv])
     return raw.select(
