@@ -25,6 +25,11 @@ bits, exactly:
 
 classes(docs) joins the components back: one row per document.
 
+keep_one(docs) filters documents. Three bits are few for texts of a similarity of 0.8
+(about one pair in four), so it searches once more, by the same principle, among
+fingerprints of distinct words within WIDE_RADIUS bits, skips what is linked already,
+and verifies pairs of texts from two components on their shingles.
+
 Defined results: a text without words (null and empty too) has fingerprint zero and
 is linked like any other; repeated rows and null ids give a row each, a null id
 never names a component that has another id; other columns are ignored; an empty
@@ -54,6 +59,12 @@ SAMPLE = 4096
 KEY_S, VERIFY_S = 2e-6, 4e-9
 #: A key with more fingerprints than this is cut into ceil(sqrt(n / CHUNK)) chunks.
 HEAVY, CHUNK = 1024, 256
+#: Where groups are verified on texts: the similarity, its shingles' words, and how far candidates may
+#: lie apart in the word fingerprint (0.8 is within 8 bits in 994 of 1000 pairs) and in the shingle one.
+SIMILARITY, WORDS = 0.8, 5
+WIDE_RADIUS, WIDE_OTHER = 8, 16
+#: Pairs of two classes in a group that are tried before the classes are compared in full.
+MOST_PAIRS = 64
 _AT_ONCE = 1 << 16
 
 
@@ -70,6 +81,16 @@ def fingerprint(raw: bytes, size: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * votes > len(shingles)).tobytes(), "big")
 
 
+def word_fingerprint(raw: bytes) -> int:
+    """As fingerprint, over the text's distinct words; an edited word moves it less than it moves shingles."""
+    words = list(dict.fromkeys(raw.lower().split()))
+    votes = np.zeros(BITS, np.int64)
+    for at in range(0, len(words), _AT_ONCE):
+        part = b"".join([xxhash.xxh64_digest(w, 42) for w in words[at : at + _AT_ONCE]])
+        votes += np.unpackbits(np.frombuffer(part, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * votes > len(words)).tobytes(), "big")
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -134,8 +155,8 @@ def _distances(fps: np.ndarray, bits: list[int], radius: int) -> np.ndarray:
 
 
 def _cost(share: np.ndarray, width: int, t: int, n: int) -> float:
-    if t < 0:
-        return 0.0
+    if t < 0 or t > width:
+        return 0.0 if t < 0 else float("inf")
     candidates = sum(share[d] * comb(width - d, t - d) for d in range(t + 1)) * n * n / 2
     return n * comb(width, t) * KEY_S + candidates * VERIFY_S
 
@@ -229,55 +250,177 @@ def links_in_groups(group: np.ndarray, fps: np.ndarray, radius: int, small: int
     return [(a, b) for a, b in pairs if a != b and sets.join(a, b)]
 
 
-def _verify(radius: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _in_groups(search, names: list[str]):
+    """mapInArrow over rows sorted by their first three columns: search(group numbers, other columns) per run of whole groups."""
 
-        def out(group: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-            found = np.asarray(links_in_groups(group, fps, radius), np.uint64).reshape(-1, 2).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], schema=schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(group: np.ndarray, columns: np.ndarray) -> pa.RecordBatch:
+            found = search(group, list(columns)).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, i])) for i in range(len(names))], names=names)
 
-        keep_key = np.empty((0, 3), np.int64)
-        keep_fp = np.empty(0, np.uint64)
+        held: np.ndarray | None = None  # the last group may go on in the next batch
         for b in batches:
-            key = np.concatenate([keep_key, np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(3)], axis=1)])
-            fps = np.concatenate([keep_fp, b.column(3).to_numpy(zero_copy_only=False).view(np.uint64)])
-            if not len(fps):
+            rows = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)])
+            held = rows if held is None else np.concatenate([held, rows], axis=1)
+            if not held.shape[1]:
                 continue
-            new = np.r_[True, (key[1:] != key[:-1]).any(axis=1)]
-            last = int(np.flatnonzero(new)[-1])  # the last group may go on in the next batch
-            group = np.cumsum(new)
+            new = np.r_[True, (held[:3, 1:] != held[:3, :-1]).any(axis=0)]
+            last = int(np.flatnonzero(new)[-1])
             if last:
-                yield out(group[:last], fps[:last])
-            keep_key, keep_fp = key[last:], fps[last:]
-        if len(keep_fp):
-            yield out(np.zeros(len(keep_fp), np.int64), keep_fp)
+                yield out(np.cumsum(new[:last]), np.ascontiguousarray(held[3:, :last]).view(np.uint64))
+            held = held[:, last:]
+        if held is not None and held.shape[1]:
+            yield out(np.zeros(held.shape[1], np.int64), np.ascontiguousarray(held[3:]).view(np.uint64))
 
     return run
 
 
-def link(distinct: DataFrame, radius: int = RADIUS, sample_size: int = SAMPLE, heavy: int = HEAVY) -> DataFrame:
-    """(fp) rows, all distinct, to (a, b): links that connect whatever the radius connects."""
-    spark = distinct.sparkSession
-    n = distinct.count()
+def _deal(rows: DataFrame, radius: int, sample_size: int, heavy: int) -> DataFrame | None:
+    """rows (fp, ...) under every key, dealt and sorted by (code, value, unit); None if there is nothing to compare."""
+    n = rows.count()
     if n < 2:
-        return spark.createDataFrame([], "a long, b long")
-    sample = np.asarray([r.fp for r in distinct.select("fp").orderBy(F.xxhash64("fp")).limit(sample_size).collect()], np.int64).view(np.uint64)
-    chosen = [signed(m) for m in masks(sample, n, radius)]
-    keys = distinct.select("fp", F.posexplode(F.array(*[F.lit(m).cast("long") for m in chosen])).alias("code", "mask"))
-    keys = keys.select(F.col("code").cast("long").alias("code"), F.col("fp").bitwiseAND(F.col("mask")).alias("value"), "fp")
-    keys = store(keys, "keys")
-    large = store(keys.groupBy("code", "value").agg(F.count("*").alias("n")).where(F.col("n") > heavy), "heavy-keys")
+        return None
+    sample = np.asarray([r.fp for r in rows.select("fp").orderBy(F.xxhash64("fp")).limit(sample_size).collect()], np.int64).view(np.uint64)
+    chosen = F.array(*[F.lit(signed(m)).cast("long") for m in masks(sample, n, radius)])
+    keyed = lambda df: df.select("*", F.posexplode(chosen).alias("code", "mask")).withColumns({"code": F.col("code").cast("long"), "value": F.col("fp").bitwiseAND(F.col("mask"))}).drop("mask")
+    # Large keys are found from one fingerprint in so many: a key missed here is only a larger group.
+    one_in = 8
+    seen = keyed(rows.select("fp").where(F.pmod(F.xxhash64("fp"), F.lit(one_in)) == 0))
+    large = store(seen.groupBy("code", "value").agg((F.count("*") * one_in).alias("n")).where(F.col("n") > heavy // 2), "heavy-keys")
+    names = [c for c in rows.columns if c != "fp"]
+    dealt = keyed(rows)
     if large.isEmpty():
-        dealt = keys.withColumn("unit", F.lit(0).cast("long"))
+        dealt = dealt.withColumn("unit", F.lit(0).cast("long"))
     else:
         k = F.ceil(F.sqrt(F.col("n") / F.lit(float(CHUNK)))).cast("long")
-        split = keys.join(large, ["code", "value"], "left").withColumn("k", F.coalesce(k, F.lit(1).cast("long")))
+        split = dealt.join(large, ["code", "value"], "left").withColumn("k", F.coalesce(k, F.lit(1).cast("long")))
         split = split.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("k"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-        unit = F.least("own", "other") * F.col("k") + F.greatest("own", "other")
-        dealt = split.select("code", "value", "fp", unit.alias("unit"))
-    dealt = dealt.select("code", "value", "unit", "fp").repartition("code", "value", "unit").sortWithinPartitions("code", "value", "unit")
-    return dealt.mapInArrow(_verify(radius), "a long, b long")
+        dealt = split.withColumn("unit", F.least("own", "other") * F.col("k") + F.greatest("own", "other"))
+    return dealt.select("code", "value", "unit", "fp", *names).repartition("code", "value", "unit").sortWithinPartitions("code", "value", "unit")
+
+
+def link(distinct: DataFrame, radius: int = RADIUS, sample_size: int = SAMPLE, heavy: int = HEAVY) -> DataFrame:
+    """(fp) rows, all distinct, to (a, b): links that connect whatever the radius connects."""
+    dealt = _deal(distinct.select("fp"), radius, sample_size, heavy)
+    if dealt is None:
+        return distinct.sparkSession.createDataFrame([], "a long, b long")
+    return dealt.mapInArrow(_in_groups(lambda group, columns: np.asarray(links_in_groups(group, columns[0], radius), np.uint64).reshape(-1, 2), ["a", "b"]), "a long, b long")
+
+
+# --- verified similarity, beyond the radius of the fingerprints
+
+
+def pairs_in_groups(group: np.ndarray, fp: np.ndarray, other: np.ndarray, root: np.ndarray, told: np.ndarray, radius: int, other_radius: int, most: int | None) -> np.ndarray:
+    """(root, root, told, told) of rows in a group whose roots differ and whose fingerprints are both near.
+
+    Of each pair of roots the `most` nearest pairs; if there are more, a row with told
+    twice the same says so.
+    """
+    found = np.empty((0, 5), np.int64)  # roots, distance, tolds
+    more: set[tuple[int, int]] = set()
+
+    def nearest(rows: np.ndarray) -> np.ndarray:
+        rows = np.unique(rows, axis=0)  # in order of roots, then distance
+        if most is None or not len(rows):
+            return rows
+        new = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])
+        place = np.arange(len(rows)) - np.repeat(new, np.diff(np.r_[new, len(rows)]))
+        more.update(map(tuple, rows[place == most][:, :2].tolist()))
+        return rows[place < most]
+
+    def add(i: np.ndarray, j: np.ndarray) -> None:
+        nonlocal found
+        keep = (np.bitwise_count(fp[i] ^ fp[j]) <= radius) & (root[i] != root[j])
+        i, j = i[keep], j[keep]
+        far = np.bitwise_count(other[i] ^ other[j])
+        keep = far <= other_radius
+        i, j, far = i[keep], j[keep], far[keep]
+        if not len(i):
+            return
+        turned = root[i] > root[j]
+        i, j = np.where(turned, j, i), np.where(turned, i, j)
+        found = np.concatenate([found, np.stack([root[i], root[j], far.astype(np.int64), told[i], told[j]], axis=1)])
+        if len(found) > 300_000:
+            found = nearest(found)
+
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    sizes = np.diff(np.r_[starts, len(group)])
+    of_row = np.repeat(sizes, sizes)
+    at = np.flatnonzero((of_row > 1) & (of_row <= 48))
+    for step in range(1, 48):
+        at = at[at + step < len(group)]
+        at = at[group[at] == group[at + step]]
+        if not len(at):
+            break
+        add(at, at + step)
+    for s, n in zip(starts[sizes > 48].tolist(), sizes[sizes > 48].tolist(), strict=True):
+        for i in range(s, s + n, 128):
+            rows = np.arange(i, min(i + 128, s + n))
+            near_i, near_j = np.nonzero(np.bitwise_count(fp[rows, None] ^ fp[None, i : s + n]) <= radius)
+            forward = near_j > near_i
+            add(rows[near_i[forward]], i + near_j[forward])
+    found = nearest(found)[:, [0, 1, 3, 4]]
+    return np.concatenate([found, np.asarray([(x, y, 0, 0) for x, y in more], np.int64).reshape(-1, 4)])
+
+
+def shingle_set(raw: bytes, size: int) -> bytes:
+    """Sorted distinct hashes of the text's shingles, as bytes."""
+    words = raw.lower().split()
+    shingles = [b" ".join(words)] if len(words) < size else map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))
+    return np.unique(np.asarray([xxhash.xxh64_intdigest(s, 42) for s in shingles], np.uint64)).tobytes()
+
+
+def jaccard(a: bytes, b: bytes) -> float:
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
+
+
+def similar_roots(members: DataFrame, texts: DataFrame, similarity: float, words: int, radius: int, other_radius: int, most: int | None = MOST_PAIRS) -> DataFrame:
+    """(root, whole): classes that hold texts of at least the similarity in shingles of `words` words, joined.
+
+    members: (fp, other, root, told), distinct; texts: (told, t). Candidates are near in the
+    word fingerprint and in the shingle fingerprint; each is then verified on its texts. Of
+    two classes the `most` nearest pairs of a group are tried first, as one is enough to
+    join them; classes that have more and stay apart are compared once more in full.
+    """
+    spark = members.sparkSession
+    dealt = _deal(members, radius, SAMPLE // 2, HEAVY)
+    if dealt is None:
+        return spark.createDataFrame([], "root long, whole long")
+    search = lambda group, c: pairs_in_groups(group, c[0], c[1], c[2].view(np.int64), c[3].view(np.int64), radius, other_radius, most)
+    schema = "a long, b long, x long, y long"
+    pairs = dealt.select("code", "value", "unit", "fp", "other", "root", "told").mapInArrow(_in_groups(search, ["a", "b", "x", "y"]), schema)
+    pairs = store(pairs.distinct(), "candidate-pairs")
+    wanted = pairs.where("x <> y").select(F.explode(F.array("x", "y")).alias("told")).distinct()
+
+    def to_sets(batches: Iterator[Batch]) -> Iterator[Batch]:
+        for b in batches:
+            yield {"told": b["told"], "s": [shingle_set(raw, words) for raw in b["t"]]}
+
+    sets = map_batches(texts.join(wanted, "told", "left_semi"), to_sets, "told long, s binary").groupBy("told").agg(F.first("s").alias("s"))
+    sets = store(sets, "shingle-sets")
+
+    def verify(batches: Iterator[Batch]) -> Iterator[Batch]:
+        for b in batches:
+            kept = [(p, q) for p, q, s, t in zip(b["a"], b["b"], b["s"], b["t"], strict=True) if jaccard(s, t) >= similarity]
+            yield {"a": [p for p, _ in kept], "b": [q for _, q in kept]}
+
+    both = pairs.where("x <> y").join(sets.withColumnRenamed("told", "x"), "x").join(sets.select(F.col("told").alias("y"), F.col("s").alias("t")), "y")
+    edges = store(map_batches(both.select("a", "b", "s", "t"), verify, "a long, b long", rows=64).distinct(), "similar")
+    joined = store(components(edges).select(F.col("node").alias("root"), F.col("root").alias("whole")), "wholes")
+    if most is None:
+        return joined
+    whole = lambda c: F.coalesce(F.col(f"{c}_whole"), F.col(c))
+    open_pairs = pairs.where("x = y").select("a", "b").distinct()
+    open_pairs = open_pairs.join(joined.select(F.col("root").alias("a"), F.col("whole").alias("a_whole")), "a", "left").join(joined.select(F.col("root").alias("b"), F.col("whole").alias("b_whole")), "b", "left")
+    apart = store(open_pairs.where(whole("a") != whole("b")).select(F.explode(F.array("a", "b")).alias("root")).distinct(), "apart")
+    if apart.isEmpty():
+        return joined
+    rest = members.join(apart, "root", "left_semi").join(joined, "root", "left").withColumn("root", F.coalesce("whole", "root")).select("fp", "other", "root", "told")
+    again = similar_roots(store(rest, "apart-members"), texts, similarity, words, radius, other_radius, None)
+    moved = joined.join(again.select(F.col("root").alias("whole"), F.col("whole").alias("__w")), "whole", "left").select("root", F.coalesce("__w", "whole").alias("whole"))
+    return moved.unionByName(again.join(joined.select("root"), "root", "left_anti"))
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
@@ -296,27 +439,32 @@ def component_of(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return member.join(least, "root").select("fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
-    """Rows of docs, all columns: of each component the row with the smallest id, nulls last.
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS, size: int = SHINGLE, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
+    """Rows of docs, all columns: of each group of near-duplicates the row with the smallest id, nulls last.
 
-    Rows are told apart by id and text; of rows that repeat both, one stays.
+    Groups are the components of the fingerprints' links, joined where two of them hold
+    texts of at least the similarity in shingles of `words` words. Rows are told apart by
+    id and text; of rows that repeat both, one stays.
     """
     told = F.xxhash64(text_bytes(text))
 
     def run(batches: Iterator[Batch]) -> Iterator[Batch]:
         for b in batches:
-            yield {"doc_id": b["k"], "h": b["h"], "fp": [signed(fingerprint(raw, size)) for raw in b["t"]]}
+            yield {"doc_id": b["k"], "told": b["h"], "fp": [signed(fingerprint(raw, size)) for raw in b["t"]], "by_word": [signed(word_fingerprint(raw)) for raw in b["t"]]}
 
     rows = docs.select(F.col(key).cast("long").alias("k"), told.alias("h"), text_bytes(text).alias("t"))
-    fps = store(map_batches(rows, run, "doc_id long, h long, fp long"), "fingerprints")
+    fps = store(map_batches(rows, run, "doc_id long, told long, fp long, by_word long"), "fingerprints")
     roots = component_of(fps, radius).select("fp", "root")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))
-    per_text = fps.groupBy("fp").agg(first.alias("first"))  # before the join, so that no fingerprint is hot in it
-    kept = per_text.join(roots, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.h").alias("__h"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "told"))
+    per_text = fps.groupBy("fp", "by_word").agg(first.alias("first"), F.min("told").alias("told"))  # no fingerprint is hot after this
+    member = store(per_text.join(roots, "fp"), "similar-members")
+    merged = similar_roots(member.select(F.col("by_word").alias("fp"), F.col("fp").alias("other"), "root", "told"), rows.select(F.col("h").alias("told"), "t"), similarity, words, WIDE_RADIUS, WIDE_OTHER)
+    whole = member.join(merged, "root", "left").withColumn("whole", F.coalesce("whole", "root"))
+    kept = whole.groupBy("whole").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.told").alias("__h"))
     kept = store(kept, "kept")
     here = docs.withColumn("__told", told)
     found = here.join(kept, here["__told"].eqNullSafe(kept["__h"]) & here[key].cast("long").eqNullSafe(kept["__id"]), "left_semi")
-    again = fps.groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1")
+    again = fps.groupBy("doc_id", "told").agg(F.count("*").alias("n")).where("n > 1")
     if not again.isEmpty():
         found = found.dropDuplicates([key, "__told"])
     return found.drop("__told")

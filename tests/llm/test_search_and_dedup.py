@@ -173,6 +173,61 @@ def test_one_row_of_each_group_stays(spark, odd_docs, no_docs):
     assert simhash.keep_one(twice).count() == 2
 
 
+@pytest.mark.parametrize("most", [1, 64])
+def test_similar_texts_beyond_the_radius_go_too(spark, most, monkeypatch):
+    """Near copies of 0.8 and more go, whatever their fingerprints' distance; less similar texts stay."""
+    monkeypatch.setattr(simhash.similar_roots, "__defaults__", (most,))
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    rows, fate = [], {}
+    for base in range(0, 400, 10):
+        words = [word() for _ in range(200)]
+        rows.append((base, " ".join(words)))
+        for i, edits in enumerate((1, 2, 4, 30), 1):
+            copy = list(words)
+            for at in rng.choice(range(2, 198), edits, replace=False):
+                copy[at] = word()
+            rows.append((base + i, " ".join(copy)))
+    sets = {i: np.frombuffer(simhash.shingle_set(t.encode(), 5), np.uint64) for i, t in rows}
+    for base in range(0, 400, 10):
+        for i in range(1, 5):
+            fate[base + i] = simhash.jaccard(sets[base].tobytes(), sets[base + i].tobytes()) >= 0.8
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {b for b in range(0, 400, 10)} <= kept
+    missed = [i for i, gone in fate.items() if gone and i in kept]
+    assert sum(fate.values()) >= 100 and len(missed) <= 0.02 * sum(fate.values())
+    assert all(i in kept for i in fate if i % 10 == 4)
+
+
+def test_masks_of_a_wide_radius_cover_its_pairs():
+    rng = np.random.default_rng(8)
+    fps = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
+    for n in (10**3, 10**6):
+        chosen = simhash.masks(fps, n, 8)
+        for _ in range(500):
+            d = sum(1 << int(b) for b in rng.choice(64, 8, replace=False))
+            assert any(m & d == 0 for m in chosen)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 80))
+def test_pairs_in_groups_find_every_pair_of_classes(seed, n):
+    rng = np.random.default_rng(seed)
+    group = np.sort(rng.integers(0, 3, n))
+    fp, other = (rng.integers(0, 1 << 5, n, dtype=np.uint64) for _ in range(2))
+    root, told = rng.integers(0, 6, n), np.arange(n)
+    want: dict = {}
+    for i in range(n):
+        for j in range(n):
+            d = bin(int(other[i] ^ other[j])).count("1")
+            if group[i] == group[j] and root[i] < root[j] and bin(int(fp[i] ^ fp[j])).count("1") <= 2 and d <= 2:
+                want.setdefault((int(root[i]), int(root[j])), []).append((d, i, j))
+    got = simhash.pairs_in_groups(group, fp, other, root, told, 2, 2, None)
+    assert sorted(map(tuple, got.tolist())) == sorted((*k, i, j) for k, v in want.items() for _, i, j in v)
+    few = simhash.pairs_in_groups(group, fp, other, root, told, 2, 2, 3).tolist()
+    assert sorted(map(tuple, few)) == sorted([(*k, i, j) for k, v in want.items() for _, i, j in sorted(v)[:3]] + [(*k, 0, 0) for k, v in want.items() if len(v) > 3])
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, j) for j in range(101, 160)] + [(7, 7), (None, 3), (500, 501), (501, 500)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
