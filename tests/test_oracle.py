@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from compare import compare
 
-from sparquill.plans import corpus_queries, graph_queries, search_queries  # noqa: F401
+from sparquill.plans import corpus_queries, graph_queries, more_queries, search_queries  # noqa: F401
 from sparquill.plans.registry import ORACLE, QUERIES
 
 
