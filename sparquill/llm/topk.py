@@ -14,8 +14,8 @@ block without essential lists is passed over.
 
 Every task keeps the k best of each query over its own rows (a shard); a window
 merges the shards. Queries are read to the driver in blocks of at most
-`query_block` and broadcast block by block, so what is broadcast is bounded whatever
-the number of queries. A first threshold for each query comes from rows of the
+`query_block`, broadcast and searched block by block, the shards' bests being written
+each time, so what is held is bounded whatever the number of queries. A first threshold for each query comes from rows of the
 query block itself, so that shards report only what can still be among the k best.
 
 Scores are exact: in double precision while dim * max^2 stays below 2^53, else in
@@ -34,10 +34,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparquill.llm.common import Batch, map_batches
+from sparquill.llm.common import Batch, fresh_dir, map_batches
 
 SCALE = 1024
 QUERY_BLOCK = 8192
@@ -176,8 +177,8 @@ def _saturated(scores: np.ndarray) -> np.ndarray:
     return np.frompyfunc(_to_long, 1, 1)(scores).astype(object)
 
 
-def _search(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, scale: int, block: int, seed_rows: int) -> DataFrame:
-    """Every shard's candidates for one block of queries."""
+def _search(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, scale: int, block: int, seed_rows: int) -> tuple[DataFrame, Broadcast]:
+    """Every shard's candidates for one block of queries, and what was broadcast for them."""
     exact = _exactly(queries, queries)[0]
     sent = vectors.sparkSession.sparkContext.broadcast((ids, queries, _seed(ids, exact, k, seed_rows)))
 
@@ -200,7 +201,7 @@ def _search(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, sc
             if n:
                 yield {"query_id": [int(ids[i])] * n, "vec_id": best.ids[i], "score": [_to_long(s) for s in best.scores[i]]}
 
-    return map_batches(vectors, run, RESULT, rows=block)
+    return map_batches(vectors, run, RESULT, rows=block), sent
 
 
 def _blocks(batches: Iterable[Batch], size: int, scale: int) -> Iterator[tuple[np.ndarray, list[list[int]]]]:
@@ -225,22 +226,24 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id"
     asked = usable.where(is_query).select(F.col(key).cast("long").alias("id"), x.alias("x"))
     asked = asked.groupBy("id").agg(F.min("x").alias("x"))
     rows = usable.select(F.col(key).cast("long").alias("id"), x.alias("x"))
-    found: DataFrame | None = None
+    spark = vectors.sparkSession
+    path = fresh_dir(spark, "shard-bests")
     block_ids: list[int] = []
     block_rows: list[list[int]] = []
 
-    def ask() -> DataFrame:
-        part = _search(rows, np.asarray(block_ids, np.int64), _matrix(block_rows), k, scale, block, seed_rows)
-        return part if found is None else found.unionByName(part)
+    def ask() -> None:
+        """Search one block and write its shards' bests, so that no more than a block is held at once."""
+        found, sent = _search(rows, np.asarray(block_ids, np.int64), _matrix(block_rows), k, scale, block, seed_rows)
+        found.write.mode("append").parquet(path)
+        sent.unpersist()
 
     for r in asked.toLocalIterator():
         block_ids.append(r.id)
         block_rows.append(scaled(r.x, scale))
         if len(block_ids) == query_block:
-            found = ask()
+            ask()
             block_ids, block_rows = [], []
-    if block_ids or found is None:
-        found = ask()
+    ask()  # the rest, maybe none: then an empty table
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(by))
+    ranked = spark.read.schema(RESULT).parquet(path).withColumn("rank", F.row_number().over(by))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
