@@ -63,8 +63,8 @@ HEAVY, CHUNK = 1024, 256
 #: lie apart in the word fingerprint (0.8 is within 8 bits in 994 of 1000 pairs) and in the shingle one.
 SIMILARITY, WORDS = 0.8, 5
 WIDE_RADIUS, WIDE_OTHER = 8, 16
-#: Pairs of two classes in a group that are tried before the classes are compared in full.
-MOST_PAIRS = 64
+#: How many nearest texts of other classes a text is verified against, under every key.
+NEAREST = 2
 _AT_ONCE = 1 << 16
 
 
@@ -310,38 +310,19 @@ def link(distinct: DataFrame, radius: int = RADIUS, sample_size: int = SAMPLE, h
 # --- verified similarity, beyond the radius of the fingerprints
 
 
-def pairs_in_groups(group: np.ndarray, fp: np.ndarray, other: np.ndarray, root: np.ndarray, told: np.ndarray, radius: int, other_radius: int, most: int | None) -> np.ndarray:
-    """(root, root, told, told) of rows in a group whose roots differ and whose fingerprints are both near.
+def pairs_in_groups(group: np.ndarray, fp: np.ndarray, other: np.ndarray, root: np.ndarray, told: np.ndarray, radius: int, other_radius: int, nearest: int) -> np.ndarray:
+    """(root, root, told, told): each row with its nearest rows of other roots in its group, if both fingerprints are near.
 
-    Of each pair of roots the `most` nearest pairs; if there are more, a row with told
-    twice the same says so.
+    Rows out grow with rows in, however dense a group is.
     """
-    found = np.empty((0, 5), np.int64)  # roots, distance, tolds
-    more: set[tuple[int, int]] = set()
-
-    def nearest(rows: np.ndarray) -> np.ndarray:
-        rows = np.unique(rows, axis=0)  # in order of roots, then distance
-        if most is None or not len(rows):
-            return rows
-        new = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])
-        place = np.arange(len(rows)) - np.repeat(new, np.diff(np.r_[new, len(rows)]))
-        more.update(map(tuple, rows[place == most][:, :2].tolist()))
-        return rows[place < most]
-
-    def add(i: np.ndarray, j: np.ndarray) -> None:
-        nonlocal found
-        keep = (np.bitwise_count(fp[i] ^ fp[j]) <= radius) & (root[i] != root[j])
-        i, j = i[keep], j[keep]
-        far = np.bitwise_count(other[i] ^ other[j])
-        keep = far <= other_radius
-        i, j, far = i[keep], j[keep], far[keep]
-        if not len(i):
-            return
-        turned = root[i] > root[j]
-        i, j = np.where(turned, j, i), np.where(turned, i, j)
-        found = np.concatenate([found, np.stack([root[i], root[j], far.astype(np.int64), told[i], told[j]], axis=1)])
-        if len(found) > 300_000:
-            found = nearest(found)
+    far = BITS * 4
+    found: list[np.ndarray] = []
+
+    def distance(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        by_word, by_shingle = np.bitwise_count(fp[i] ^ fp[j]), np.bitwise_count(other[i] ^ other[j])
+        out = by_word.astype(np.int16) + by_shingle
+        out[(by_word > radius) | (by_shingle > other_radius) | (root[i] == root[j])] = far
+        return out
 
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[starts, len(group)])
@@ -352,47 +333,64 @@ def pairs_in_groups(group: np.ndarray, fp: np.ndarray, other: np.ndarray, root:
         at = at[group[at] == group[at + step]]
         if not len(at):
             break
-        add(at, at + step)
+        d = distance(at, at + step)
+        near = d < far
+        i, j, d = at[near], at[near] + step, d[near]
+        found += [np.stack([i, d, j]), np.stack([j, d, i])]
+    if found:  # the nearest few of each row
+        i, d, j = np.concatenate(found, axis=1)
+        order = np.lexsort((told[j], d, i))
+        i, j = i[order], j[order]
+        new = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+        place = np.arange(len(i)) - np.repeat(new, np.diff(np.r_[new, len(i)]))
+        found = [np.stack([i[place < nearest], j[place < nearest]])]
     for s, n in zip(starts[sizes > 48].tolist(), sizes[sizes > 48].tolist(), strict=True):
-        for i in range(s, s + n, 128):
-            rows = np.arange(i, min(i + 128, s + n))
-            near_i, near_j = np.nonzero(np.bitwise_count(fp[rows, None] ^ fp[None, i : s + n]) <= radius)
-            forward = near_j > near_i
-            add(rows[near_i[forward]], i + near_j[forward])
-    found = nearest(found)[:, [0, 1, 3, 4]]
-    return np.concatenate([found, np.asarray([(x, y, 0, 0) for x, y in more], np.int64).reshape(-1, 4)])
+        columns = s + np.argsort(told[s : s + n], kind="stable")  # so that ties go to the smaller
+        for at in range(s, s + n, 128):
+            rows = np.arange(at, min(at + 128, s + n))
+            d = distance(rows[:, None], columns[None, :])
+            for _ in range(min(nearest, n)):
+                best = d.argmin(axis=1)
+                near = d[np.arange(len(rows)), best] < far
+                found.append(np.stack([rows[near], columns[best[near]]]))
+                d[np.arange(len(rows)), best] = far
+    if not found:
+        return np.empty((0, 4), np.int64)
+    i, j = np.concatenate(found, axis=1)
+    turned = root[i] > root[j]
+    i, j = np.where(turned, j, i), np.where(turned, i, j)
+    return np.unique(np.stack([root[i], root[j], told[i], told[j]], axis=1), axis=0)
 
 
 def shingle_set(raw: bytes, size: int) -> bytes:
-    """Sorted distinct hashes of the text's shingles, as bytes."""
+    """Sorted distinct 32-bit hashes of the text's shingles, as bytes."""
     words = raw.lower().split()
     shingles = [b" ".join(words)] if len(words) < size else map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))
-    return np.unique(np.asarray([xxhash.xxh64_intdigest(s, 42) for s in shingles], np.uint64)).tobytes()
+    return np.unique(np.asarray([xxhash.xxh32_intdigest(s, 42) for s in shingles], np.uint32)).tobytes()
 
 
 def jaccard(a: bytes, b: bytes) -> float:
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / (len(x) + len(y) - both)
 
 
-def similar_roots(members: DataFrame, texts: DataFrame, similarity: float, words: int, radius: int, other_radius: int, most: int | None = MOST_PAIRS) -> DataFrame:
+def similar_roots(members: DataFrame, texts: DataFrame, similarity: float, words: int, radius: int, other_radius: int, nearest: int = NEAREST) -> DataFrame:
     """(root, whole): classes that hold texts of at least the similarity in shingles of `words` words, joined.
 
-    members: (fp, other, root, told), distinct; texts: (told, t). Candidates are near in the
-    word fingerprint and in the shingle fingerprint; each is then verified on its texts. Of
-    two classes the `most` nearest pairs of a group are tried first, as one is enough to
-    join them; classes that have more and stay apart are compared once more in full.
+    members: (fp, other, root, told), distinct; texts: (told, t). Under every key a text is
+    compared with the others there, by the word fingerprint and the shingle one, and its
+    `nearest` of other classes are verified on the texts.
     """
     spark = members.sparkSession
     dealt = _deal(members, radius, SAMPLE // 2, HEAVY)
     if dealt is None:
         return spark.createDataFrame([], "root long, whole long")
-    search = lambda group, c: pairs_in_groups(group, c[0], c[1], c[2].view(np.int64), c[3].view(np.int64), radius, other_radius, most)
+    search = lambda group, c: pairs_in_groups(group, c[0], c[1], c[2].view(np.int64), c[3].view(np.int64), radius, other_radius, nearest)
     schema = "a long, b long, x long, y long"
     pairs = dealt.select("code", "value", "unit", "fp", "other", "root", "told").mapInArrow(_in_groups(search, ["a", "b", "x", "y"]), schema)
     pairs = store(pairs.distinct(), "candidate-pairs")
-    wanted = pairs.where("x <> y").select(F.explode(F.array("x", "y")).alias("told")).distinct()
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("told")).distinct()
 
     def to_sets(batches: Iterator[Batch]) -> Iterator[Batch]:
         for b in batches:
@@ -406,21 +404,9 @@ def similar_roots(members: DataFrame, texts: DataFrame, similarity: float, words
             kept = [(p, q) for p, q, s, t in zip(b["a"], b["b"], b["s"], b["t"], strict=True) if jaccard(s, t) >= similarity]
             yield {"a": [p for p, _ in kept], "b": [q for _, q in kept]}
 
-    both = pairs.where("x <> y").join(sets.withColumnRenamed("told", "x"), "x").join(sets.select(F.col("told").alias("y"), F.col("s").alias("t")), "y")
+    both = pairs.join(sets.withColumnRenamed("told", "x"), "x").join(sets.select(F.col("told").alias("y"), F.col("s").alias("t")), "y")
     edges = store(map_batches(both.select("a", "b", "s", "t"), verify, "a long, b long", rows=64).distinct(), "similar")
-    joined = store(components(edges).select(F.col("node").alias("root"), F.col("root").alias("whole")), "wholes")
-    if most is None:
-        return joined
-    whole = lambda c: F.coalesce(F.col(f"{c}_whole"), F.col(c))
-    open_pairs = pairs.where("x = y").select("a", "b").distinct()
-    open_pairs = open_pairs.join(joined.select(F.col("root").alias("a"), F.col("whole").alias("a_whole")), "a", "left").join(joined.select(F.col("root").alias("b"), F.col("whole").alias("b_whole")), "b", "left")
-    apart = store(open_pairs.where(whole("a") != whole("b")).select(F.explode(F.array("a", "b")).alias("root")).distinct(), "apart")
-    if apart.isEmpty():
-        return joined
-    rest = members.join(apart, "root", "left_semi").join(joined, "root", "left").withColumn("root", F.coalesce("whole", "root")).select("fp", "other", "root", "told")
-    again = similar_roots(store(rest, "apart-members"), texts, similarity, words, radius, other_radius, None)
-    moved = joined.join(again.select(F.col("root").alias("whole"), F.col("whole").alias("__w")), "whole", "left").select("root", F.coalesce("__w", "whole").alias("whole"))
-    return moved.unionByName(again.join(joined.select("root"), "root", "left_anti"))
+    return components(edges).select(F.col("node").alias("root"), F.col("root").alias("whole"))
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
