@@ -26,9 +26,14 @@ bits, exactly:
 classes(docs) joins the components back: one row per document.
 
 keep_one(docs) filters documents. Three bits are few for texts of a similarity of 0.8
-(about one pair in four), so it searches once more, by the same principle, among
-fingerprints of distinct words within WIDE_RADIUS bits, skips what is linked already,
-and verifies pairs of texts from two components on their shingles.
+(about one pair in four), so it searches once more, exactly, among the shingle sets:
+
+* Sets of sizes x <= y with a similarity of s differ in at most x * (1 - s) / s hashes.
+  The hashes' range is cut into buckets, by classes of size; a set gives one key more,
+  of buckets with content, than it may have hashes that differ. Two such sets then share
+  a key, wherever the edits are (set_keys).
+* Under every key a text is verified against its nearest of other components; then
+  whatever pairs are still apart and not yet verified are verified, all of them.
 
 Defined results: a text without words (null and empty too) has fingerprint zero and
 is linked like any other; repeated rows and null ids give a row each, a null id
@@ -40,7 +45,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -59,12 +64,15 @@ SAMPLE = 4096
 KEY_S, VERIFY_S = 2e-6, 4e-9
 #: A key with more fingerprints than this is cut into ceil(sqrt(n / CHUNK)) chunks.
 HEAVY, CHUNK = 1024, 256
-#: Where groups are verified on texts: the similarity, its shingles' words, and how far candidates may
-#: lie apart in the word fingerprint (0.8 is within 8 bits in 994 of 1000 pairs) and in the shingle one.
+#: Where groups are verified on texts: the similarity and its shingles' words.
 SIMILARITY, WORDS = 0.8, 5
-WIDE_RADIUS, WIDE_OTHER = 8, 16
-#: How many nearest texts of other classes a text is verified against, under every key.
+#: How many nearest texts of other classes a text is verified against at first, under every key; the rest
+#: follows where classes stay apart, so this decides cost, never results.
 NEAREST = 2
+#: 64-bit words of a set's parities.
+SKETCH = 8
+#: Least sizes of the classes of set size, each 1.5 times the one before.
+_SIZES = np.asarray(sorted({ceil(1.5**i) for i in range(56)}), np.int64)
 _AT_ONCE = 1 << 16
 
 
@@ -81,16 +89,6 @@ def fingerprint(raw: bytes, size: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * votes > len(shingles)).tobytes(), "big")
 
 
-def word_fingerprint(raw: bytes) -> int:
-    """As fingerprint, over the text's distinct words; an edited word moves it less than it moves shingles."""
-    words = list(dict.fromkeys(raw.lower().split()))
-    votes = np.zeros(BITS, np.int64)
-    for at in range(0, len(words), _AT_ONCE):
-        part = b"".join([xxhash.xxh64_digest(w, 42) for w in words[at : at + _AT_ONCE]])
-        votes += np.unpackbits(np.frombuffer(part, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * votes > len(words)).tobytes(), "big")
-
-
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -313,7 +311,7 @@ def link(distinct: DataFrame, radius: int = RADIUS, sample_size: int = SAMPLE, h
 def pairs_in_groups(group: np.ndarray, fp: np.ndarray, other: np.ndarray, root: np.ndarray, told: np.ndarray, radius: int, other_radius: int, nearest: int) -> np.ndarray:
     """(root, root, told, told): each row with its nearest rows of other roots in its group, if both fingerprints are near.
 
-    Rows out grow with rows in, however dense a group is.
+    With a small `nearest`, rows out grow with rows in, however dense a group is.
     """
     far = BITS * 4
     found: list[np.ndarray] = []
@@ -349,7 +347,11 @@ def pairs_in_groups(group: np.ndarray, fp: np.ndarray, other: np.ndarray, root:
         for at in range(s, s + n, 128):
             rows = np.arange(at, min(at + 128, s + n))
             d = distance(rows[:, None], columns[None, :])
-            for _ in range(min(nearest, n)):
+            if nearest >= n:
+                i, j = np.nonzero(d < far)
+                found.append(np.stack([rows[i], columns[j]]))
+                continue
+            for _ in range(nearest):
                 best = d.argmin(axis=1)
                 near = d[np.arange(len(rows)), best] < far
                 found.append(np.stack([rows[near], columns[best[near]]]))
@@ -375,29 +377,159 @@ def jaccard(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def similar_roots(members: DataFrame, texts: DataFrame, similarity: float, words: int, radius: int, other_radius: int, nearest: int = NEAREST) -> DataFrame:
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each number (the finalizer of splitmix64)."""
+    x = x.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _apart(n: int, similarity: float) -> int:
+    """In how many hashes a set of n and one of the similarity can differ, at most."""
+    return int(n * (1 - similarity) / similarity + 1e-6)
+
+
+def set_keys(hashes: np.ndarray, similarity: float) -> np.ndarray:
+    """Keys of a set of sorted distinct 32-bit hashes: any two sets of at least the similarity share one.
+
+    A set gives the keys of its first d + 1 buckets with content, where d is the most hashes
+    it can differ in; so many buckets can't all differ. A set with fewer gives all of them and
+    those without content. A set that may be similar to a larger one of the next class of sizes
+    gives keys of that class as well.
+    """
+    n = len(hashes)
+    needed = _apart(n, similarity) + 1
+    own = int(np.searchsorted(_SIZES, n, "right")) - 1
+    found = []
+    for level in range(own, len(_SIZES) - 1):
+        if level > own and n < similarity * _SIZES[level] - 1e-6:
+            break
+        k = int(1.1 * _apart(int(_SIZES[level + 1]), similarity)) + 3
+        bucket = (hashes.astype(np.uint64) * np.uint64(k)) >> np.uint64(32)
+        starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        keys = np.add.reduceat(_mixed(hashes), starts)
+        if len(keys) < needed:
+            without = np.setdiff1d(np.arange(k, dtype=np.uint64), bucket[starts])
+            keys = np.r_[keys, _mixed(without + np.uint64(1 << 40))]
+        else:
+            keys = keys[:needed]
+        found.append(_mixed(keys + np.uint64(level << 48)))
+    return np.concatenate(found)
+
+
+def same_keys(key: np.ndarray, told: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """(group, told, n) of keys that two texts or more have; keys of the same texts are one group. key is sorted."""
+    same = key[1:] == key[:-1]
+    rows = np.stack([key, told.view(np.int64), n.view(np.int64)], axis=1)[np.r_[False, same] | np.r_[same, False]]
+    if not len(rows):
+        return rows
+    rows = np.unique(rows, axis=0)
+    starts = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
+    sizes = np.diff(np.r_[starts, len(rows)])
+    group = np.repeat(np.add.reduceat(_mixed(rows[:, 1].view(np.uint64)), starts), sizes).view(np.int64)
+    rows[:, 0] = group
+    return np.unique(rows[np.repeat(sizes, sizes) > 1], axis=0)
+
+
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """SKETCH words of bits; a bit is the parity of the hashes that fall on it, so sets differ in as many hashes as bits, or more."""
+    bits = np.bincount(hashes % np.uint32(64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def may_be_similar(n: np.ndarray, sketch: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of rows x, y aren't ruled out by their sizes and parities (columns of sketch); rules out no similar pair."""
+    out = np.empty(len(x), bool)
+    for at in range(0, len(x), _AT_ONCE):
+        i, j = x[at : at + _AT_ONCE], y[at : at + _AT_ONCE]
+        least = np.bitwise_count(sketch[:, i] ^ sketch[:, j]).sum(axis=0, dtype=np.int64)
+        small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+        out[at : at + _AT_ONCE] = (small >= similarity * large - 1e-6) & (least <= (small + large) * (1 - similarity) / (1 + similarity) + 1e-6)
+    return out
+
+
+def _keys_of(similarity: float, words: int):
+    """mapInArrow over (told, t): (key, told, n), n the size of the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                keys, told, sizes = [], [], []
+                for name, raw in dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)).items():
+                    hashes = np.frombuffer(shingle_set(raw, words), np.uint32)
+                    keys.append(set_keys(hashes, similarity))
+                    told.append(name)
+                    sizes.append(len(hashes))
+                each = [len(k) for k in keys]
+                columns = np.concatenate(keys).view(np.int64), np.repeat(np.asarray(told, np.int64), each), np.repeat(np.asarray(sizes, np.int64), each)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "told", "n"])
+
+    return run
+
+
+def _pairs(grouped: DataFrame, similarity: float, nearest: int, heavy: int = HEAVY) -> DataFrame:
+    """(a, b, x, y): pairs of roots and texts, from (key, told, n, root, fp, parities) rows; large keys are dealt as pairs of chunks."""
+    per_key = grouped.groupBy("key").agg(F.count("*").alias("rows"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
+    k = F.when(F.col("rows") > heavy, F.ceil(F.sqrt(F.col("rows") / F.lit(float(CHUNK))))).otherwise(1).cast("long")
+    split = grouped.join(per_key.select("key", k.alias("k")), "key")
+    split = split.withColumn("own", F.pmod(F.xxhash64("told"), F.col("k"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    unit = F.least("own", "other") * F.col("k") + F.greatest("own", "other")
+    dealt = split.select("key", unit.alias("unit"), F.lit(0).cast("long").alias("zero"), "fp", "root", "told", "n", *[f"p{i}" for i in range(SKETCH)])
+    dealt = dealt.repartition("key", "unit").sortWithinPartitions("key", "unit")
+
+    def search(group: np.ndarray, c: list[np.ndarray]) -> np.ndarray:
+        root, told, n = (x.view(np.int64) for x in c[1:4])
+        most = len(group) if nearest == 0 else nearest
+        found = pairs_in_groups(group, c[0], c[0], root, told, BITS, BITS, most)
+        names, at = np.unique(told, return_index=True)
+        x, y = (at[np.searchsorted(names, found[:, i])] for i in (2, 3))
+        return found[may_be_similar(n, np.stack(c[4:]), x, y, similarity)]
+
+    return dealt.mapInArrow(_in_groups(search, ["a", "b", "x", "y"]), "a long, b long, x long, y long").distinct()
+
+
+def similar_roots(members: DataFrame, texts: DataFrame, similarity: float, words: int, nearest: int = NEAREST) -> DataFrame:
     """(root, whole): classes that hold texts of at least the similarity in shingles of `words` words, joined.
 
-    members: (fp, other, root, told), distinct; texts: (told, t). Under every key a text is
-    compared with the others there, by the word fingerprint and the shingle one, and its
-    `nearest` of other classes are verified on the texts.
+    members: (told, root, fp), a row for each distinct text; texts: (told, t). Texts that share
+    a key of set_keys are candidates. Each is first verified against its `nearest` of other
+    classes under every key; of classes that stay apart, every other pair follows.
     """
-    spark = members.sparkSession
-    dealt = _deal(members, radius, SAMPLE // 2, HEAVY)
-    if dealt is None:
-        return spark.createDataFrame([], "root long, whole long")
-    search = lambda group, c: pairs_in_groups(group, c[0], c[1], c[2].view(np.int64), c[3].view(np.int64), radius, other_radius, nearest)
-    schema = "a long, b long, x long, y long"
-    pairs = dealt.select("code", "value", "unit", "fp", "other", "root", "told").mapInArrow(_in_groups(search, ["a", "b", "x", "y"]), schema)
-    pairs = store(pairs.distinct(), "candidate-pairs")
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("told")).distinct()
+    keyed = texts.mapInArrow(_keys_of(similarity, words), "key long, told long, n long")
+    zero = F.lit(0).cast("long")
+    dealt = keyed.repartition("key").sortWithinPartitions("key").select("key", zero.alias("unit"), zero.alias("code"), "told", "n")
+    groups = dealt.mapInArrow(_in_groups(lambda group, c: same_keys(group, *c), ["key", "told", "n"]), "key long, told long, n long").distinct()
+    groups = store(groups, "same-keys")
+    wanted = groups.select("told").distinct()
 
     def to_sets(batches: Iterator[Batch]) -> Iterator[Batch]:
         for b in batches:
-            yield {"told": b["told"], "s": [shingle_set(raw, words) for raw in b["t"]]}
+            sets = [shingle_set(raw, words) for raw in b["t"]]
+            bits = np.stack([parities(np.frombuffer(x, np.uint32)) for x in sets], axis=1).view(np.int64).tolist()
+            yield {"told": b["told"], "s": sets, **{f"p{i}": x for i, x in enumerate(bits)}}
+
+    schema = "told long, s binary, " + ", ".join(f"p{i} long" for i in range(SKETCH))
+    sets = map_batches(texts.join(wanted, "told", "left_semi"), to_sets, schema)
+    sets = store(sets.groupBy("told").agg(*[F.first(c).alias(c) for c in sets.columns if c != "told"]), "shingle-sets")
+    groups = store(groups.join(members, "told").join(sets.drop("s"), "told"), "similar-groups")
+    sets = sets.select("told", "s")
+
+    first = store(_pairs(groups, similarity, nearest), "candidate-pairs")
+    edges = _verified(first, sets, similarity)
+    joined = store(components(edges).select(F.col("node").alias("root"), F.col("root").alias("whole")), "joined")
+    moved = groups.join(joined, "root", "left").withColumn("root", F.coalesce("whole", "root")).drop("whole")
+    had = first.select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"))
+    rest = _pairs(moved, similarity, 0).withColumns({"p": F.least("x", "y"), "q": F.greatest("x", "y")})
+    rest = store(rest.join(had, ["p", "q"], "left_anti").drop("p", "q"), "rest-pairs")
+    # a class that the first round moved is named by its whole in the second
+    edges = edges.unionByName(_verified(rest, sets, similarity))
+    return components(edges).select(F.col("node").alias("root"), F.col("root").alias("whole"))
+
 
-    sets = map_batches(texts.join(wanted, "told", "left_semi"), to_sets, "told long, s binary").groupBy("told").agg(F.first("s").alias("s"))
-    sets = store(sets, "shingle-sets")
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of the pairs whose texts have at least the similarity; sets: (told, s)."""
 
     def verify(batches: Iterator[Batch]) -> Iterator[Batch]:
         for b in batches:
@@ -405,8 +537,7 @@ def similar_roots(members: DataFrame, texts: DataFrame, similarity: float, words
             yield {"a": [p for p, _ in kept], "b": [q for _, q in kept]}
 
     both = pairs.join(sets.withColumnRenamed("told", "x"), "x").join(sets.select(F.col("told").alias("y"), F.col("s").alias("t")), "y")
-    edges = store(map_batches(both.select("a", "b", "s", "t"), verify, "a long, b long", rows=64).distinct(), "similar")
-    return components(edges).select(F.col("node").alias("root"), F.col("root").alias("whole"))
+    return store(map_batches(both.select("a", "b", "s", "t"), verify, "a long, b long", rows=64).distinct(), "similar")
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
@@ -436,15 +567,15 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: i
 
     def run(batches: Iterator[Batch]) -> Iterator[Batch]:
         for b in batches:
-            yield {"doc_id": b["k"], "told": b["h"], "fp": [signed(fingerprint(raw, size)) for raw in b["t"]], "by_word": [signed(word_fingerprint(raw)) for raw in b["t"]]}
+            yield {"doc_id": b["k"], "told": b["h"], "fp": [signed(fingerprint(raw, size)) for raw in b["t"]]}
 
     rows = docs.select(F.col(key).cast("long").alias("k"), told.alias("h"), text_bytes(text).alias("t"))
-    fps = store(map_batches(rows, run, "doc_id long, told long, fp long, by_word long"), "fingerprints")
+    fps = store(map_batches(rows, run, "doc_id long, told long, fp long"), "fingerprints")
     roots = component_of(fps, radius).select("fp", "root")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "told"))
-    per_text = fps.groupBy("fp", "by_word").agg(first.alias("first"), F.min("told").alias("told"))  # no fingerprint is hot after this
+    per_text = fps.groupBy("told", "fp").agg(first.alias("first"))  # every distinct text, whatever fingerprint it shares
     member = store(per_text.join(roots, "fp"), "similar-members")
-    merged = similar_roots(member.select(F.col("by_word").alias("fp"), F.col("fp").alias("other"), "root", "told"), rows.select(F.col("h").alias("told"), "t"), similarity, words, WIDE_RADIUS, WIDE_OTHER)
+    merged = similar_roots(member.select("told", "root", "fp"), rows.select(F.col("h").alias("told"), "t"), similarity, words)
     whole = member.join(merged, "root", "left").withColumn("whole", F.coalesce("whole", "root"))
     kept = whole.groupBy("whole").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.told").alias("__h"))
     kept = store(kept, "kept")

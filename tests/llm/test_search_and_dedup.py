@@ -233,3 +233,42 @@ def test_components_of_chains_stars_and_loops(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{j: 100 for j in range(100, 160)}, 500: 500, 501: 500}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def _survivors(rows):
+    """Documents that brute force keeps: components of similarity 0.8 on texts or three bits, the smallest id of each."""
+    sets = {i: simhash.shingle_set(t.encode(), 5) for i, t in rows}
+    fps = {i: simhash.fingerprint(t.encode()) for i, t in rows}
+    joined = simhash._Sets()
+    for a in sets:
+        for b in sets:
+            if a < b and (simhash.jaccard(sets[a], sets[b]) >= 0.8 or (fps[a] ^ fps[b]).bit_count() <= simhash.RADIUS):
+                joined.join(a, b)
+    return {joined.find(i) for i in sets}
+
+
+def test_a_dense_group_is_joined_past_the_nearest(spark):
+    """Texts with many closer-looking neighbours of other classes that fail are still compared with all the rest."""
+    rng = np.random.default_rng(9)
+    fresh = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    shared = [fresh() for _ in range(150)]
+    rows = []
+    for i in range(40):
+        own = [fresh() for _ in range(24)]
+        rows.append((i * 10, " ".join(shared + own)))
+        if i % 4 == 0:
+            rows.append((i * 10 + 1, " ".join([fresh() for _ in range(20)] + shared + own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.keep_one(df).collect()}
+    assert kept == _survivors(rows)
+
+
+def test_parities_rule_out_no_similar_pair():
+    rng = np.random.default_rng(5)
+    for _ in range(400):
+        n = int(rng.integers(1, 3000))
+        a = np.unique(rng.integers(0, 1 << 32, n, dtype=np.uint32))
+        b = np.unique(np.r_[a[rng.random(len(a)) < rng.uniform(0.7, 1)], rng.integers(0, 1 << 32, int(rng.integers(0, 1 + n // 5)), dtype=np.uint32)])
+        if len(b) and simhash.jaccard(a.tobytes(), b.tobytes()) >= 0.8:
+            sketch = np.stack([simhash.parities(a), simhash.parities(b)], axis=1)
+            assert simhash.may_be_similar(np.asarray([len(a), len(b)]), sketch, np.asarray([0]), np.asarray([1]), 0.8).all()
