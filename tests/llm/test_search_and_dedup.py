@@ -235,6 +235,48 @@ def test_components_of_chains_stars_and_loops(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def _edited(rng, kind, words, fresh):
+    """A copy with a block added, removed, cut off at the end, or with words replaced."""
+    n = len(words)
+    cut = max(1, int(n * rng.uniform(0.02, 0.25)))
+    at = int(rng.integers(0, n))
+    if kind == "added":
+        return words[:at] + [fresh() for _ in range(cut)] + words[at:]
+    if kind == "removed":
+        return words[:at] + words[at + cut :]
+    if kind == "cut":
+        return words[: n - cut]
+    out = list(words)
+    for i in rng.choice(n, max(1, cut // 6), replace=False):
+        out[i] = fresh()
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.sampled_from(["added", "removed", "cut", "words"]), st.sampled_from([6, 9, 20, 60, 200, 1500]))
+def test_similar_sets_share_a_key_whatever_the_edit(seed, kind, n):
+    rng = np.random.default_rng(seed)
+    fresh = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    words = [fresh() for _ in range(n)]
+    a, b = (np.frombuffer(simhash.shingle_set(" ".join(w).encode(), 5), np.uint32) for w in (words, _edited(rng, kind, words, fresh)))
+    if simhash.jaccard(a.tobytes(), b.tobytes()) >= 0.8:
+        assert len(np.intersect1d(simhash.set_keys(a, 0.8), simhash.set_keys(b, 0.8)))
+
+
+def test_every_similar_pair_of_small_sets_shares_a_key():
+    rng = np.random.default_rng(3)
+    pool = np.sort(rng.choice(1 << 32, 400, replace=False).astype(np.uint32))
+    similar = 0
+    for _ in range(3000):
+        n = int(rng.integers(1, 40))
+        a = set(rng.choice(400, n, replace=False).tolist())
+        b = set(a) - set(rng.choice(sorted(a), min(len(a) - 1, int(rng.integers(0, 5))), replace=False).tolist()) | set(rng.choice(400, int(rng.integers(0, 5))).tolist())
+        if len(a & b) >= 0.8 * len(a | b):
+            similar += 1
+            assert len(np.intersect1d(simhash.set_keys(pool[sorted(a)], 0.8), simhash.set_keys(pool[sorted(b)], 0.8)))
+    assert similar > 500
+
+
 def _survivors(rows):
     """Documents that brute force keeps: components of similarity 0.8 on texts or three bits, the smallest id of each."""
     sets = {i: simhash.shingle_set(t.encode(), 5) for i, t in rows}
@@ -247,6 +289,18 @@ def _survivors(rows):
     return {joined.find(i) for i in sets}
 
 
+def test_block_edits_and_short_texts_are_found(spark):
+    """A block added or removed moves distinct words as much as shingles, beyond eight bits of a fingerprint."""
+    rng = np.random.default_rng(8)
+    fresh = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    rows = []
+    for base, kind in enumerate(["added", "removed", "cut", "words"] * 15):
+        words = [fresh() for _ in range(int(rng.choice([12, 25, 60, 200])))]
+        rows += [(base * 10, " ".join(words)), (base * 10 + 1, " ".join(_edited(rng, kind, words, fresh)))]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == _survivors(rows)
+
+
 def test_a_dense_group_is_joined_past_the_nearest(spark):
     """Texts with many closer-looking neighbours of other classes that fail are still compared with all the rest."""
     rng = np.random.default_rng(9)
