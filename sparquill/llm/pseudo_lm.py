@@ -7,8 +7,8 @@ the conditional log-probabilities is the document's score.
 
 * vocabulary: words of all documents are counted; the most frequent get numbers of
   their own, the rest share hash buckets. A class holds tokens of neighbouring rank.
-* train: documents chosen by a hash of their id (a fixed share, so that the sample
-  grows with the corpus) are dealt to trainers of about `docs_per_trainer` documents.
+* train: all documents are dealt, by a hash of id and text, to trainers of about
+  `docs_per_trainer` documents.
   Each trains a copy in numpy over its whole texts; copies are averaged slice by
   slice in a tree, weighted by their tokens, and the next round starts from there.
 * score: the parameters, of fixed size, are broadcast and every text is scored whole,
@@ -40,8 +40,8 @@ VOCABULARY = CLASSES * WITHIN
 RARE = 256
 REACH = 2
 EMBEDDING, HIDDEN = 16, 32
-#: One document in so many trains, and about so many go to a trainer.
-SHARE, DOCS_PER_TRAINER = 16, 1000
+#: One document in so many trains (1: all of them), and about so many go to a trainer.
+SHARE, DOCS_PER_TRAINER = 1, 1000
 ROUNDS = 2
 BLOCK = 1 << 15
 _SLICE = 8192
@@ -223,10 +223,9 @@ def _ids(raw: bytes, number: ByMiss) -> np.ndarray:
 def train(docs: DataFrame, words: list[str], text: str = "text", key: str = "doc_id", share: int = SHARE, docs_per_trainer: int = DOCS_PER_TRAINER, rounds: int = ROUNDS, rate: float = 0.1, batch: int = 512) -> Network:
     """The averaged network of all trainers."""
     spark = docs.sparkSession
-    chosen = docs.select(F.xxhash64(key).alias("h"), text_bytes(text).alias("t")).where(F.pmod("h", F.lit(share)) == 0)
-    chosen = store(chosen, "training-texts")
-    trainers = max(1, -(-chosen.count() // docs_per_trainer))
-    dealt = store(chosen.withColumn("trainer", F.pmod(F.shiftright("h", 20), F.lit(trainers)).cast("int")).repartition(trainers, "trainer"), "trainers")
+    texts = docs.select(F.xxhash64(key, text).alias("h"), text_bytes(text).alias("t")).where(F.pmod("h", F.lit(share)) == 0)
+    trainers = max(1, -(-texts.count() // docs_per_trainer))
+    dealt = store(texts.withColumn("trainer", F.pmod(F.shiftright("h", 20), F.lit(trainers)).cast("int")).repartition(trainers, "trainer"), "trainers")
     net = Network.fresh()
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast((words, net.flat))

@@ -180,3 +180,11 @@ def test_training_prefers_the_corpus(spark):
     assert got[0] > got[1] + 0.3
     fresh = {r.doc_id: r.log_likelihood / r.n_tokens for r in pseudo_lm.score(test, words, pseudo_lm.Network.fresh()).collect()}
     assert got[0] > fresh[0] + 2
+
+
+def test_every_document_trains_the_language_model(spark):
+    """A single document trains the network, whatever its id hashes to and where it has none."""
+    for i in [None, *range(4)]:
+        docs = spark.createDataFrame([(i, "one two three four five six seven")], "doc_id long, text string")
+        net = pseudo_lm.train(docs, ["one", "two"], rounds=1)
+        assert not np.array_equal(net.flat, pseudo_lm.Network.fresh().flat)
