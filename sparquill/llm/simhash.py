@@ -29,11 +29,13 @@ keep_one(docs) filters documents. Three bits are few for texts of a similarity o
 (about one pair in four), so it searches once more, exactly, among the shingle sets:
 
 * Sets of sizes x <= y with a similarity of s differ in at most x * (1 - s) / s hashes.
-  The hashes' range is cut into buckets, by classes of size; a set gives one key more,
-  of buckets with content, than it may have hashes that differ. Two such sets then share
-  a key, wherever the edits are (set_keys).
+  The hashes' range is cut into more buckets than that, by classes of size; a set gives a
+  key for each bucket with two hashes or more, or fewer where it is too small for that.
+  Two such sets then share a number of keys that each of them knows, wherever the edits
+  are (set_keys).
 * Under every key a text is verified against its nearest of other components; then
-  whatever pairs are still apart and not yet verified are verified, all of them.
+  whatever pairs are still apart, not yet verified and share the keys they must are
+  verified, all of them. Only texts in such pairs are read again for their sets.
 
 Defined results: a text without words (null and empty too) has fingerprint zero and
 is linked like any other; repeated rows and null ids give a row each, a null id
@@ -43,14 +45,15 @@ table gives an empty table.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
-from math import ceil, comb
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparquill.llm.common import Batch, map_batches, store, text_bytes
@@ -71,9 +74,12 @@ SIMILARITY, WORDS = 0.8, 5
 NEAREST = 2
 #: 64-bit words of a set's parities.
 SKETCH = 8
-#: Least sizes of the classes of set size, each 1.5 times the one before.
-_SIZES = np.asarray(sorted({ceil(1.5**i) for i in range(56)}), np.int64)
+#: Least sizes of the classes of set size, each twice the one before, and the mean content of a bucket at the top of a class.
+_SIZES, FILL = 2 ** np.arange(33, dtype=np.int64), 3.0
+#: A key of more texts than this is cut into parts of so many at first, and into pairs of chunks for what stays apart.
+DENSE, PART = 8192, 2048
 _AT_ONCE = 1 << 16
+_PARITIES = [f"p{i}" for i in range(SKETCH)]
 
 
 def fingerprint(raw: bytes, size: int = SHINGLE) -> int:
@@ -308,10 +314,10 @@ def link(distinct: DataFrame, radius: int = RADIUS, sample_size: int = SAMPLE, h
 # --- verified similarity, beyond the radius of the fingerprints
 
 
-def pairs_in_groups(group: np.ndarray, fp: np.ndarray, other: np.ndarray, root: np.ndarray, told: np.ndarray, radius: int, other_radius: int, nearest: int) -> np.ndarray:
-    """(root, root, told, told): each row with its nearest rows of other roots in its group, if both fingerprints are near.
+def _met(group: np.ndarray, fp: np.ndarray, other: np.ndarray, root: np.ndarray, told: np.ndarray, radius: int, other_radius: int, nearest: int) -> np.ndarray:
+    """Positions (i, j), i < j: each row with its nearest rows of other roots in its group, if both fingerprints are near.
 
-    With a small `nearest`, rows out grow with rows in, however dense a group is.
+    With a small `nearest`, pairs grow with rows, however dense a group is.
     """
     far = BITS * 4
     found: list[np.ndarray] = []
@@ -357,8 +363,14 @@ def pairs_in_groups(group: np.ndarray, fp: np.ndarray, other: np.ndarray, root:
                 found.append(np.stack([rows[near], columns[best[near]]]))
                 d[np.arange(len(rows)), best] = far
     if not found:
-        return np.empty((0, 4), np.int64)
+        return np.empty((2, 0), np.int64)
     i, j = np.concatenate(found, axis=1)
+    return np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)]), axis=1)
+
+
+def pairs_in_groups(group: np.ndarray, fp: np.ndarray, other: np.ndarray, root: np.ndarray, told: np.ndarray, radius: int, other_radius: int, nearest: int) -> np.ndarray:
+    """(root, root, told, told) of the pairs that met."""
+    i, j = _met(group, fp, other, root, told, radius, other_radius, nearest)
     turned = root[i] > root[j]
     i, j = np.where(turned, j, i), np.where(turned, i, j)
     return np.unique(np.stack([root[i], root[j], told[i], told[j]], axis=1), axis=0)
@@ -390,46 +402,59 @@ def _apart(n: int, similarity: float) -> int:
     return int(n * (1 - similarity) / similarity + 1e-6)
 
 
-def set_keys(hashes: np.ndarray, similarity: float) -> np.ndarray:
-    """Keys of a set of sorted distinct 32-bit hashes: any two sets of at least the similarity share one.
+def keys_and_least(hashes: np.ndarray, similarity: float) -> tuple[np.ndarray, int]:
+    """Keys of a set of sorted distinct 32-bit hashes, and how many of them any set of at least the similarity shares.
 
-    A set gives the keys of its first d + 1 buckets with content, where d is the most hashes
-    it can differ in; so many buckets can't all differ. A set with fewer gives all of them and
-    those without content. A set that may be similar to a larger one of the next class of sizes
-    gives keys of that class as well.
+    Of k buckets at most d differ between two such sets, d being the most hashes that can.
+    A set gives keys of its buckets with at least `content` hashes, the largest content of
+    2, 1 and 0 that leaves k - d - (buckets with less) positive. Buckets that are equal hold
+    equally many, so each that the set with the higher content gives is also the other's,
+    and at least that difference of them are. A set that may be similar to a larger one of
+    the next class of sizes gives keys of that class as well.
     """
     n = len(hashes)
-    needed = _apart(n, similarity) + 1
     own = int(np.searchsorted(_SIZES, n, "right")) - 1
-    found = []
+    found, least = [], n + 1
     for level in range(own, len(_SIZES) - 1):
         if level > own and n < similarity * _SIZES[level] - 1e-6:
             break
-        k = int(1.1 * _apart(int(_SIZES[level + 1]), similarity)) + 3
+        top = int(_SIZES[level + 1]) - 1
+        larger = min(top, n / similarity)
+        d = int((n + larger) * (1 - similarity) / (1 + similarity) + 1e-6)
+        k = max(int(top / FILL), _apart(top, similarity) + 2)
         bucket = (hashes.astype(np.uint64) * np.uint64(k)) >> np.uint64(32)
         starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        sizes = np.diff(np.r_[starts, n])
         keys = np.add.reduceat(_mixed(hashes), starts)
-        if len(keys) < needed:
-            without = np.setdiff1d(np.arange(k, dtype=np.uint64), bucket[starts])
-            keys = np.r_[keys, _mixed(without + np.uint64(1 << 40))]
+        empty = k - len(starts)
+        shared = {2: k - d - empty - int((sizes < 2).sum()), 1: k - d - empty, 0: k - d}
+        content = next(c for c in (2, 1, 0) if shared[c] >= 1)
+        if content:
+            keys = keys[sizes >= content]
         else:
-            keys = keys[:needed]
+            keys = np.r_[keys, _mixed(np.setdiff1d(np.arange(k, dtype=np.uint64), bucket[starts]) + np.uint64(1 << 40))]
+        least = min(least, shared[content])
         found.append(_mixed(keys + np.uint64(level << 48)))
-    return np.concatenate(found)
+    return np.concatenate(found), least
+
 
+def set_keys(hashes: np.ndarray, similarity: float) -> np.ndarray:
+    """Keys of a set of sorted distinct 32-bit hashes: any two sets of at least the similarity share one."""
+    return keys_and_least(hashes, similarity)[0]
 
-def same_keys(key: np.ndarray, told: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """(group, told, n) of keys that two texts or more have; keys of the same texts are one group. key is sorted."""
+
+def same_keys(key: np.ndarray, told: np.ndarray) -> np.ndarray:
+    """(group, told, keys) of keys that two texts or more have; keys of the same texts are one group, `keys` of them. key is sorted."""
     same = key[1:] == key[:-1]
-    rows = np.stack([key, told.view(np.int64), n.view(np.int64)], axis=1)[np.r_[False, same] | np.r_[same, False]]
+    rows = np.stack([key, told.view(np.int64)], axis=1)[np.r_[False, same] | np.r_[same, False]]
     if not len(rows):
-        return rows
+        return np.empty((0, 3), np.int64)
     rows = np.unique(rows, axis=0)
     starts = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
     sizes = np.diff(np.r_[starts, len(rows)])
-    group = np.repeat(np.add.reduceat(_mixed(rows[:, 1].view(np.uint64)), starts), sizes).view(np.int64)
-    rows[:, 0] = group
-    return np.unique(rows[np.repeat(sizes, sizes) > 1], axis=0)
+    rows[:, 0] = np.repeat(np.add.reduceat(_mixed(rows[:, 1].view(np.uint64)), starts), sizes).view(np.int64)
+    rows, keys = np.unique(rows[np.repeat(sizes, sizes) > 1], axis=0, return_counts=True)
+    return np.c_[rows, keys]
 
 
 def parities(hashes: np.ndarray) -> np.ndarray:
@@ -449,93 +474,108 @@ def may_be_similar(n: np.ndarray, sketch: np.ndarray, x: np.ndarray, y: np.ndarr
     return out
 
 
-def _keys_of(similarity: float, words: int):
-    """mapInArrow over (told, t): (key, told, n), n the size of the set."""
+def _keys_of(similarity: float, words: int, most: int = 200_000):
+    """mapInArrow over (told, t): (key, told); within a task a text gives its keys once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                keys, told, sizes = [], [], []
-                for name, raw in dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)).items():
-                    hashes = np.frombuffer(shingle_set(raw, words), np.uint32)
-                    keys.append(set_keys(hashes, similarity))
-                    told.append(name)
-                    sizes.append(len(hashes))
-                each = [len(k) for k in keys]
-                columns = np.concatenate(keys).view(np.int64), np.repeat(np.asarray(told, np.int64), each), np.repeat(np.asarray(sizes, np.int64), each)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "told", "n"])
+                keys, told = [], []
+                for name, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    if name not in seen:
+                        if len(seen) >= most:
+                            seen.clear()
+                        seen.add(name)
+                        keys.append(set_keys(np.frombuffer(shingle_set(raw.as_py(), words), np.uint32), similarity))
+                        told.append(name)
+                if keys:
+                    columns = np.concatenate(keys).view(np.int64), np.repeat(np.asarray(told, np.int64), [len(k) for k in keys])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "told"])
 
     return run
 
 
-def _pairs(grouped: DataFrame, similarity: float, nearest: int, heavy: int = HEAVY) -> DataFrame:
-    """(a, b, x, y): pairs of roots and texts, from (key, told, n, root, fp, parities) rows; large keys are dealt as pairs of chunks."""
-    per_key = grouped.groupBy("key").agg(F.count("*").alias("rows"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
-    k = F.when(F.col("rows") > heavy, F.ceil(F.sqrt(F.col("rows") / F.lit(float(CHUNK))))).otherwise(1).cast("long")
-    split = grouped.join(per_key.select("key", k.alias("k")), "key")
-    split = split.withColumn("own", F.pmod(F.xxhash64("told"), F.col("k"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-    unit = F.least("own", "other") * F.col("k") + F.greatest("own", "other")
-    dealt = split.select("key", unit.alias("unit"), F.lit(0).cast("long").alias("zero"), "fp", "root", "told", "n", *[f"p{i}" for i in range(SKETCH)])
+def _pairs(grouped: DataFrame, similarity: float, nearest: int) -> DataFrame:
+    """(a, b, x, y): pairs of roots and texts, from (key, told, keys, root, fp, n, least, parities) rows.
+
+    With `nearest`, each text and the nearest of its part of a key; without, all pairs of different
+    roots that share as many keys as they must, large keys being dealt as pairs of chunks.
+    """
+    per_key = grouped.groupBy("key").agg(F.count("*").alias("rows"), F.min("root").alias("least_root"), F.max("root").alias("most_root")).where("least_root <> most_root")
+    parts = F.ceil(F.col("rows") / F.lit(float(DENSE))) if nearest else F.ceil(F.sqrt(F.col("rows") / F.lit(float(PART))))
+    k = F.when(F.col("rows") > DENSE, parts).otherwise(1).cast("long")
+    split = grouped.join(per_key.select("key", k.alias("k")), "key").withColumn("own", F.pmod(F.xxhash64("told", "key"), F.col("k")))
+    unit = F.col("own")
+    if not nearest:
+        split = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+        unit = F.least("own", "other") * F.col("k") + F.greatest("own", "other")
+    dealt = split.select("key", unit.alias("unit"), F.lit(0).cast("long").alias("zero"), "fp", "root", "told", "keys", "n", "least", *_PARITIES)
     dealt = dealt.repartition("key", "unit").sortWithinPartitions("key", "unit")
 
     def search(group: np.ndarray, c: list[np.ndarray]) -> np.ndarray:
-        root, told, n = (x.view(np.int64) for x in c[1:4])
-        most = len(group) if nearest == 0 else nearest
-        found = pairs_in_groups(group, c[0], c[0], root, told, BITS, BITS, most)
-        names, at = np.unique(told, return_index=True)
-        x, y = (at[np.searchsorted(names, found[:, i])] for i in (2, 3))
-        return found[may_be_similar(n, np.stack(c[4:]), x, y, similarity)]
+        root, told, keys, n, least = (x.view(np.int64) for x in c[1:6])
+        i, j = _met(group, c[0], c[0], root, told, BITS, BITS, nearest or len(group))
+        may = may_be_similar(n, np.stack(c[6:]), i, j, similarity)
+        i, j = i[may], j[may]
+        turned = root[i] > root[j]
+        i, j = np.where(turned, j, i), np.where(turned, i, j)
+        pairs, of = np.unique(np.stack([root[i], root[j], told[i], told[j], np.minimum(least[i], least[j])], axis=1), axis=0, return_inverse=True)
+        return np.c_[pairs, np.bincount(of.ravel(), weights=keys[i], minlength=len(pairs)).astype(np.int64)]
 
-    return dealt.mapInArrow(_in_groups(search, ["a", "b", "x", "y"]), "a long, b long, x long, y long").distinct()
+    names = ["a", "b", "x", "y", "least", "keys"]
+    met = dealt.mapInArrow(_in_groups(search, names), ", ".join(f"{c} long" for c in names))
+    found = met.groupBy("a", "b", "x", "y").agg(F.min("least").alias("least"), F.sum("keys").alias("keys"))
+    return (found if nearest else found.where("keys >= least")).select("a", "b", "x", "y")
 
 
 def similar_roots(members: DataFrame, texts: DataFrame, similarity: float, words: int, nearest: int = NEAREST) -> DataFrame:
     """(root, whole): classes that hold texts of at least the similarity in shingles of `words` words, joined.
 
-    members: (told, root, fp), a row for each distinct text; texts: (told, t). Texts that share
-    a key of set_keys are candidates. Each is first verified against its `nearest` of other
-    classes under every key; of classes that stay apart, every other pair follows.
+    members: (told, first, root, fp, n, least, parities), a row for each distinct text, `first` a
+    (none, doc_id, told) that has it; texts: (doc_id, told, t). Texts that share a key are candidates.
+    Each is first verified against its `nearest` of other classes under every key; of classes that
+    stay apart, every other pair that shares as many keys as it must follows.
     """
-    keyed = texts.mapInArrow(_keys_of(similarity, words), "key long, told long, n long")
+    keyed = texts.select("told", "t").mapInArrow(_keys_of(similarity, words), "key long, told long")
     zero = F.lit(0).cast("long")
-    dealt = keyed.repartition("key").sortWithinPartitions("key").select("key", zero.alias("unit"), zero.alias("code"), "told", "n")
-    groups = dealt.mapInArrow(_in_groups(lambda group, c: same_keys(group, *c), ["key", "told", "n"]), "key long, told long, n long").distinct()
-    groups = store(groups, "same-keys")
-    wanted = groups.select("told").distinct()
-
-    def to_sets(batches: Iterator[Batch]) -> Iterator[Batch]:
-        for b in batches:
-            sets = [shingle_set(raw, words) for raw in b["t"]]
-            bits = np.stack([parities(np.frombuffer(x, np.uint32)) for x in sets], axis=1).view(np.int64).tolist()
-            yield {"told": b["told"], "s": sets, **{f"p{i}": x for i, x in enumerate(bits)}}
-
-    schema = "told long, s binary, " + ", ".join(f"p{i} long" for i in range(SKETCH))
-    sets = map_batches(texts.join(wanted, "told", "left_semi"), to_sets, schema)
-    sets = store(sets.groupBy("told").agg(*[F.first(c).alias(c) for c in sets.columns if c != "told"]), "shingle-sets")
-    groups = store(groups.join(members, "told").join(sets.drop("s"), "told"), "similar-groups")
-    sets = sets.select("told", "s")
+    dealt = keyed.repartition("key").sortWithinPartitions("key").select("key", zero.alias("unit"), zero.alias("code"), "told")
+    groups = dealt.mapInArrow(_in_groups(lambda group, c: same_keys(group, *c), ["key", "told", "keys"]), "key long, told long, keys long")
+    # a group of the same texts may come from several batches and tasks
+    groups = store(groups.groupBy("key", "told").agg(F.sum("keys").alias("keys")), "same-keys")
+    groups = store(groups.join(members.drop("first"), "told"), "similar-groups")
+    places = members.select(F.col("first.doc_id").alias("doc_id"), "told")
 
     first = store(_pairs(groups, similarity, nearest), "candidate-pairs")
-    edges = _verified(first, sets, similarity)
+    edges = _verified(first, texts, places, similarity, words)
     joined = store(components(edges).select(F.col("node").alias("root"), F.col("root").alias("whole")), "joined")
     moved = groups.join(joined, "root", "left").withColumn("root", F.coalesce("whole", "root")).drop("whole")
     had = first.select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"))
     rest = _pairs(moved, similarity, 0).withColumns({"p": F.least("x", "y"), "q": F.greatest("x", "y")})
     rest = store(rest.join(had, ["p", "q"], "left_anti").drop("p", "q"), "rest-pairs")
     # a class that the first round moved is named by its whole in the second
-    edges = edges.unionByName(_verified(rest, sets, similarity))
+    edges = edges.unionByName(_verified(rest, texts, places, similarity, words))
     return components(edges).select(F.col("node").alias("root"), F.col("root").alias("whole"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of the pairs whose texts have at least the similarity; sets: (told, s)."""
+def _verified(pairs: DataFrame, texts: DataFrame, places: DataFrame, similarity: float, words: int) -> DataFrame:
+    """(a, b) of the pairs whose texts have at least the similarity; sets are made of one place of each text in a pair."""
+
+    def to_sets(batches: Iterator[Batch]) -> Iterator[Batch]:
+        for b in batches:
+            yield {"told": b["told"], "s": [shingle_set(raw, words) for raw in b["t"]]}
 
     def verify(batches: Iterator[Batch]) -> Iterator[Batch]:
         for b in batches:
             kept = [(p, q) for p, q, s, t in zip(b["a"], b["b"], b["s"], b["t"], strict=True) if jaccard(s, t) >= similarity]
             yield {"a": [p for p, _ in kept], "b": [q for _, q in kept]}
 
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("told")).distinct()
+    here = store(places.join(wanted, "told", "left_semi"), "texts-in-pairs")
+    found = texts.join(here, (texts["told"] == here["told"]) & texts["doc_id"].eqNullSafe(here["doc_id"]), "left_semi")
+    sets = map_batches(found.select("told", "t"), to_sets, "told long, s binary")
+    sets = store(sets.groupBy("told").agg(F.first("s").alias("s")), "shingle-sets")  # repeated rows of an id
     both = pairs.join(sets.withColumnRenamed("told", "x"), "x").join(sets.select(F.col("told").alias("y"), F.col("s").alias("t")), "y")
     return store(map_batches(both.select("a", "b", "s", "t"), verify, "a long, b long", rows=64).distinct(), "similar")
 
@@ -567,24 +607,37 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: i
 
     def run(batches: Iterator[Batch]) -> Iterator[Batch]:
         for b in batches:
-            yield {"doc_id": b["k"], "told": b["h"], "fp": [signed(fingerprint(raw, size)) for raw in b["t"]]}
-
-    rows = docs.select(F.col(key).cast("long").alias("k"), told.alias("h"), text_bytes(text).alias("t"))
-    fps = store(map_batches(rows, run, "doc_id long, told long, fp long"), "fingerprints")
-    roots = component_of(fps, radius).select("fp", "root")
+            out: Batch = {"doc_id": b["doc_id"], "told": b["told"], "fp": [], "n": [], "least": []}
+            sketch = []
+            for raw in b["t"]:
+                hashes = np.frombuffer(shingle_set(raw, words), np.uint32)
+                out["fp"].append(signed(fingerprint(raw, size)))
+                out["n"].append(len(hashes))
+                out["least"].append(keys_and_least(hashes, similarity)[1])
+                sketch.append(parities(hashes))
+            yield out | dict(zip(_PARITIES, np.stack(sketch, axis=1).view(np.int64).tolist(), strict=True))
+
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), told.alias("told"), text_bytes(text).alias("t"))
+    longs = ["doc_id", "told", "fp", "n", "least", *_PARITIES]
+    fps = store(map_batches(rows, run, ", ".join(f"{c} long" for c in longs)), "fingerprints")
+    roots = component_of(fps.select("doc_id", "fp"), radius).select("fp", "root")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "told"))
-    per_text = fps.groupBy("told", "fp").agg(first.alias("first"))  # every distinct text, whatever fingerprint it shares
+    per_text = fps.groupBy(*longs[1:]).agg(first.alias("first"))  # every distinct text, whatever fingerprint it shares
     member = store(per_text.join(roots, "fp"), "similar-members")
-    merged = similar_roots(member.select("told", "root", "fp"), rows.select(F.col("h").alias("told"), "t"), similarity, words)
+    merged = similar_roots(member, rows, similarity, words)
     whole = member.join(merged, "root", "left").withColumn("whole", F.coalesce("whole", "root"))
-    kept = whole.groupBy("whole").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.told").alias("__h"))
-    kept = store(kept, "kept")
-    here = docs.withColumn("__told", told)
-    found = here.join(kept, here["__told"].eqNullSafe(kept["__h"]) & here[key].cast("long").eqNullSafe(kept["__id"]), "left_semi")
-    again = fps.groupBy("doc_id", "told").agg(F.count("*").alias("n")).where("n > 1")
-    if not again.isEmpty():
-        found = found.dropDuplicates([key, "__told"])
-    return found.drop("__told")
+    kept = store(whole.groupBy("whole").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("id"), F.col("first.told").alias("h")), "kept")
+    found = docs.join(kept, told.eqNullSafe(kept["h"]) & docs[key].cast("long").eqNullSafe(kept["id"]), "left_semi")
+    again = fps.groupBy("doc_id", "told").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("id"), F.col("told").alias("h"))
+    if again.isEmpty():
+        return found
+    # rows that repeat id and text: the one whose JSON hashes least
+    again = store(again, "repeated")
+    same = told.eqNullSafe(again["h"]) & docs[key].cast("long").eqNullSafe(again["id"])
+    order = Window.partitionBy(F.col(key).cast("long"), told).orderBy(F.xxhash64(F.to_json(F.struct(*docs.columns))))
+    place = uuid.uuid4().hex  # no column of the caller's has this name
+    one = found.join(again, same, "left_semi").withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
+    return found.join(again, same, "left_anti").unionByName(one)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
