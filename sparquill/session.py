@@ -19,6 +19,7 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, checkpoint_dir: st
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("SPARQUILL_DRIVER_MEMORY", "12g"))
         .config(map=conf)
         .getOrCreate()
