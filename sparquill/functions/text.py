@@ -89,8 +89,9 @@ def normalize_title(col: ColumnLike) -> Column:
 
 
 def slug(col: ColumnLike) -> Column:
-    """Lower case, runs of non-word characters to one dash, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(F.lower(text_or_empty(col)), "(?U)[^\\w]+", "-"), "^-+|-+$", "")
+    """Lower case, runs of non-word characters to one dash, none at the ends; `section` if nothing is left."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(text_or_empty(col)), "(?U)[^\\w]+", "-"), "^-+|-+$", "")
+    return F.when(plain == "", "section").otherwise(plain)
 
 
 def strip_tags(col: ColumnLike) -> Column:
@@ -113,14 +114,16 @@ def strip_inline(col: ColumnLike) -> Column:
 
 
 def sentences(col: ColumnLike) -> Column:
-    """Split after ., !, ? and their full-width forms where white space follows; blanks dropped."""
-    parts = F.split(text_or_empty(col), "(?<=[.!?。！？])\\s+")
-    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda s: s != "")
+    """White space collapsed, split after ., !, ? and their full-width forms where a space follows; blanks dropped."""
+    plain = F.trim(F.regexp_replace(text_or_empty(col), "(?U)\\s+", " "))
+    return F.filter(F.split(plain, "(?<=[.!?。！？]) "), lambda s: s != "")
 
 
-def matching_sentences(col: ColumnLike, pattern: str, most: int) -> Column:
-    """The first `most` distinct sentences that match."""
-    return F.slice(F.array_distinct(F.filter(sentences(col), lambda s: s.rlike(pattern))), 1, most)
+def matching_sentences(col: ColumnLike, pattern: str, most: int, longest: int = 500) -> Column:
+    """The first `most` sentences that match, cut to `longest` characters, of those that differ in case alone the first."""
+    hits = F.transform(F.filter(sentences(col), lambda s: s.rlike(pattern)), lambda s: F.trim(F.substring(s, 1, longest)))
+    low = F.transform(hits, lambda s: F.lower(s))
+    return F.slice(F.filter(hits, lambda s, i: F.array_position(low, F.lower(s)) == i + 1), 1, most)
 
 
 # Patterns of sentences that measure something or limit a claim.
@@ -134,11 +137,11 @@ LIMITATION = (
 )
 
 
-def quantitative_signals(col: ColumnLike, most: int = 10) -> Column:
+def quantitative_signals(col: ColumnLike, most: int = 8) -> Column:
     return matching_sentences(col, QUANTITY, most)
 
 
-def limitations(col: ColumnLike, most: int = 6) -> Column:
+def limitations(col: ColumnLike, most: int = 5) -> Column:
     return matching_sentences(col, LIMITATION, most)
 
 
@@ -185,10 +188,11 @@ def flip_name(col: ColumnLike) -> Column:
     return F.when(t.contains(","), F.trim(F.concat_ws(" ", F.trim(F.regexp_extract(t, ",(.*)$", 1)), F.trim(F.regexp_extract(t, "^([^,]*),", 1))))).otherwise(t)
 
 
-def safe_name(col: ColumnLike, most: int = 80) -> Column:
-    """A name fit for a file: word characters, dots and dashes."""
-    t = F.regexp_replace(F.trim(text_or_empty(col)), "[^A-Za-z0-9._-]+", "-")
-    return F.substring(F.regexp_replace(t, "^-+|-+$", ""), 1, most)
+def run_name(col: ColumnLike, most: int = 48) -> Column:
+    """A query as a name: ASCII letters, digits and CJK, dashes for the rest, at most `most` characters, lower case; `query` if nothing is left."""
+    t = F.regexp_replace(F.trim(text_or_empty(col)), "[^A-Za-z0-9\\u3400-\\u9FFF]+", "-")
+    plain = F.lower(F.substring(F.regexp_replace(t, "^-+|-+$", ""), 1, most))
+    return F.when(plain == "", "query").otherwise(plain)
 
 
 def similar_titles(a: ColumnLike, b: ColumnLike, least: float = 0.8) -> Column:
@@ -205,7 +209,7 @@ def citekeys(col: ColumnLike) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(found, lambda k: F.regexp_replace(k, "[.,;:)\\]}]+$", "")), lambda k: k != "")))
 
 
-# Patterns of author-year citations: a surname, maybe a second one, maybe "et al.".
+# Patterns of author-year citations; a surname, maybe a second one, maybe "et al.".
 _SURNAME = "[A-Z][a-zA-ZÀ-ÿ\\-']+"
 _AUTHORS = f"{_SURNAME}(?:\\s+(?:and|&|et)\\s+{_SURNAME})?(?:\\s+et\\s+al\\.)?"
 NARRATIVE = f"({_AUTHORS})\\s*\\((\\d{{4}})\\)"
@@ -236,7 +240,11 @@ def surname(col: ColumnLike) -> Column:
     return F.trim(F.element_at(F.split(t, "\\s+(?:and|&|et)\\s+"), 1))
 
 
+# What a publisher's notice says.
+NOTICES = ("abstract is not available", "preview has been provided", "access link")
+
+
 def is_boilerplate(col: ColumnLike) -> Column:
-    """Abstracts that are a publisher's notice rather than a summary."""
-    t = F.lower(F.trim(text_or_empty(col)))
-    return t.rlike("^(?:click to (?:increase|decrease) image size|abstract (?:is )?not available|no abstract|all rights reserved|©|\\(c\\) )")
+    """Abstracts that hold a publisher's notice rather than a summary."""
+    t = F.lower(text_or_empty(col))
+    return reduce(lambda a, b: a | b, [t.contains(n) for n in NOTICES])

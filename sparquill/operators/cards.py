@@ -13,7 +13,10 @@ from sparquill.functions import text as X
 from sparquill.operators import headings as H
 
 # Document types without a conclusion, budgets of a synthesis, and the ranks of failures.
-SKIPPED_TYPES = ("book", "thesis", "dissertation", "patent", "document")
+SKIPPED_TYPES = (
+    "thesis", "dissertation", "book", "monograph", "edited-book", "reference-book", "book-chapter", "book-section", "book-part",
+    "document", "technical-report", "lecture-notes", "patent",
+)
 SOURCE_CHARS, SECTION_CHARS = 18_000, 6_000
 FAILURES = ("no_text", "no_headings", "no_conclusion", "too_short")
 LEAST_CONCLUSION = 80
@@ -41,13 +44,6 @@ def render(card: str = "card") -> Column:
     return F.when(F.coalesce(takeaway, F.lit("")) == "", F.lit(None)).when(bare, takeaway).otherwise(whole)
 
 
-def _distinct_sentences(col: Column, pattern: str, most: int) -> Column:
-    """The first matching sentences, cut to 500 characters, repeated ones (whatever the case) once."""
-    hits = F.transform(F.filter(X.sentences(F.regexp_replace(col, "\\s+", " ")), lambda s: s.rlike(pattern)), lambda s: F.trim(F.substring(s, 1, 500)))
-    low = F.transform(hits, lambda s: F.lower(s))
-    return F.slice(F.filter(hits, lambda s, i: F.array_position(low, F.lower(s)) == i + 1), 1, most)
-
-
 def conclusion_sections(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, title, body) of each document's last section whose heading names a conclusion."""
     lines = H.lines(docs, key, text)
@@ -71,9 +67,9 @@ def cards(docs: DataFrame, key: str = "dir_name", text: str = "markdown", paper_
     found = has.join(n_heads, key, "left").join(conclusion_sections(docs, key, text), key, "left")
     long = F.length("body") >= LEAST_CONCLUSION
     reason = F.when(F.trim("__t") == "", FAILURES[0]).when(F.col("__heads").isNull(), FAILURES[1]).when(F.col("body").isNull(), FAILURES[2]).when(~long, FAILURES[3])
-    skipped = F.lower(F.coalesce("__type", F.lit(""))).isin(*SKIPPED_TYPES)
-    signals = F.transform(_distinct_sentences(F.col("body"), X.QUANTITY, 8), lambda s: F.struct(s.alias("text"), F.col("title").alias("source")))
-    card = F.struct(F.col("body").alias("takeaway"), F.lit("high").alias("confidence"), F.lit("explicit_section").alias("mode"), F.array().cast("array<struct<claim:string,basis:string>>").alias("key_findings"), signals.alias("quantitative_signals"), _distinct_sentences(F.col("body"), X.LIMITATION, 5).alias("limitations"), F.array().cast("array<string>").alias("warnings"))
+    skipped = F.lower(F.trim(F.coalesce("__type", F.lit("")))).isin(*SKIPPED_TYPES)
+    signals = F.transform(X.quantitative_signals("body"), lambda s: F.struct(s.alias("text"), F.col("title").alias("source")))
+    card = F.struct(F.col("body").alias("takeaway"), F.lit("high").alias("confidence"), F.lit("explicit_section").alias("mode"), F.array().cast("array<struct<claim:string,basis:string>>").alias("key_findings"), signals.alias("quantitative_signals"), X.limitations("body").alias("limitations"), F.array().cast("array<string>").alias("warnings"))
     return found.select(key, F.when(~skipped & long, card).alias("card"), F.when(skipped, "skipped").when(F.coalesce(long, F.lit(False)), "ok").otherwise("failed").alias("status"), F.when(~skipped, reason).alias("reason"))
 
 

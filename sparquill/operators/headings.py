@@ -50,10 +50,16 @@ def running_headers(docs: DataFrame, key: str, text: str, least: int = RUNNING)
     return said.groupBy(key, "title").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
+def running_headings(headings: DataFrame, key: str, least: int = RUNNING) -> DataFrame:
+    """(key, title, n) of headings, as markdown_headings gives them, that one document repeats at least `least` times."""
+    said = headings.select(key, F.lower(F.trim("title")).alias("title"))
+    return said.groupBy(key, "title").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
 def toc(headings: DataFrame, key: str, paper_title: Column | None = None) -> DataFrame:
     """Headings that make a table of contents: repeated ones, the title and noise go; numbered, chapter and known ones stay."""
     low = F.lower(F.trim("title"))
-    repeats = F.count("*").over(Window.partitionBy(key, low))
+    repeats = F.count("*").over(Window.partitionBy(key, low))  # headings, not lines
     kept = headings.withColumn("__n", repeats).where((F.col("__n") < RUNNING) & ~low.isin(*NOISE)).drop("__n")
     if paper_title is not None:
         kept = kept.where(~X.similar_titles("title", paper_title))

@@ -72,14 +72,14 @@ def _boundary(text: str, at: int, floor: int) -> int:
 def slices(text: str, size: int, overlap: int) -> list[str]:
     """Overlapping pieces cut at white space; a piece without any is cut at its full size.
 
-    Each piece begins at least size - overlap - (its retreat) after the last, so that
-    text without white space takes about len / (size - overlap) pieces.
+    Every piece begins after the last one did: where a piece is no longer than the
+    overlap, the next begins at its end.
     """
     found, start = [], 0
     while start < len(text):
         end = min(start + size, len(text))
         if end < len(text):
-            soft = _boundary(text, end, start + size // 2)
+            soft = _boundary(text, end, start + max(size // 2, 1))
             if text[soft - 1].isspace():
                 end = soft
         piece = text[start:end].strip()
@@ -88,8 +88,11 @@ def slices(text: str, size: int, overlap: int) -> list[str]:
         if end == len(text):
             break
         back = end - overlap
+        if back <= start:
+            start = end
+            continue
         soft = _boundary(text, back, start + 1)
-        start = soft if soft > start + 1 or text[soft - 1].isspace() else max(back, start + 1)
+        start = soft if text[soft - 1].isspace() else back
     return found
 
 

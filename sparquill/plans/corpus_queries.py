@@ -445,15 +445,10 @@ def backward_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.backward_windows(d, "doc_id", F.col("n"))
 
 
-@query("""
-    SELECT doc_id, 'However, n = ' || n_chars || ' was small.' AS first_signal, 'However, n = ' || n_chars || ' was small.' AS first_limit FROM documents
-""")
+@query()
 def sentence_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences that measure or limit something, in texts made inside the query."""
-    t = F.concat(F.lit("We saw 12% of "), F.col("lang"), F.lit(". However, n = "), F.col("n_chars").cast("string"), F.lit(" was small. Nothing else! "), F.substring("text", 1, 40))
-    d = table(spark, sf_dir, "documents").select("doc_id", t.alias("t"))
-    # \b after % needs a letter, so the first measurement is the sample's size
-    return d.select("doc_id", F.try_element_at(X.quantitative_signals("t"), F.lit(1)).alias("first_signal"), F.try_element_at(X.limitations("t"), F.lit(1)).alias("first_limit"))
+    """Sentences of whole texts that measure or limit something; look-behind and \\b on Unicode have no SQL form here."""
+    return table(spark, sf_dir, "documents").select("doc_id", X.quantitative_signals("text").alias("signals"), X.limitations("text").alias("limits"))
 
 
 @query("""

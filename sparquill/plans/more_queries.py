@@ -150,11 +150,23 @@ def conclusion_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.cards(d, "doc_id", "md", "kind").select("doc_id", "status", "reason", F.col("card.takeaway").alias("takeaway"))
 
 
-@query("SELECT doc_id, lower(regexp_replace(source || ' & ' || lang, '[^a-z0-9]+', '-', 'g')) AS slug, doc_id % 2 = 0 AS boilerplate, CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'x' END AS cleaned FROM documents")
+@query("""
+    WITH t AS (SELECT doc_id, coalesce(text, '') AS text, trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+', '-', 'g'), '-') AS slug FROM documents)
+    SELECT doc_id, md5(CASE WHEN slug = '' THEN 'section' ELSE slug END) AS slug,
+           contains(lower(text), 'abstract is not available') OR contains(lower(text), 'preview has been provided') OR contains(lower(text), 'access link') AS boilerplate
+    FROM t
+""")
 def small_text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("doc_id")
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", X.slug(F.concat("source", F.lit(" & "), "lang")).alias("slug"), X.is_boilerplate(F.when(k % 2 == 0, "Abstract not available").otherwise("We find that")).alias("boilerplate"), X.clean_null_words(F.when(k % 2 == 0, " None ").otherwise("x")).alias("cleaned"))
+    """Slugs (as digests) of whole texts, and which hold a publisher's notice."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.slug("text").cast("binary")).alias("slug"), X.is_boilerplate("text").alias("boilerplate"))
+
+
+@query("""
+    SELECT page_id, CASE WHEN name = '' THEN 'query' ELSE name END AS run_name
+    FROM (SELECT page_id, lower(substr(trim(regexp_replace(trim(coalesce(url, '')), '[^A-Za-z0-9\\x{3400}-\\x{9FFF}]+', '-', 'g'), '-'), 1, 48)) AS name FROM pages)
+""")
+def run_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", X.run_name("url").alias("run_name"))
 
 
 @query("SELECT doc_id, (doc_id % 3 <> 2) AS alike FROM documents")

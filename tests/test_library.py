@@ -210,3 +210,34 @@ def test_text_functions(spark):
     assert one(X.surname("t"), "Lee & Kim") == "Lee" and one(X.flip_name("t"), "Doe, Jane") == "Jane Doe"
     assert one(X.similar_titles("t", F.lit("A study of x")), "a study of  X") is True
     assert one(X.limitations("t"), "It works. However, it is slow! Done.") == ["However, it is slow!"]
+
+
+def test_text_rules_of_the_record(spark):
+    """Literal cases, empty and multi-line texts among them."""
+
+    def one(column, value):
+        return spark.createDataFrame([(value,)], "t string").select(column.alias("x")).first().x
+
+    for t in ("The ABSTRACT is not available here", "A preview has been provided", "see the Access Link"):
+        assert one(X.is_boilerplate("t"), t) is True
+    for t in ("", None, "No abstract", "© 2020", "Abstract not available", "Click to increase image size"):
+        assert one(X.is_boilerplate("t"), t) is False
+    assert one(X.slug("t"), "") == one(X.slug("t"), None) == one(X.slug("t"), " -- ") == "section"
+    assert one(X.slug("t"), "方法 与 Results_1") == "方法-与-results_1"
+    assert one(X.run_name("t"), " T cells. v2/β 肿瘤 ") == "t-cells-v2-肿瘤" and one(X.run_name("t"), "...") == "query"
+    assert one(X.run_name("t"), "a" * 60) == "a" * 48
+    assert one(X.sentences("t"), "One\n line.  Two\tlines!\n\nThree") == ["One line.", "Two lines!", "Three"]
+    assert one(X.sentences("t"), " \n ") == [] == one(X.sentences("t"), None)
+    long = "However " + "x" * 600
+    assert one(X.limitations("t"), f"{long}. HOWEVER so. However so. however\nso.") == [long[:500], "HOWEVER so."]
+    assert len(one(X.limitations("t"), " ".join(f"However {i}." for i in range(20)))) == 5
+    assert len(one(X.quantitative_signals("t"), " ".join(f"We saw {i} mice." for i in range(20)))) == 8
+
+
+def test_types_without_a_conclusion(spark):
+    from sparquill.operators import cards as C
+
+    types = ["thesis", "dissertation", "book", "monograph", "edited-book", "reference-book", "book-chapter", "book-section", "book-part", "document", "technical-report", "lecture-notes", "patent"]
+    rows = [(i, f"## Conclusion\n{'This holds. ' * 20}", t) for i, t in enumerate([*types, " Book ", "article", None])]
+    got = {r.d: r.status for r in C.cards(spark.createDataFrame(rows, "d int, t string, k string"), "d", "t", "k").collect()}
+    assert [got[i] for i in range(len(rows))] == ["skipped"] * 14 + ["ok"] * 2

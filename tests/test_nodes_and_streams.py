@@ -40,6 +40,20 @@ def test_chunks_are_bounded(paragraphs):
         assert len(content) <= 60 + len("Title: T\nSection: Document\n")
 
 
+def test_slices_end_where_pieces_are_shorter_than_the_overlap():
+    letters = iter(range(0x4E00, 0x5000))  # no letter twice, so that a piece has one place
+    text = " ".join("".join(chr(next(letters)) for _ in range(n)) for n in (2, 1, 5, 16, 3, 40, 1))
+    for size in range(1, 40):
+        for overlap in range(size):
+            found = N.slices(text, size, overlap)
+            assert all(len(p) <= size for p in found) and len(found) <= len(text)
+            at = 0
+            for p in found:  # in order, nothing left out but white space
+                assert not text[at : text.index(p)].strip()
+                at = text.index(p) + len(p)
+            assert at == len(text)
+
+
 def test_sections_and_titles(spark):
     md = "# My  title\n\nlead\n\n## One\r\nbody one\n## Two\n\nbody two\n"
     assert [(s, c.rpartition("\n")[2]) for s, c in N.chunk_markdown(md)] == [("Document", "lead"), ("One", "body one"), ("Two", "body two")]
@@ -72,6 +86,8 @@ def test_headings(spark):
     toc = [(r.level, r.title) for r in H.toc(h, "d", F.lit("Title")).orderBy("line").collect()]
     assert toc == [(1, "1 Introduction"), (2, "1.2 Scope"), (1, "3 Results"), (1, "Conclusion")]
     assert [r.title for r in H.running_headers(df, "d", "t").collect()] == ["run"]
+    repeated = spark.createDataFrame([(1, "## Run\nrun\nrun\n## run\n# RUN \n## Once\nline\nline\nline"), (2, None)], "d int, t string")
+    assert [(r.d, r.title, r.n) for r in H.running_headings(H.markdown_headings(repeated, "d", "t"), "d").collect()] == [(1, "run", 3)]
     assert [r.caption for r in H.captions(df, "d", "t").collect()] == ["Fig. 1 a b"]
     carried = {r.line: r.section for r in H.carry_section(df, "d", "t").collect()}
     assert carried[2] == "Document" and carried[6] == "1 Introduction" and carried[15] == "Conclusion"
