@@ -7,10 +7,13 @@ the conditional log-probabilities is the document's score.
 
 * vocabulary: words of all documents are counted; the most frequent get numbers of
   their own, the rest share hash buckets. A class holds tokens of neighbouring rank.
-* train: all documents are dealt, by a hash of id and text, to trainers of about
-  `docs_per_trainer` documents.
-  Each trains a copy in numpy over its whole texts; copies are averaged slice by
-  slice in a tree, weighted by their tokens, and the next round starts from there.
+* train: every document is dealt, by a hash of id and text, to a round and there to a
+  trainer of about `docs_per_trainer` documents. In each whole text every `MASK`-th token
+  is masked, from a place that the hash sets; with MASK = 2 * REACH + 1 every token,
+  but for two at most at either end, is masked or seen beside a masked one. Windows travel, 10 bytes each, and not
+  texts. Each trainer, a group of its own, sorted by hash, trains a copy in numpy; copies
+  are averaged slice by slice in a tree, weighted by their tokens, and the next round
+  starts from there. The result doesn't depend on how rows lie in files or tasks.
 * score: the parameters, of fixed size, are broadcast and every text is scored whole,
   in blocks of tokens that see their neighbours across block ends.
 
@@ -24,7 +27,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,9 +43,10 @@ VOCABULARY = CLASSES * WITHIN
 RARE = 256
 REACH = 2
 EMBEDDING, HIDDEN = 16, 32
-#: One document in so many trains (1: all of them), and about so many go to a trainer.
-SHARE, DOCS_PER_TRAINER = 1, 1000
-ROUNDS = 2
+#: One token in so many is masked, about so many documents go to a trainer, and each document to one of the rounds.
+MASK, DOCS_PER_TRAINER, ROUNDS = 2 * REACH + 1, 8000, 2
+#: Tokens of a step: at most, and so that a trainer makes about so many steps.
+BATCH, STEPS = 4096, 128
 BLOCK = 1 << 15
 _SLICE = 8192
 _FAN = 64
@@ -104,6 +108,14 @@ def contexts(ids: np.ndarray, start: int = 0, end: int | None = None) -> np.ndar
     return np.stack([wide[i : i + n] for i in range(2 * REACH + 1) if i != REACH], axis=1)
 
 
+def masked(ids: np.ndarray, first: int, every: int) -> np.ndarray:
+    """(places, 2 * REACH + 1): the window of each masked place and, last, its token."""
+    at = np.arange(first, len(ids), every)
+    wide = np.full(len(ids) + 2 * REACH, VOCABULARY, np.uint16)
+    wide[REACH : REACH + len(ids)] = ids
+    return np.stack([wide[at + i] for i in range(2 * REACH + 1) if i != REACH] + [wide[at + REACH]], axis=1)
+
+
 def _softmax(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(log-probability of column `at`, exponentials, their sums) of each row; x is used up."""
     if x.size and (top := float(x.max())) > 60.0:  # below that exponentials can't overflow
@@ -142,31 +154,34 @@ def log_probabilities(net: Network, context: np.ndarray, ids: np.ndarray) -> np.
 class Trainer:
     """AdaGrad steps on one network, with its working arrays."""
 
-    def __init__(self, net: Network, rate: float, start: float = 1e-3):
+    def __init__(self, net: Network, rate: float, start: float = 1e-7):
         self.net, self.rate = net, rate
         self.grad = Network(np.zeros_like(net.flat))
         self.square = np.full_like(net.flat, start)
         self.work = np.empty_like(net.flat)
 
-    def step(self, context: np.ndarray, ids: np.ndarray) -> float:
-        """One step on a batch; gives the mean log-likelihood before it."""
+    def step(self, context: np.ndarray, ids: np.ndarray, weight: np.ndarray | None = None) -> float:
+        """One step on a batch, of places that count `weight` times (once); gives the mean log-likelihood before it."""
         net, grad, n = self.net, self.grad, len(ids)
+        times = np.ones(n, np.float32) if weight is None else weight.astype(np.float32)
         grad.flat[:] = 0.0
         x = net.embed[context].reshape(n, -1)
         h = np.tanh(x @ net.into + net.bias)
         classes = ids // WITHIN
         logs, d, sums = _softmax(h @ net.klass + net.klass_bias, classes)
-        total = logs.sum(dtype=np.float64)
+        total = logs @ times.astype(np.float64)
         d /= -sums[:, None]
         d[np.arange(n), classes] += 1.0
+        d *= times[:, None]
         grad.klass[...], grad.klass_bias[...] = h.T @ d, d.sum(axis=0)
         dh = d @ net.klass.T
         for c, rows in _by_class(ids):
             own, at = h[rows], ids[rows] % WITHIN
             logs, d, sums = _softmax(own @ net.within[c] + net.within_bias[c], at)
-            total += logs.sum(dtype=np.float64)
+            total += logs @ times[rows].astype(np.float64)
             d /= -sums[:, None]
             d[np.arange(len(rows)), at] += 1.0
+            d *= times[rows][:, None]
             grad.within[c], grad.within_bias[c] = own.T @ d, d.sum(axis=0)
             dh[rows] += d @ net.within[c].T
         dh *= 1.0 - h * h
@@ -176,14 +191,14 @@ class Trainer:
         for j in range(EMBEDDING):
             grad.embed[:, j] = np.bincount(flat, weights=dx[:, j], minlength=VOCABULARY + 1)
         g, work = grad.flat, self.work
-        g /= n
+        g /= times.sum()
         np.multiply(g, g, out=work)
         self.square += work
         np.sqrt(self.square, out=work)
         g *= self.rate
         g /= work
         net.flat += g
-        return float(total / n)
+        return float(total / times.sum(dtype=np.float64))
 
 
 # --- over the corpus
@@ -220,38 +235,47 @@ def _ids(raw: bytes, number: ByMiss) -> np.ndarray:
     return np.fromiter(map(number.__getitem__, found), np.int64, len(found))
 
 
-def train(docs: DataFrame, words: list[str], text: str = "text", key: str = "doc_id", share: int = SHARE, docs_per_trainer: int = DOCS_PER_TRAINER, rounds: int = ROUNDS, rate: float = 0.1, batch: int = 512) -> Network:
-    """The averaged network of all trainers."""
+def deal(docs: DataFrame, words: list[str], text: str = "text", key: str = "doc_id", docs_per_trainer: int = DOCS_PER_TRAINER, rounds: int = ROUNDS, every: int = MASK) -> tuple[DataFrame, int]:
+    """(round, trainer, h, times, windows) of every document, and the number of trainers of a round."""
+    texts = docs.select(F.xxhash64(key, text).alias("h"), text_bytes(text).alias("t"))
+    trainers = max(1, -(-texts.count() // (docs_per_trainer * rounds)))
+    sent = docs.sparkSession.sparkContext.broadcast(words)
+
+    def windows(batches: Iterator[Batch]) -> Iterator[Batch]:
+        number = numbering(sent.value)
+        for b in batches:
+            out: Batch = {"round": [], "trainer": [], "h": [], "times": [], "windows": []}
+            for (h, raw), times in Counter(zip(b["h"], b["t"], strict=True)).items():  # rows that repeat id and text
+                ids = _ids(raw, number)
+                if len(ids):
+                    mixed = h & (2**63 - 1)
+                    out["round"].append(mixed % rounds)
+                    out["trainer"].append((mixed >> 20) % trainers)
+                    out["h"].append(h)
+                    out["times"].append(times)
+                    out["windows"].append(masked(ids, (mixed >> 8) % min(every, len(ids)), every).tobytes())
+            yield out
+
+    return store(map_batches(texts, windows, "round int, trainer int, h long, times long, windows binary"), "windows"), trainers
+
+
+def train(docs: DataFrame, words: list[str], text: str = "text", key: str = "doc_id", docs_per_trainer: int = DOCS_PER_TRAINER, rounds: int = ROUNDS, rate: float = 0.1, every: int = MASK) -> Network:
+    """The averaged network of all trainers; every document trains, in one of the rounds."""
     spark = docs.sparkSession
-    texts = docs.select(F.xxhash64(key, text).alias("h"), text_bytes(text).alias("t")).where(F.pmod("h", F.lit(share)) == 0)
-    trainers = max(1, -(-texts.count() // docs_per_trainer))
-    dealt = store(texts.withColumn("trainer", F.pmod(F.shiftright("h", 20), F.lit(trainers)).cast("int")).repartition(trainers, "trainer"), "trainers")
+    dealt, trainers = deal(docs, words, text, key, docs_per_trainer, rounds, every)
     net = Network.fresh()
-    for _ in range(rounds):
-        sent = spark.sparkContext.broadcast((words, net.flat))
-
-        def teach(batches: Iterator[Batch]) -> Iterator[Batch]:
-            words, flat = sent.value
-            number, own, seen, name = numbering(words), Network(flat.copy()), 0, 0
-            trainer = Trainer(own, rate)
-            context, ids, held = [], [], 0
-            for b in batches:
-                for raw, name in zip(b["t"], b["trainer"], strict=True):
-                    x = _ids(raw, number)
-                    for s in range(0, len(x), BLOCK):
-                        e = min(len(x), s + BLOCK)
-                        context.append(contexts(x, s, e))
-                        ids.append(x[s:e])
-                        held += e - s
-                        if held >= 1 << 15:
-                            seen += _pass(trainer, context, ids, batch)
-                            context, ids, held = [], [], 0
-            seen += _pass(trainer, context, ids, batch)
-            if seen:
-                slices = range(0, len(flat), _SLICE)
-                yield {"node": [int(name)] * len(slices), "slice": [s // _SLICE for s in slices], "weight": [float(seen)] * len(slices), "sums": [(own.flat[s : s + _SLICE].astype(np.float64) * seen).tobytes() for s in slices]}
-
-        taught = map_batches(dealt.select("t", "trainer"), teach, _SLICES)
+    for i in range(rounds):
+        sent = spark.sparkContext.broadcast(net.flat)
+
+        def teach(rows: pd.DataFrame) -> pd.DataFrame:
+            flat = sent.value
+            own = Network(flat.copy())
+            each = rows.groupby(["h", "windows"], sort=True)["times"].sum().reset_index()
+            seen = _pass(Trainer(own, rate), each["windows"], each["times"])
+            node, slices = int(rows["trainer"].iloc[0]), range(0, len(flat), _SLICE)
+            return pd.DataFrame({"node": node, "slice": [s // _SLICE for s in slices], "weight": float(seen), "sums": [(own.flat[s : s + _SLICE].astype(np.float64) * seen).tobytes() for s in slices]})
+
+        taught = dealt.where(F.col("round") == i).groupBy("trainer").applyInPandas(teach, _SLICES)
         net = Network(_average(store(taught, "taught"), trainers, net.flat))
     return net
 
@@ -259,21 +283,25 @@ def train(docs: DataFrame, words: list[str], text: str = "text", key: str = "doc
 _SLICES = "node int, slice int, weight double, sums binary"
 
 
-def _pass(trainer: Trainer, context: list[np.ndarray], ids: list[np.ndarray], batch: int) -> int:
-    if not ids:
-        return 0
-    c, x = np.concatenate(context), np.concatenate(ids)
-    order = np.random.default_rng(len(x)).permutation(len(x))
+def _pass(trainer: Trainer, windows: Iterable[bytes], times: Iterable[int]) -> int:
+    """Steps over all windows in random order; gives how many tokens they stand for."""
+    rows = [np.frombuffer(w, np.uint16).reshape(-1, 2 * REACH + 1) for w in windows]
+    weight = np.repeat(np.fromiter(times, np.int64), [len(r) for r in rows])
+    every = np.concatenate(rows)
+    order = np.random.default_rng(len(every)).permutation(len(every))
+    batch = min(BATCH, max(64, len(every) // STEPS))
     for s in range(0, len(order), batch):
-        rows = order[s : s + batch]
-        trainer.step(c[rows], x[rows])
-    return len(x)
+        at = order[s : s + batch]
+        part = every[at].astype(np.int64)
+        trainer.step(part[:, :-1], part[:, -1], weight[at])
+    return int(weight.sum())
 
 
 def _average(taught: DataFrame, nodes: int, before: np.ndarray) -> np.ndarray:
     """Weighted mean of the trainers' parameters, summed by slice in a tree of fan-in _FAN."""
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node")  # sums in one order, whatever the tasks
         sums = np.sum([np.frombuffer(s) for s in rows["sums"]], axis=0)
         return pd.DataFrame({"node": [rows["node"].iloc[0] // _FAN], "slice": [rows["slice"].iloc[0]], "weight": [rows["weight"].sum()], "sums": [sums.tobytes()]})
 

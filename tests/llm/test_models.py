@@ -6,6 +6,8 @@ import itertools
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparquill.llm import langid, pseudo_lm, toxicity
@@ -174,7 +176,7 @@ def test_training_prefers_the_corpus(spark):
     chain = lambda n: " ".join(itertools.chain.from_iterable(rng.choice([("a", "b", "c"), ("d", "e", "f")]) for _ in range(n)))
     docs = spark.createDataFrame([(i, chain(80)) for i in range(120)], "doc_id long, text string")
     words = pseudo_lm.vocabulary(docs)
-    net = pseudo_lm.train(docs, words, share=1, docs_per_trainer=40, batch=64)
+    net = pseudo_lm.train(docs, words, docs_per_trainer=40)
     test = spark.createDataFrame([(0, chain(80)), (1, " ".join(rng.permutation(chain(80).split())))], "doc_id long, text string")
     got = {r.doc_id: r.log_likelihood / r.n_tokens for r in pseudo_lm.score(test, words, net).collect()}
     assert got[0] > got[1] + 0.3
@@ -188,3 +190,41 @@ def test_every_document_trains_the_language_model(spark):
         docs = spark.createDataFrame([(i, "one two three four five six seven")], "doc_id long, text string")
         net = pseudo_lm.train(docs, ["one", "two"], rounds=1)
         assert not np.array_equal(net.flat, pseudo_lm.Network.fresh().flat)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 60), st.integers(0, 4))
+def test_masked_windows_show_every_token(n, first):
+    ids = np.arange(n)
+    first %= min(pseudo_lm.MASK, n)
+    rows = pseudo_lm.masked(ids, first, pseudo_lm.MASK)
+    assert rows[:, -1].tolist() == list(range(first, n, pseudo_lm.MASK))
+    assert (rows[:, :-1] == pseudo_lm.contexts(ids)[rows[:, -1]]).all()
+    reach = pseudo_lm.REACH
+    assert set(range(max(0, first - reach), min(n, n - reach))) <= set(rows.ravel().tolist())
+
+
+def test_places_that_count_twice_weigh_twice():
+    rng = np.random.default_rng(1)
+    ids = rng.integers(0, pseudo_lm.VOCABULARY, 20)
+    context, again = pseudo_lm.contexts(ids), np.r_[np.arange(20), np.arange(7)]
+    one, two = (pseudo_lm.Network(pseudo_lm.Network.fresh().flat.astype(np.float64)) for _ in range(2))
+    pseudo_lm.Trainer(one, 0.1).step(context[again], ids[again])
+    pseudo_lm.Trainer(two, 0.1).step(context, ids, np.r_[np.full(7, 2), np.ones(13, int)])
+    assert np.allclose(one.flat, two.flat, atol=1e-5)
+
+
+def test_training_does_not_depend_on_the_layout(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(rng.choice(list("abcdefgh"), 30))) for i in range(60)] + [(None, "a b c")] * 5 + [(7, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    words = list("abcdefgh")
+    nets = [pseudo_lm.train(d, words, docs_per_trainer=10).flat for d in (docs.repartition(7), docs.coalesce(1).orderBy(F.desc("doc_id")))]
+    assert np.array_equal(*nets)
+    dealt, trainers = pseudo_lm.deal(docs, words, docs_per_trainer=10)
+    assert trainers == 4 and dealt.agg(F.sum("times")).first()[0] == 65  # all with a token
+
+
+def test_one_token_of_a_million_characters(spark):
+    docs = spark.createDataFrame([(1, "x" * 1_000_000), (2, "x")], "doc_id long, text string")
+    assert {r.doc_id: r.n_tokens for r in pseudo_lm.pseudo_likelihood(docs).collect()} == {1: 1, 2: 1}
