@@ -9,11 +9,13 @@ empty, and the digest is SHA-256 over the UTF-8 bytes as they are, since the
 byte-level tokenizer tells every byte apart. The tokenizer digest covers the
 vocabulary file and the library's version, so a new version misses the old counts.
 
-Plan: no text is shuffled. Each task encodes the distinct misses among its own
-texts; (digest, count) pairs are merged by a partial aggregation and stored, and
-thin (id, length, digest) rows are joined to them by digest, which Spark's skew
-join can split where one text fills a large part of the table. A text held by
-several tasks is therefore encoded once in each of them and stored once.
+Plan: digests are counted first and those the cache has are taken out. A miss that one
+row has is encoded where the row lies; texts of misses that several rows have are made
+distinct in each task and moved by digest, so that each is encoded once. Which way a row
+goes is told by at most `SLOTS` hash slots of repeated misses, which are broadcast; a row
+that merely shares a slot is moved as well, so the bound costs time, never results. Thin
+(id, length, digest) rows are joined to the counts by digest, which Spark's skew join can
+split where one text fills a large part of the table.
 
 Counting follows the library: a text is cut where white space follows something
 else, which is always a boundary of the byte-level pre-tokenizer and never lies
@@ -37,6 +39,7 @@ from pyspark.sql import functions as F
 from sparquill.llm.common import CHUNK, Batch, ByMiss, fresh_dir, map_batches, store, text_bytes
 
 CACHE_SCHEMA = "content binary, tokenizer string, n_tokens long"
+SLOTS = 1 << 20
 
 
 @lru_cache(maxsize=4)
@@ -67,25 +70,56 @@ def counter(path: str):
     return lambda text: sum(map(known.__getitem__, CHUNK.findall(text)))
 
 
-def encode_misses(misses: DataFrame, tokenizer_file: str) -> DataFrame:
+def encode_texts(texts: DataFrame, tokenizer_file: str) -> DataFrame:
     """(content, text) rows to (content, n_tokens); within a task each content is encoded once."""
 
     def run(batches: Iterator[Batch]) -> Iterator[Batch]:
         count = counter(tokenizer_file)
-        seen: set[bytes] = set()
-        for b in batches:
-            out: Batch = {"content": [], "n_tokens": []}
-            for content, text in zip(b["content"], b["text"], strict=True):
-                if content in seen:
-                    continue
-                if len(seen) >= 1_000_000:
+        for b in _distinct(batches):
+            yield {"content": b["content"], "n_tokens": [count(t.decode("utf-8", "replace")) for t in b["text"]]}
+
+    return map_batches(texts, run, "content binary, n_tokens long")
+
+
+def _distinct(batches: Iterator[Batch], most: int = 1_000_000) -> Iterator[Batch]:
+    """Rows of a task whose content it hasn't seen."""
+    seen: set[bytes] = set()
+    for b in batches:
+        out: Batch = {"content": [], "text": []}
+        for content, text in zip(b["content"], b["text"], strict=True):
+            if content not in seen:
+                if len(seen) >= most:
                     seen.clear()
                 seen.add(content)
                 out["content"].append(content)
-                out["n_tokens"].append(count(text.decode("utf-8", "replace")))
-            yield out
+                out["text"].append(text)
+        yield out
 
-    return map_batches(misses, run, "content binary, n_tokens long")
+
+def fill_cache(docs: DataFrame, tokenizer_file: str, cache_path: str, text: str = "text", slots: int = SLOTS) -> int:
+    """Encode the distinct contents that the cache lacks, append them, and give how many there were."""
+    spark = docs.sparkSession
+    version = tokenizer_digest(tokenizer_file)
+    raw = text_bytes(text)
+    digest = F.unhex(F.sha2(raw, 256))
+    cached = _cache(spark, cache_path).where(F.col("tokenizer") == version).select("content")
+    slot = F.pmod(F.xxhash64("content"), F.lit(slots))
+    held = docs.select(digest.alias("content")).groupBy("content").agg(F.count("*").alias("rows"))
+    empty = cached.isEmpty()
+    misses = store(held if empty else held.join(cached, "content", "left_anti"), "token-misses")
+    n = misses.count()
+    if not n:
+        return 0
+    texts = docs.select(digest.alias("content"), raw.alias("text"))
+    if not empty:
+        texts = texts.join(misses, "content", "left_semi").select("content", "text")
+    texts = texts.withColumn("slot", slot)
+    repeated = F.broadcast(store(misses.where("rows > 1").select(slot.alias("slot")).distinct(), "token-slots"))  # at most `slots` rows
+    alone = texts.join(repeated, "slot", "left_anti").select("content", "text")
+    shared = map_batches(texts.join(repeated, "slot", "left_semi").select("content", "text"), _distinct, "content binary, text binary")
+    new = encode_texts(alone, tokenizer_file).unionByName(encode_texts(shared.repartition("content"), tokenizer_file))
+    new.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
+    return n
 
 
 def count_tokens(docs: DataFrame, tokenizer_file: str, cache_path: str | None = None, limit: int = 1024, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -95,19 +129,11 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, cache_path: str | None =
     """
     spark = docs.sparkSession
     path = cache_path or fresh_dir(spark, "token-cache")
-    version = tokenizer_digest(tokenizer_file)
+    fill_cache(docs, tokenizer_file, path, text)
     raw = text_bytes(text)
-    digest = F.unhex(F.sha2(raw, 256))
-    thin = docs.select(F.col(key).cast("long").alias("doc_id"), F.octet_length(raw).cast("long").alias("n_bytes"), digest.alias("content"))
-    texts = docs.select(digest.alias("content"), raw.alias("text"))
-    cached = _cache(spark, path).where(F.col("tokenizer") == version).select("content", "n_tokens")
-    if not cached.isEmpty():
-        texts = texts.join(cached.select("content"), "content", "left_anti")
-    # One count per distinct miss; partial aggregation merges a hot text's counts before the shuffle.
-    missed = encode_misses(texts, tokenizer_file).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
-    new = store(missed.select("content", F.lit(version).alias("tokenizer"), "n_tokens"), "token-misses")
-    counts = cached.unionByName(new.select("content", "n_tokens"))
-    new.write.mode("append").parquet(path)
+    thin = docs.select(F.col(key).cast("long").alias("doc_id"), F.octet_length(raw).cast("long").alias("n_bytes"), F.unhex(F.sha2(raw, 256)).alias("content"))
+    # an append that was tried twice may have stored a count twice
+    counts = _cache(spark, path).where(F.col("tokenizer") == tokenizer_digest(tokenizer_file)).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
     found = thin.join(counts, "content", "left")
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 

@@ -138,3 +138,23 @@ def test_packing_merges_what_tasks_leave_open(spark):
     got = packing.pack_documents(docs, WORDS, capacity=100, open_bins=8, merge_bins=40).collect()
     bins = _check_packing(got, docs.collect(), 100)
     assert bins <= 1.12 * -(-sum(r.length for r in got) // 100)
+
+
+def test_each_distinct_miss_is_encoded_once(spark, tmp_path):
+    """Copies over several tasks and in a partly filled cache, with slots so few that rows share them."""
+    rows = [(i, f"text number {i % 7}" if i % 3 else f"a text of its own {i}") for i in range(90)] + [(None, None), (None, ""), (5, "text number 5")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    count = token_cache.counter(BYTES)
+    for slots in (2, token_cache.SLOTS):
+        path = f"file://{tmp_path}/cache-{slots}"
+        some = docs.where("doc_id < 20")
+        first = token_cache.fill_cache(some, BYTES, path, slots=slots)
+        assert first == len({r.text or "" for r in some.collect()})
+        distinct = {r.text or "" for r in docs.collect()}
+        assert token_cache.fill_cache(docs, BYTES, path, slots=slots) == len(distinct) - first
+        assert token_cache.fill_cache(docs, BYTES, path, slots=slots) == 0
+        stored = spark.read.parquet(path).collect()
+        assert len(stored) == len(distinct)  # none was encoded twice
+        assert {bytes(r.content): r.n_tokens for r in stored} == {hashlib.sha256(t.encode()).digest(): count(t) for t in distinct}
+    got = token_cache.count_tokens(docs, BYTES, path)
+    assert sorted((r.doc_id or -1, r.n_tokens) for r in got.collect()) == sorted((i or -1, count(t or "")) for i, t in rows)
