@@ -12,9 +12,10 @@ training documents, of the largest marginal and the sum of all but slight ones,
 offending spans are the runs of tokens above one half.
 
 Training reads a bounded sample: at most `toxic_docs` and `clean_docs` labelled
-documents of at most `longest` bytes, by hash order of their ids. Scoring reads
-every text whole. Chains run over windows of at most `WINDOW` tokens; neighbours
-count across their ends. Words are runs of letters, digits and underscores.
+documents of at most `longest` bytes, by hash order of their ids, each of them whole.
+Scoring reads every text whole. A text is one chain, whatever its length: it is laid
+out in rows of `WINDOW` tokens for numpy, and forward and backward messages go from row
+to row. Words are runs of letters, digits and underscores.
 
 Defined results: null and empty texts get the score of a document without marks;
 without labelled rows every score is 0, with rows of one label only every score is
@@ -132,27 +133,72 @@ def windows(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return np.where(filled, at, 0), filled
 
 
-def forward_backward(emission: np.ndarray, filled: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Marginals of marks, forward and backward shares of the marked state, and the log normaliser, per window.
+def _ahead(psi: np.ndarray, ok: np.ndarray, transition: np.ndarray, enter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward shares by place and row, and the rows' log normalisers; enter: the share before a row, nan where a chain begins."""
+    (c00, c01), (c10, c11) = np.exp(transition)
+    forward, logz = np.empty(psi.shape), np.zeros(psi.shape[1])
+    begins = np.isnan(enter)
+    p = np.where(begins, 0.0, enter)
+    for t in range(len(psi)):
+        f0, f1 = c00 + p * (c10 - c00), (c01 + p * (c11 - c01)) * psi[t]
+        if t == 0:
+            f0, f1 = np.where(begins, 1.0, f0), np.where(begins, psi[0], f1)
+        s = f0 + f1
+        p = forward[t] = f1 / s
+        logz += np.where(ok[t], np.log(s), 0.0)
+    return forward, logz
 
-    emission: log potential of a mark against none, (windows, WINDOW). With two states
-    a normalised message is one number, the marked state's share.
+
+def _messages(psi: np.ndarray, ok: np.ndarray, transition: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(forward share before each row, backward share at each row's last place), along the chains of rows."""
+    n = psi.shape[1]
+    enter, leave = np.full(n, np.nan), np.full(n, 0.5)
+    later = np.flatnonzero(follows)
+    if not len(later):
+        return enter, leave
+    (c00, c01), (c10, c11) = np.exp(transition)
+    # what a row that follows makes of the states before it: (from, to), normalised as a whole
+    m = np.zeros((2, 2, len(later)))
+    m[0, 0] = m[1, 1] = 1.0
+    for x, filled in zip(psi[:, later], ok[:, later], strict=True):
+        to = np.stack([m[:, 0] * c00 + m[:, 1] * c10, (m[:, 0] * c01 + m[:, 1] * c11) * x], axis=1)
+        m = np.where(filled, to / to.sum(axis=(0, 1)), m)
+    step = np.empty((2, 2, n))
+    step[:, :, later] = m
+    first = np.flatnonzero(~follows)
+    nth = np.arange(n) - np.repeat(first, np.diff(np.r_[first, n]))  # of its chain
+    opens = np.flatnonzero((nth == 0) & np.r_[follows[1:], False])
+    end = np.full(n, np.nan)  # forward share at a row's last place
+    end[opens] = _ahead(psi[:, opens], ok[:, opens], transition, np.full(len(opens), np.nan))[0][-1]
+    order = np.argsort(nth, kind="stable")
+    cuts = np.searchsorted(nth[order], np.arange(1, int(nth.max()) + 2))
+    levels = [order[s:e] for s, e in zip(cuts[:-1], cuts[1:], strict=True)]  # second rows, third rows, ...
+    for rows in levels:
+        p = enter[rows] = end[rows - 1]
+        to0, to1 = (1.0 - p) * step[0, 0, rows] + p * step[1, 0, rows], (1.0 - p) * step[0, 1, rows] + p * step[1, 1, rows]
+        end[rows] = to1 / (to0 + to1)
+    for rows in reversed(levels):
+        q = leave[rows]
+        from0, from1 = step[0, 0, rows] * (1.0 - q) + step[0, 1, rows] * q, step[1, 0, rows] * (1.0 - q) + step[1, 1, rows] * q
+        leave[rows - 1] = from1 / (from0 + from1)
+    return enter, leave
+
+
+def forward_backward(emission: np.ndarray, filled: np.ndarray, transition: np.ndarray, follows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Marginals of marks, forward and backward shares of the marked state, and the log normaliser, per row.
+
+    emission: log potential of a mark against none, (rows, WINDOW). follows: which rows go on
+    the chain of the row before (none); all but a chain's last row must be full. With two
+    states a normalised message is one number, the marked state's share.
     """
     (c00, c01), (c10, c11) = np.exp(transition)
     psi = np.exp(np.clip(emission, -40, 40)).T.copy()  # by place, so that each step reads one row
     ok = np.ascontiguousarray(filled.T)
     width, n = psi.shape
-    forward, backward = np.empty((width, n)), np.full((width, n), 0.5)
-    logz = np.zeros(n)
-    for t in range(width):
-        if t == 0:
-            f0, f1 = np.ones(n), psi[0]
-        else:
-            p = forward[t - 1]
-            f0, f1 = c00 + p * (c10 - c00), (c01 + p * (c11 - c01)) * psi[t]
-        s = f0 + f1
-        forward[t] = f1 / s
-        logz += np.where(ok[t], np.log(s), 0.0)
+    enter, leave = _messages(psi, ok, transition, np.zeros(n, bool) if follows is None else follows)
+    forward, logz = _ahead(psi, ok, transition, enter)
+    backward = np.full((width, n), 0.5)
+    backward[-1] = leave
     for t in range(width - 2, -1, -1):
         q = backward[t + 1]
         b1, b0 = q * psi[t + 1], 1.0 - q
@@ -163,14 +209,22 @@ def forward_backward(emission: np.ndarray, filled: np.ndarray, transition: np.nd
     return marginal.T, forward.T, backward.T, logz
 
 
-def _pairs(forward: np.ndarray, backward: np.ndarray, emission: np.ndarray, filled: np.ndarray, transition: np.ndarray) -> np.ndarray:
-    """Expected counts of (from, to) over all windows."""
-    before = np.stack([1.0 - forward, forward], axis=2)[:, :-1]
+def _pairs(forward: np.ndarray, backward: np.ndarray, emission: np.ndarray, filled: np.ndarray, transition: np.ndarray, follows: np.ndarray | None = None) -> np.ndarray:
+    """Expected counts of (from, to) over all rows, and from a row to the one that follows it."""
+    before = np.stack([1.0 - forward, forward], axis=2)
     psi = np.exp(np.clip(emission, -40, 40))
-    after = np.stack([1.0 - backward, backward * psi], axis=2)[:, 1:]
-    m = before[:, :, :, None] * np.exp(transition)[None, None] * after[:, :, None, :]
-    m /= m.sum(axis=(2, 3), keepdims=True)
-    return (m * filled[:, 1:, None, None]).sum(axis=(0, 1))
+    after = np.stack([1.0 - backward, backward * psi], axis=2)
+
+    def expected(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        m = x[:, :, None] * np.exp(transition)[None] * y[:, None, :]
+        return (m / m.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+
+    inner = filled[:, 1:]
+    found = expected(before[:, :-1][inner], after[:, 1:][inner])
+    if follows is not None and follows.any():
+        rows = np.flatnonzero(follows)
+        found += expected(before[rows - 1, -1], after[rows, 0])
+    return found
 
 
 def fit_chain(docs: list[list[str]], marks: list[np.ndarray], model: Model, epochs: int = 6, rate: float = 0.3, decay: float = 1e-4, batch: int = 256, seed: int = 7) -> None:
@@ -197,22 +251,24 @@ def fit_chain(docs: list[list[str]], marks: list[np.ndarray], model: Model, epoc
         return np.concatenate([own[ids[at]], before[..., None], after[..., None]], axis=-1)
 
     at, filled = windows(lengths)
-    marked = (gold[at] & filled).any(axis=1)
+    n_rows = -(-np.asarray(lengths) // WINDOW)
+    ends = np.cumsum(n_rows)
+    goes_on = np.ones(len(at), bool)
+    goes_on[(ends - n_rows)[n_rows > 0]] = False
     rng = np.random.default_rng(seed)
-    clean = np.flatnonzero(~marked)
-    chosen = np.concatenate([np.flatnonzero(marked), rng.permutation(clean)[: max(500, 3 * int(marked.sum()))]])
     w, g2 = np.zeros(DIM + 1), np.full(DIM + 1, 1e-2)
     extra, e2 = np.concatenate([[model.bias], np.zeros(4)]), np.full(5, 1e-2)
     for _ in range(epochs):
-        order = rng.permutation(chosen)
-        for s in range(0, len(order), batch):
-            rows = order[s : s + batch]
-            a, ok = at[rows], filled[rows]
+        order = rng.permutation(np.flatnonzero(n_rows))
+        part = np.cumsum(n_rows[order]) // batch  # whole documents of about `batch` rows a step
+        for chosen in np.split(order, np.flatnonzero(np.diff(part)) + 1):
+            rows = np.concatenate([np.arange(ends[i] - n_rows[i], ends[i]) for i in chosen])
+            a, ok, follows = at[rows], filled[rows], goes_on[rows]
             f = features(a)
             w[DIM] = 0.0
             emission = w[f].sum(axis=2) + extra[0]
             transition = extra[1:].reshape(2, 2)
-            p, alpha, beta, _ = forward_backward(emission, ok, transition)
+            p, alpha, beta, _ = forward_backward(emission, ok, transition, follows)
             y = gold[a].astype(float)
             error = (y - p) * ok / len(rows)
             grad = np.bincount(f.ravel(), weights=np.repeat(error.ravel(), f.shape[2]), minlength=DIM + 1) - decay * w
@@ -221,7 +277,9 @@ def fit_chain(docs: list[list[str]], marks: list[np.ndarray], model: Model, epoc
             w[moved] += rate * grad[moved] / np.sqrt(g2[moved])
             y2 = np.stack([1 - y, y], axis=2)
             real = np.einsum("ntf,nts->fs", y2[:, :-1] * ok[:, 1:, None], y2[:, 1:])
-            more = np.concatenate([[error.sum()], ((real - _pairs(alpha, beta, emission, ok, transition)) / len(rows)).ravel()]) - decay * extra
+            on = np.flatnonzero(follows)
+            real += y2[on - 1, -1].T @ y2[on, 0]
+            more = np.concatenate([[error.sum()], ((real - _pairs(alpha, beta, emission, ok, transition, follows)) / len(rows)).ravel()]) - decay * extra
             e2 += more**2
             extra = extra + 0.1 * more / np.sqrt(e2)
     model.weights = w[:DIM].astype(np.float32)
@@ -266,9 +324,11 @@ class Tagger:
         emission[at - 1] += x[at, 2]
         places, filled = windows(lengths)
         p = np.empty(total)
-        for s in range(0, len(places), 8192):
-            own, ok = places[s : s + 8192], filled[s : s + 8192]
-            p[own[ok]] = forward_backward(emission[own], ok, self.model.transition)[0][ok]
+        goes_on = follows[places[:, 0]]
+        begins = np.flatnonzero(~goes_on)
+        for cut in np.split(np.arange(len(places)), begins[1:][np.diff(begins[1:] // 8192, prepend=0) > 0]):  # whole texts
+            own, ok = places[cut], filled[cut]
+            p[own[ok]] = forward_backward(emission[own], ok, self.model.transition, goes_on[cut])[0][ok]
         return np.split(p, ends[:-1])
 
 

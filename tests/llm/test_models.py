@@ -71,6 +71,79 @@ def test_forward_backward_sums_all_paths(n):
         assert np.allclose(p[i, :n], want) and np.isclose(logz[i], z)
 
 
+def _whole_chain(emission, transition):
+    """Marginals and log normaliser of one chain, place by place in log space."""
+    n = len(emission)
+    node = np.stack([np.zeros(n), emission], axis=1)
+    ahead, back = node.copy(), np.zeros((n, 2))
+    for t in range(1, n):
+        ahead[t] += np.logaddexp(*(ahead[t - 1][:, None] + transition))
+    for t in range(n - 2, -1, -1):
+        back[t] = np.logaddexp(*(transition + node[t + 1] + back[t + 1]).T)
+    z = np.logaddexp(*ahead[-1])
+    return np.exp(ahead[:, 1] + back[:, 1] - z), z
+
+
+@pytest.mark.parametrize("lengths", [[200], [64, 128, 1, 65, 300], [63, 64, 0, 1000], [5, 640]])
+def test_a_text_is_one_chain(lengths):
+    """Texts longer than a row of WINDOW tokens, one of 200 among them, against the chain place by place."""
+    rng = np.random.default_rng(sum(lengths))
+    transition = rng.normal(size=(2, 2)) * 2
+    at, filled = toxicity.windows(lengths)
+    each = [rng.normal(size=n) * 3 for n in lengths]
+    emission = np.where(filled, np.concatenate(each)[at], 0.0)
+    starts = np.cumsum([0, *lengths])[:-1]
+    follows = ~np.isin(at[:, 0], starts)
+    p, _, _, logz = toxicity.forward_backward(emission, filled, transition, follows)
+    want = [_whole_chain(e, transition) for e in each if len(e)]
+    assert np.allclose(p[filled], np.concatenate([m for m, _ in want]))
+    begin = np.flatnonzero(~follows)
+    assert np.allclose(np.add.reduceat(logz, begin), [z for _, z in want])
+
+
+def test_expected_transitions_cross_rows():
+    rng = np.random.default_rng(3)
+    n, transition, h = 150, rng.normal(size=(2, 2)), 1e-5
+    at, filled = toxicity.windows([n])
+    emission = np.where(filled, rng.normal(size=n)[at], 0.0)
+    follows = np.arange(len(at)) > 0
+    log_z = lambda t: toxicity.forward_backward(emission, filled, t, follows)[3].sum()
+    _, ahead, back, _ = toxicity.forward_backward(emission, filled, transition, follows)
+    found = toxicity._pairs(ahead, back, emission, filled, transition, follows)
+    for i, j in itertools.product(range(2), repeat=2):
+        d = np.zeros((2, 2))
+        d[i, j] = h
+        assert np.isclose(found[i, j], (log_z(transition + d) - log_z(transition - d)) / (2 * h), rtol=1e-4)
+    assert np.isclose(found.sum(), n - 1)
+
+
+def test_tagger_gives_the_whole_texts_marginals():
+    model = toxicity.fit(*_made())
+    texts = [" ".join(_made(20, seed=k)[0]).split() for k in (5, 6)] + [[], ["villainy"]]
+    for words, p in zip(texts, toxicity.Tagger(model)(texts), strict=True):
+        own = [model.word(w) for w in words]
+        emission = np.asarray([o + model.bias + (own[i - 1][1] if i else 0) + (own[i + 1][2] if i + 1 < len(own) else 0) for i, (o, _, _) in enumerate(own)])
+        if len(words):
+            assert np.allclose(p, _whole_chain(emission, model.transition)[0], atol=1e-6)
+
+
+def test_toxicity_of_held_out_documents(spark):
+    """Precision and recall on labelled rows that never taught."""
+    docs, labels = (table(spark, "/root/testdata/sf0.1", n) for n in ("documents", "labels"))
+    model = toxicity.train(docs, labels.where(crc32_of("doc_id") % 5 != 0))
+    held = labels.where((crc32_of("doc_id") % 5 == 0) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    got = toxicity.score(docs.join(held.select("doc_id"), "doc_id"), model).join(held, "doc_id").select("toxic", "predicted").collect()
+    both = sum(r.toxic and r.predicted for r in got)
+    assert sum(r.toxic for r in got) >= 50
+    assert both >= 0.9 * sum(r.toxic for r in got) and both >= 0.9 * sum(r.predicted for r in got)
+
+
+def test_a_million_characters_of_one_token_score():
+    model = toxicity.fit(*_made())
+    scores = toxicity.score_texts([b"x" * 1_000_000, b"w1 " * 100_000], model, toxicity.Tagger(model))
+    assert all(s < 0.5 for s in scores)
+
+
 def _made(n=160, seed=1):
     rng = np.random.default_rng(seed)
     fine = [f"w{i}" for i in range(300)]
