@@ -22,9 +22,11 @@ ROWS_AT_ONCE = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder all executors share, from spark.checkpoint.dir; a temporary one where that is unset, in local mode only."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: on a cluster it must name a folder that all executors share")
     return _own_dir(spark.sparkContext.applicationId)
 
 

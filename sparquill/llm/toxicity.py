@@ -52,12 +52,33 @@ def parts(word: str) -> list[str]:
     return ["=" + word, *("^" + word[:n] for n in BEGINNINGS if len(word) >= n)]
 
 
-def _slots(word: str) -> list[int]:
-    """Feature numbers of a word: itself, its beginnings, its ending, as predecessor, as successor."""
-    w = word.lower().encode("utf-8", "replace")
-    text = w.decode()
-    names = [b"=" + w, *(b"^" + text[:n].encode() for n in BEGINNINGS if len(text) >= n), b"$" + text[-3:].encode(), b"<" + w, b">" + w]
-    return [zlib.crc32(n) % DIM for n in names]
+def slots(words: list[str]) -> np.ndarray:
+    """Feature numbers of words, a row each: itself, its beginnings, its ending, as predecessor, as successor; DIM for none.
+
+    A piece of a word is hashed as a polynomial of its characters, mod 2**64, which sums
+    along the word give for all words at once.
+    """
+    low = [w.lower() for w in words]
+    n = np.fromiter(map(len, low), np.int64, len(low))
+    code = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    start = np.cumsum(n) - n
+    power = np.cumprod(np.full(max(int(n.max(initial=0)), 3), 0x9E3779B97F4A7C15, np.uint64))
+    upto = np.zeros(len(code) + 1, np.uint64)
+    np.cumsum(code * power[np.arange(len(code)) - np.repeat(start, n)], out=upto[1:])
+    piece = lambda k: upto[start + np.minimum(k, n)] - upto[start]
+    end = np.zeros(len(low), np.uint64)
+    for k in range(3):  # from the last character on
+        has = n > k
+        end[has] += code[(start + n - 1 - k)[has]] * power[k]
+    whole = piece(n)
+
+    def number(kind: int, x: np.ndarray) -> np.ndarray:
+        x = (x ^ np.uint64(kind)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        return ((x ^ (x >> np.uint64(29))) % np.uint64(DIM)).astype(np.int32)
+
+    begins = [np.where(n >= k, number(1, piece(k)), DIM) for k in BEGINNINGS]
+    return np.stack([number(2, whole), *begins, number(3, end), number(4, whole), number(5, whole)], axis=1).astype(np.int32)
 
 
 @dataclass
@@ -70,10 +91,10 @@ class Model:
     score: np.ndarray = field(default_factory=lambda: np.zeros(3))
     constant: float | None = 0.0
 
-    def word(self, word: str) -> tuple[float, float, float]:
-        """Log potentials that a word gives its own place, the next one and the one before."""
-        *own, before, after = map(self.weights.item, _slots(word))
-        return sum(own), before, after
+    def potentials(self, words: list[str]) -> np.ndarray:
+        """Log potentials that each word gives its own place, the next one and the one before."""
+        w = np.append(self.weights, np.float32(0))[slots(words)].astype(np.float64)
+        return np.stack([w[:, :-2].sum(axis=1), w[:, -2], w[:, -1]], axis=1)
 
 
 # --- token labels
@@ -94,21 +115,21 @@ def label_tokens(docs: list[list[str]], toxic: np.ndarray, least: int = 5, preci
     seen = [sketches(words) for words in docs]
     base = max(len({s for s, y in zip(seen, toxic, strict=True) if y}), 1) / max(len(set(seen)), 1)
     chosen: set[str] = set()
+    distinct = [set(words) for words in docs]
     for cut in (None, *BEGINNINGS):  # one length at a time keeps the tables small
-        name = (lambda w: "=" + w) if cut is None else (lambda w, n=cut: "^" + w[:n])
-        of_doc = lambda words, n=cut or 1, name=name: {name(w) for w in set(words) if len(w) >= n}
-        hits = Counter(f for words, y in zip(docs, toxic, strict=True) if y for f in of_doc(words))
+        of_doc = lambda words, n=cut: words if n is None else {w[:n] for w in words if len(w) >= n}
+        hits = Counter(f for words, y in zip(distinct, toxic, strict=True) if y for f in of_doc(words))
         groups: dict[str, list[set[int]]] = {f: [set(), set(), set()] for f, n in hits.items() if n >= least}
         features = len(hits)
         del hits
-        for words, y, (low, high) in zip(docs, toxic, seen, strict=True):
-            for f in of_doc(words):
-                if found := groups.get(f):
-                    if y:
-                        found[0].add(low)
-                        found[1].add(high)
-                    else:
-                        found[2].add(low)
+        for words, y, (low, high) in zip(distinct, toxic, seen, strict=True):
+            for f in groups.keys() & of_doc(words):
+                found = groups[f]
+                if y:
+                    found[0].add(low)
+                    found[1].add(high)
+                else:
+                    found[2].add(low)
         for f, (low, high, clean) in groups.items():
             a, b = min(len(low), len(high)), len(clean)
             if a < least or a < precision * (a + b):
@@ -116,7 +137,7 @@ def label_tokens(docs: list[list[str]], toxic: np.ndarray, least: int = 5, preci
             # the binomial tail's largest term bounds it closely enough here
             log_chance = lgamma(a + b + 1) - lgamma(a + 1) - lgamma(b + 1) + a * log(base) + b * log(max(1 - base, 1e-9))
             if log_chance + log(features) < log(chance):
-                chosen.add(f)
+                chosen.add("=" + f if cut is None else "^" + f)
     return chosen
 
 
@@ -237,12 +258,8 @@ def fit_chain(docs: list[list[str]], marks: list[np.ndarray], model: Model, epoc
     gold = np.concatenate(marks)
     first = np.zeros(len(ids) + 1, bool)  # a document's first token, and the end
     first[np.cumsum([0, *lengths])] = True
-    most = len(BEGINNINGS) + 2
-    own = np.full((len(number), most), DIM, np.int32)  # DIM stands for none
-    side = np.empty((len(number), 2), np.int32)
-    for i, w in enumerate(number):
-        *mine, side[i, 0], side[i, 1] = _slots(w)
-        own[i, : len(mine)] = mine
+    every = slots(list(number))
+    own, side = every[:, :-2], every[:, -2:]
     del number
 
     def features(at: np.ndarray) -> np.ndarray:
@@ -303,9 +320,10 @@ class Tagger:
             missing = wanted
         if len(row) + len(missing) > len(self.values):
             self.values = np.resize(self.values, (2 * (len(row) + len(missing)), 3))
-        for w in missing:
-            self.values[len(row)] = self.model.word(w)
-            row[w] = len(row)
+        if missing:
+            new = list(missing)
+            self.values[len(row) : len(row) + len(new)] = self.model.potentials(new)
+            row.update(zip(new, range(len(row), len(row) + len(new)), strict=True))
         return np.fromiter(map(row.__getitem__, chain.from_iterable(docs)), np.int64, total)
 
     def __call__(self, docs: list[list[str]]) -> list[np.ndarray]:

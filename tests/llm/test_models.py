@@ -121,7 +121,7 @@ def test_tagger_gives_the_whole_texts_marginals():
     model = toxicity.fit(*_made())
     texts = [" ".join(_made(20, seed=k)[0]).split() for k in (5, 6)] + [[], ["villainy"]]
     for words, p in zip(texts, toxicity.Tagger(model)(texts), strict=True):
-        own = [model.word(w) for w in words]
+        own = model.potentials(words)
         emission = np.asarray([o + model.bias + (own[i - 1][1] if i else 0) + (own[i + 1][2] if i + 1 < len(own) else 0) for i, (o, _, _) in enumerate(own)])
         if len(words):
             assert np.allclose(p, _whole_chain(emission, model.transition)[0], atol=1e-6)
@@ -138,6 +138,17 @@ def test_toxicity_of_held_out_documents(spark):
     assert both >= 0.9 * sum(r.toxic for r in got) and both >= 0.9 * sum(r.predicted for r in got)
 
 
+def test_slots_name_pieces_of_words():
+    """Equal pieces get equal numbers whatever words stand beside them; short words lack beginnings."""
+    words = ["Straße", "straßen", "a", "你好", "x" * 300, "STRASSE", "\ud800ab"]
+    got = toxicity.slots(words)
+    assert (got == np.concatenate([toxicity.slots([w]) for w in words])).all()
+    assert (got[0, 1:5] == got[1, 1:5]).all() and got[0, 0] != got[1, 0] and got[0, 5] == toxicity.DIM != got[1, 5]
+    assert (got[2, 1:7] == toxicity.DIM).all() and (got[:, 0] < toxicity.DIM).all()
+    assert toxicity.slots(["abcd"])[0, 7] == toxicity.slots(["zbcd"])[0, 7] != toxicity.slots(["abce"])[0, 7]
+    assert toxicity.slots([]).shape == (0, len(toxicity.BEGINNINGS) + 4)
+
+
 def test_a_million_characters_of_one_token_score():
     model = toxicity.fit(*_made())
     scores = toxicity.score_texts([b"x" * 1_000_000, b"w1 " * 100_000], model, toxicity.Tagger(model))
