@@ -152,6 +152,17 @@ def head_and_tail(col: ColumnLike, most: int = 6000, share: float = 0.45, marker
     return F.when(F.length(t) <= most, t).otherwise(F.concat(F.left(t, F.lit(n)), F.lit(marker), F.right(t, F.lit(n))))
 
 
+#: The longest substrings that texts are joined on before one is looked for in the other.
+GRAM = 4
+
+
+def grams(col: ColumnLike) -> Column:
+    """The distinct substrings of 1 to GRAM characters of a text that isn't empty."""
+    c = _c(col)
+    lengths = lambda i: F.sequence(F.lit(1), F.least(F.lit(GRAM), F.length(c) - i + 1))
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.transform(lengths(i), lambda n: c.substr(i, n)))))
+
+
 def inverted_to_text(col: ColumnLike) -> Column:
     """map<word, array<position>> to the text it indexes."""
     entries = F.map_entries(_c(col))

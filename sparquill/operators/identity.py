@@ -70,14 +70,39 @@ def harvest_identifiers(texts: DataFrame, column: str = "text") -> DataFrame:
     return texts.withColumn("identifiers", F.array_distinct(F.concat(numbers, dois)))
 
 
-def unique_identifiers(records: DataFrame, keys: tuple[str, ...] = ("pmid", "publication_number"), order: str = "id") -> DataFrame:
-    """Registry uniqueness: of rows that share a non-empty key the first keeps it, the others get ''."""
+def unique_identifiers(records: DataFrame, keys: tuple[str, ...] = ("pmid", "publication_number"), order: tuple[str, ...] = ("id",)) -> DataFrame:
+    """Registry uniqueness: of rows that share a non-empty key the first keeps it, the others get ''.
+
+    Rows without the key, which may be most, are dealt by what orders them instead.
+    """
     for key in keys:
-        w = Window.partitionBy(key).orderBy(order)
-        records = records.withColumn(key, F.when((F.col(key) == "") | F.col(key).isNull(), "").when(F.row_number().over(w) == 1, F.col(key)).otherwise(""))
+        empty = (F.col(key) == "") | F.col(key).isNull()
+        w = Window.partitionBy(key, F.when(empty, F.xxhash64(*order))).orderBy(*order)
+        records = records.withColumn(key, F.when(empty, "").when(F.row_number().over(w) == 1, F.col(key)).otherwise(""))
     return records
 
 
+def upsert_registry(registry: DataFrame, incoming: DataFrame, pos: str = "pos", keys: tuple[str, ...] = ("pmid", "publication_number")) -> DataFrame:
+    """The registry with incoming rows (its columns and their place): of an id the last row holds, whole.
+
+    A key that another id has had for longer is left blank: rows of the registry come
+    before incoming ones, and those in their order. incoming has no null place.
+    """
+    every = registry.withColumn(pos, F.lit(None).cast("long")).unionByName(incoming.withColumn(pos, F.col(pos).cast("long")))
+    last = first_by(every, ["id"], [F.desc_nulls_last(pos)])
+    return unique_identifiers(last, keys, (pos, "id")).drop(pos)
+
+
+def listing(registry: DataFrame) -> DataFrame:
+    """The registry as it is listed: newest first, then by directory name."""
+    return registry.orderBy(F.desc_nulls_last("year"), "dir_name")
+
+
+def last_of(rows: DataFrame, key: str, line: str) -> DataFrame:
+    """Per key the row that comes last, as a map read line by line keeps it."""
+    return first_by(rows, [key], [F.desc(line)])
+
+
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -25,6 +25,11 @@ def linked(nodes: DataFrame) -> DataFrame:
     return named.withColumns({"prev_id": F.lag("node_id").over(w), "next_id": F.lead("node_id").over(w)})
 
 
+def by_ids(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The nodes of a list (node_id, pos), in the list's order; ids that no node has give nothing."""
+    return nodes.join(wanted.select("node_id", "pos"), "node_id").orderBy("pos")
+
+
 def with_neighbours(nodes: DataFrame, hits: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     """Nodes within k places of a hit (paper_id, ordinal, rank), once each, in order of the hit that brings them.
 

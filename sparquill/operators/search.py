@@ -129,15 +129,17 @@ def search_nodes(nodes: DataFrame, query: str, top_k: int, *, mode: str = "or",
     must = [t for r in require or [] for t in query_tokens(r)]
     indexed = nodes.select("node_id", X.index_terms("content").alias("tokens"))
     scored = bm25(indexed, terms, mode, must)
-    eligible = nodes if where is None else nodes.where(where)
-    if scope is not None:
-        eligible = eligible.join(scope.select("paper_id").distinct(), "paper_id", "left_semi")
-    hits = eligible.join(scored, "node_id").withColumn("match", F.lit("fts"))
-    hits = hits.orderBy(F.desc("score"), "paper_id", "ordinal").limit(top_k)
+    allowed = nodes if where is None else nodes.where(where)
+    within = lambda df: df if scope is None else df.join(scope.select("paper_id").distinct(), "paper_id", "left_semi")
+    eligible = within(allowed)
+    # ranked without their texts, which only the top_k rows fetch
+    top = within(allowed.select("node_id", "paper_id", "ordinal")).join(scored, "node_id").orderBy(F.desc("score"), "paper_id", "ordinal").limit(top_k)
+    hits = within(allowed.join(F.broadcast(top.select("node_id", "score").distinct()), "node_id")).withColumn("match", F.lit("fts"))
     if fallback and terms:
-        plain = like_scan(eligible, terms).withColumns({"score": F.lit(-999.0), "match": F.lit("fts")})
-        none = hits.agg(F.count("*").alias("found")).where("found = 0")  # one row or none
-        hits = hits.unionByName(plain.orderBy("paper_id", "ordinal").limit(top_k).crossJoin(F.broadcast(none)).drop("found"))
+        # one row or none, joined before the scan, which an empty one spares
+        none = top.agg(F.count("*").alias("found")).where("found = 0")
+        plain = like_scan(eligible.crossJoin(F.broadcast(none)).drop("found"), terms).withColumns({"score": F.lit(-999.0), "match": F.lit("fts")})
+        hits = hits.unionByName(plain.orderBy("paper_id", "ordinal").limit(top_k))
     if exclude:
         low = F.lower("content")
         for t in exclude:

@@ -42,13 +42,13 @@ def lookup_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH t AS (SELECT doc_id, lower(trim(regexp_replace(left(text, 40), '\\s+', ' ', 'g'))) AS k FROM documents),
+    WITH t AS (SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS k FROM documents),
     a AS (SELECT doc_id AS name, k FROM t WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0))
     SELECT CAST(a.name AS VARCHAR) AS name, CAST(t.doc_id AS VARCHAR) AS id FROM a JOIN t USING (k)
 """)
 def exact_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records whose title, here a text's first 40 characters, equals that of a record asked for."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.substring("text", 1, 40).alias("title"), F.lit("").alias("doi"), F.lit("").alias("pmid"))
+    """Records whose title, here a whole text, equals that of a record asked for."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("title"), F.lit("").alias("doi"), F.lit("").alias("pmid"))
     ask = table(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").cast("string").alias("id"))
     named = d.join(ask, "id", "left_semi").select(F.col("id").alias("asked_id"), F.col("title").alias("name"))
     found = I.exact_matches(named.select("name").distinct(), d).select("name", "id")
@@ -80,7 +80,7 @@ def harvest_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def registry_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string")).alias("pmid"))
-    unique = I.unique_identifiers(rows, ("pmid",), "l_linenumber")
+    unique = I.unique_identifiers(rows, ("pmid",), ("l_linenumber",))
     return unique.select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("pmid") != "", F.col("l_partkey")).alias("kept"))
 
 
@@ -165,7 +165,7 @@ def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
     return d.select(
         F.concat(F.when(k % 7 == 0, "DUP-").otherwise(""), F.col("source"), F.lit("-"), F.when(k % 3 == 0, "x").otherwise((F.lit(2000) + k % 20).cast("string")), F.lit("-"), k.cast("string")).alias("dir_name"),
-        F.when(k % 11 == 0, "").otherwise(F.substring("text", 1, 30)).alias("title"),
+        F.when(k % 11 == 0, "").otherwise(F.col("text")).alias("title"),
         F.when(k % 4 == 0, "").otherwise(F.md5("text")).alias("doi"),
         F.when(k % 13 != 0, (F.lit(2000) + k % 10).cast("int")).alias("year"),
         (k % 3).cast("int").alias("n_authors"),
@@ -189,7 +189,7 @@ _AUDIT = """
         UNION ALL SELECT p, 'warning', 'missing_abstract' FROM f WHERE k % 5 = 0 OR trim(text) = ''
         UNION ALL SELECT p, 'warning', 'missing_year' FROM f WHERE k % 13 = 0
         UNION ALL SELECT p, 'warning', 'missing_authors' FROM f WHERE k % 3 = 0
-        UNION ALL SELECT p, 'error', 'missing_title' FROM f WHERE k % 11 = 0 OR trim(left(text, 30)) = ''
+        UNION ALL SELECT p, 'error', 'missing_title' FROM f WHERE k % 11 = 0 OR trim(text) = ''
         UNION ALL SELECT p, 'error', 'missing_md' FROM f WHERE k % 17 = 0
         UNION ALL SELECT p, 'warning', 'short_md' FROM f WHERE k % 17 <> 0 AND length(trim(text)) < 200
         UNION ALL SELECT p, 'info', 'nonstandard_filename' FROM f WHERE k % 3 = 0
@@ -197,8 +197,8 @@ _AUDIT = """
         UNION ALL SELECT p, 'warning', 'dup_dir_name' FROM f WHERE k % 7 = 0
         UNION ALL SELECT p, 'warning', 'low_info_dir_name' FROM f WHERE k % 7 <> 0 AND k % 11 <> 0
               AND (CASE WHEN length(source) >= 4 THEN 1 ELSE 0 END) < 2
-              AND len(regexp_extract_all(lower(left(text, 30)), '[a-z][a-z0-9]{3,}')) > 0
-              AND NOT (length(source) >= 4 AND list_contains(regexp_extract_all(lower(left(text, 30)), '[a-z][a-z0-9]{3,}'), lower(source)))
+              AND len(regexp_extract_all(lower(text),'[a-z][a-z0-9]{3,}')) > 0
+              AND NOT (length(source) >= 4 AND list_contains(regexp_extract_all(lower(text),'[a-z][a-z0-9]{3,}'), lower(source)))
         UNION ALL SELECT p, 'error', 'duplicate_doi' FROM f WHERE k % 4 <> 0 AND md5(text) IN (SELECT d FROM dup))
 """
 
@@ -279,14 +279,14 @@ def status_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH m AS (SELECT DISTINCT 'k' || o_custkey AS citekey FROM orders WHERE o_orderkey < 2000),
+    WITH m AS (SELECT DISTINCT 'k' || o_custkey AS citekey FROM orders),
     r AS (SELECT 'k' || c_custkey AS citekey, c_mktsegment = 'BUILDING' AS required FROM customer)
     SELECT coalesce(r.citekey, m.citekey) AS citekey, m.citekey IS NOT NULL AS cited, coalesce(required, false) AS required, r.citekey IS NOT NULL AS known FROM r FULL JOIN m USING (citekey)
 """)
 def citation_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manuscripts made of orders cite customers by key."""
     text = F.concat(F.lit("See @k"), F.col("o_custkey").cast("string"), F.lit(", and [@k"), F.col("o_custkey").cast("string"), F.lit("]."))
-    manuscripts = table(spark, sf_dir, "orders").where("o_orderkey < 2000").select(text.alias("text"))
+    manuscripts = table(spark, sf_dir, "orders").select(text.alias("text"))
     references = table(spark, sf_dir, "customer").select(F.concat(F.lit("k"), F.col("c_custkey").cast("string")).alias("citekey"), (F.col("c_mktsegment") == "BUILDING").alias("required"))
     return W.citation_coverage(references, manuscripts)
 
@@ -382,16 +382,16 @@ def events_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- structure
 
-_MD = "concat('# ', source, chr(10), 'lead', chr(10), '## 1 Introduction', chr(10), left(text, 20), chr(10), '### 1.1 Scope', chr(10), 'x', chr(10), '## ', lang, chr(10), 'Fig. 1 shown', chr(10), 'more', chr(10), '## 2. Conclusion', chr(10), 'end')"
+_MD = "concat('# ', source, chr(10), 'lead', chr(10), '## 1 Introduction', chr(10), text, chr(10), '### 1.1 Scope', chr(10), 'x', chr(10), '## ', lang, chr(10), 'Fig. 1 shown', chr(10), 'more', chr(10), '## 2. Conclusion', chr(10), 'end')"
 
 
 def _markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markdown made inside the query: the documents hold no headings."""
-    return table(spark, sf_dir, "documents").where("instr(left(text, 20), chr(10)) = 0 and instr(left(text, 20), '#') = 0").select("doc_id", F.expr(_MD).alias("md"))
+    """Every whole text under headings made inside the query, as the documents hold none."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.expr(_MD).alias("md"))
 
 
 _LINES = f"""
-    WITH m AS (SELECT doc_id, {_MD} AS md FROM documents WHERE NOT contains(left(text, 20), chr(10)) AND NOT contains(left(text, 20), '#')),
+    WITH m AS (SELECT doc_id, {_MD} AS md FROM documents),
     l AS (SELECT doc_id, unnest(string_split(md, chr(10))) AS s, generate_subscripts(string_split(md, chr(10)), 1) AS line FROM m),
     h AS (SELECT doc_id, CAST(line AS INTEGER) AS line, CAST(length(regexp_extract(s, '^(#+)', 1)) AS INTEGER) AS level, trim(regexp_replace(regexp_replace(s, '^#+\\s+', ''), '\\s+', ' ', 'g')) AS title
           FROM l WHERE regexp_matches(s, '^#{{1,6}}\\s+\\S'))
@@ -404,11 +404,13 @@ def md_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_LINES + """
-    SELECT doc_id, line, title, CAST(coalesce(min(CASE WHEN level <= 2 THEN line END) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) - 1, 11) AS INTEGER) AS end_line FROM h
+    SELECT doc_id, line, title, CAST(coalesce(min(CASE WHEN level <= 2 THEN line END) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) - 1, n_lines) AS INTEGER) AS end_line
+    FROM h JOIN (SELECT doc_id, max(line) AS n_lines FROM l GROUP BY doc_id) USING (doc_id)
 """)
 def section_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = H.markdown_headings(_markdown(spark, sf_dir), "doc_id", "md")
-    return H.section_bounds(h, "doc_id", F.col("level") <= 2, F.lit(11)).select("doc_id", "line", "title", "end_line")
+    docs = _markdown(spark, sf_dir)
+    h = H.markdown_headings(docs, "doc_id", "md").join(docs.select("doc_id", F.size(F.split("md", "\n")).alias("n_lines")), "doc_id")
+    return H.section_bounds(h, "doc_id", F.col("level") <= 2, F.col("n_lines")).select("doc_id", "line", "title", "end_line")
 
 
 @query("""
@@ -469,7 +471,7 @@ def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _manuscripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderkey <= 3000")
+    o = table(spark, sf_dir, "orders")
     name = F.concat(F.lit("C"), F.translate(F.col("o_custkey").cast("string"), "0123456789", "abcdefghij"))
     y = F.year("o_orderdate").cast("string")
     text = F.concat(name, F.lit(" et al. ("), y, F.lit(") say so (Smith & Doe, 2019; "), name, F.lit(", "), y, F.lit(").")).alias("text")
@@ -477,7 +479,7 @@ def _manuscripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH o AS (SELECT o_orderkey, 'C' || translate(CAST(o_custkey AS VARCHAR), '0123456789', 'abcdefghij') AS name, CAST(year(o_orderdate) AS VARCHAR) AS y FROM orders WHERE o_orderkey <= 3000)
+    WITH o AS (SELECT o_orderkey, 'C' || translate(CAST(o_custkey AS VARCHAR), '0123456789', 'abcdefghij') AS name, CAST(year(o_orderdate) AS VARCHAR) AS y FROM orders)
     SELECT o_orderkey, name || ' et al.' AS author, y AS year, name || ' et al. (' || y || ')' AS raw FROM o
     UNION ALL SELECT o_orderkey, 'Smith & Doe', '2019', '(Smith & Doe, 2019)' FROM o
     UNION ALL SELECT o_orderkey, name, y, '(' || name || ', ' || y || ')' FROM o
@@ -489,19 +491,23 @@ def citation_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def check_citations(cites: DataFrame, papers: DataFrame) -> DataFrame:
     """cites (cite_id, author, year) against papers (id, authors, year text): VERIFIED, AMBIGUOUS or NOT_IN_LIBRARY.
 
-    Papers meet citations of their own year only, and are narrowed to distinct
-    (surname, year) pairs, so that a citation repeated everywhere is matched once.
+    Citations are narrowed to distinct (surname, year) pairs, so that one repeated everywhere
+    is matched once. A surname stands anywhere in the authors' names; the join is on the year
+    and its first X.GRAM characters, which such names hold too. An author without a surname
+    matches nothing.
     """
-    asked = cites.select(F.lower(X.surname("author")).alias("surname"), "year").distinct()
-    pairs = asked.join(papers.select(F.lower("authors").alias("__authors"), F.col("year").alias("__year"), "id"), (F.col("year") == F.col("__year")) & F.contains("__authors", F.col("surname")))
+    asked = cites.select(F.lower(X.surname("author")).alias("surname"), "year").distinct().where("surname <> ''")
+    names = papers.select(F.lower("authors").alias("__authors"), "year", "id").where("__authors <> ''")
+    names = names.select("*", F.explode(X.grams("__authors")).alias("__gram"))
+    pairs = asked.withColumn("__gram", F.substring("surname", 1, X.GRAM)).join(names, ["year", "__gram"]).where(F.contains("__authors", F.col("surname")))
     n = pairs.groupBy("surname", "year").agg(F.count("*").alias("n_matches"))
     found = cites.withColumn("surname", F.lower(X.surname("author"))).join(n, ["surname", "year"], "left").withColumn("n_matches", F.coalesce("n_matches", F.lit(0)))
     return found.withColumn("status", F.when(F.col("n_matches") == 0, "NOT_IN_LIBRARY").when(F.col("n_matches") == 1, "VERIFIED").otherwise("AMBIGUOUS"))
 
 
 @query("""
-    WITH c AS (SELECT DISTINCT 'C' || translate(CAST(o_custkey AS VARCHAR), '0123456789', 'abcdefghij') AS author, CAST(year(o_orderdate) AS VARCHAR) AS year FROM orders WHERE o_orderkey <= 300),
-    p AS (SELECT o_orderkey AS id, lower('C' || translate(CAST(o_custkey AS VARCHAR), '0123456789', 'abcdefghij') || ', x') AS authors, CAST(year(o_orderdate) AS VARCHAR) AS year FROM orders WHERE o_orderkey % 2 = 0),
+    WITH c AS (SELECT DISTINCT 'C' || translate(CAST(o_custkey AS VARCHAR), '0123456789', 'abcdefghij') AS author, CAST(year(o_orderdate) AS VARCHAR) AS year FROM orders),
+    p AS (SELECT o_orderkey AS id, lower('C' || translate(CAST(o_custkey AS VARCHAR), '0123456789', 'abcdefghij') || ', x') AS authors, CAST(year(o_orderdate) AS VARCHAR) AS year FROM orders WHERE o_orderstatus = 'F'),
     n AS (SELECT c.author, c.year, count(p.id) AS n FROM c LEFT JOIN p ON p.year = c.year AND contains(p.authors, lower(c.author)) GROUP BY 1, 2)
     SELECT author, year, n AS n_matches, CASE WHEN n = 0 THEN 'NOT_IN_LIBRARY' WHEN n = 1 THEN 'VERIFIED' ELSE 'AMBIGUOUS' END AS status FROM n
 """)
@@ -509,14 +515,14 @@ def citation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     name = F.concat(F.lit("C"), F.translate(F.col("o_custkey").cast("string"), "0123456789", "abcdefghij"))
     y = F.year("o_orderdate").cast("string")
-    cites = o.where("o_orderkey <= 300").select(name.alias("author"), y.alias("year")).distinct()
-    papers = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("id"), F.concat(name, F.lit(", x")).alias("authors"), y.alias("year"))
+    cites = o.select(name.alias("author"), y.alias("year")).distinct()
+    papers = o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"), F.concat(name, F.lit(", x")).alias("authors"), y.alias("year"))
     return check_citations(cites, papers).select("author", "year", "n_matches", "status")
 
 
-@query("SELECT o_orderkey, 'a' || o_custkey || ',k' || o_orderkey AS keys FROM orders WHERE o_orderkey <= 3000")
+@query("SELECT o_orderkey, 'a' || o_custkey || ',k' || o_orderkey AS keys FROM orders")
 def citekeys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderkey <= 3000")
+    o = table(spark, sf_dir, "orders")
     text = F.concat(F.lit("see [@k"), F.col("o_orderkey").cast("string"), F.lit("; @a"), F.col("o_custkey").cast("string"), F.lit("]. mail x@y.z @k"), F.col("o_orderkey").cast("string"), F.lit("."))
     return o.select("o_orderkey", F.array_join(X.citekeys(text), ",").alias("keys"))
 
@@ -622,10 +628,10 @@ def head_and_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.head_and_tail("text", 600, marker="|").alias("compact"))
 
 
-@query("SELECT doc_id, array_to_string(list_slice(string_split(text, ' '), 1, 6), ' ') AS restored FROM documents WHERE len(list_distinct(list_slice(string_split(text, ' '), 1, 6))) = 6")
+@query("SELECT doc_id, text AS restored FROM documents")
 def inverted_abstract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six words are inverted to a map of positions and read back."""
-    words = F.slice(F.split("text", " "), 1, 6)
-    d = table(spark, sf_dir, "documents").where(F.size(F.array_distinct(words)) == 6)
-    inverted = F.map_from_arrays(words, F.transform(words, lambda w, i: F.array(i)))
-    return d.select("doc_id", X.inverted_to_text(inverted).alias("restored"))
+    """Whole texts are inverted to maps of words to positions and read back."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("at", "word"))
+    placed = words.groupBy("doc_id", "word").agg(F.collect_list("at").alias("places"))
+    inverted = placed.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("inverted"))
+    return inverted.select("doc_id", X.inverted_to_text("inverted").alias("restored"))

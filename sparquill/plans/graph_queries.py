@@ -53,22 +53,23 @@ def shared_references_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids below 500, as orders and as parts: the network within a workspace."""
-    return table(spark, sf_dir, "orders").where("o_orderkey < 500").select(F.col("o_orderkey").alias("id")).unionByName(table(spark, sf_dir, "part").where("p_partkey < 500").select(F.col("p_partkey").alias("id"))).distinct()
+    """Finished orders and large parts: the network within a workspace."""
+    return table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id")).unionByName(table(spark, sf_dir, "part").where("p_size > 25").select(F.col("p_partkey").alias("id"))).distinct()
 
 
-@query("""
-    WITH e AS (SELECT DISTINCT l_orderkey AS s, l_partkey AS t FROM lineitem),
-    w AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey < 500 UNION SELECT p_partkey FROM part WHERE p_partkey < 500)
+_SCOPE = "SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F' UNION SELECT p_partkey FROM part WHERE p_size > 25"
+
+
+@query(f"""
+    WITH e AS (SELECT DISTINCT l_orderkey AS s, l_partkey AS t FROM lineitem), w AS ({_SCOPE})
     SELECT s AS source_id, t AS target_id FROM e WHERE s IN (SELECT id FROM w) AND t IN (SELECT id FROM w)
 """)
 def citation_network_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.internal_edges(_edges(spark, sf_dir), _scope(spark, sf_dir)).select("source_id", "target_id")
 
 
-@query("""
-    WITH e AS (SELECT DISTINCT l_orderkey AS s, l_partkey AS t FROM lineitem),
-    w AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey < 500 UNION SELECT p_partkey FROM part WHERE p_partkey < 500)
+@query(f"""
+    WITH e AS (SELECT DISTINCT l_orderkey AS s, l_partkey AS t FROM lineitem), w AS ({_SCOPE})
     SELECT w.id AS source_id, count(e.t) AS n_references, CAST(coalesce(sum(CASE WHEN e.t IN (SELECT id FROM w) THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_internal
     FROM w LEFT JOIN e ON e.s = w.id GROUP BY w.id
 """)
@@ -76,19 +77,18 @@ def citation_network_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.network_sources(_edges(spark, sf_dir), _scope(spark, sf_dir))
 
 
-@query("""
-    WITH e AS (SELECT DISTINCT l_orderkey AS s, l_partkey AS t FROM lineitem WHERE l_orderkey < 500)
-    SELECT t AS target_id, string_agg(DISTINCT CAST(s AS VARCHAR), ',' ORDER BY CAST(s AS VARCHAR)) AS sources FROM e GROUP BY t HAVING count(DISTINCT s) >= 2
+@query(f"""
+    WITH e AS (SELECT DISTINCT l_orderkey AS s, l_partkey AS t FROM lineitem WHERE l_orderkey IN ({_SCOPE}))
+    SELECT t AS target_id, s AS source_id FROM e WHERE t IN (SELECT t FROM e GROUP BY t HAVING count(*) >= 2)
 """)
 def citation_network_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _edges(spark, sf_dir).where("source_id < 500")
-    many = own.groupBy("target_id").agg(F.array_sort(F.collect_set(F.col("source_id").cast("string"))).alias("s")).where(F.size("s") >= 2)
-    return many.select("target_id", F.array_join("s", ",").alias("sources"))
+    """A row for each source of a shared target, so that no target's sources need fit in one row."""
+    own = _edges(spark, sf_dir).join(_scope(spark, sf_dir).withColumnRenamed("id", "source_id"), "source_id", "left_semi")
+    return own.join(G.shared_references(own, 2).select("target_id"), "target_id", "left_semi").select("target_id", "source_id")
 
 
-@query("""
-    WITH e AS (SELECT DISTINCT l_orderkey AS s, l_partkey AS t FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderkey < 500)),
-    w AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey < 500 UNION SELECT p_partkey FROM part WHERE p_partkey < 500),
+@query(f"""
+    WITH w AS ({_SCOPE}),
     x AS (SELECT DISTINCT l_orderkey AS s, l_partkey AS t FROM lineitem WHERE l_orderkey IN (SELECT id FROM w))
     SELECT (SELECT count(*) FROM x) AS n_edges, (SELECT count(DISTINCT s) FROM x) AS n_sources,
            (SELECT count(*) FROM x WHERE t IN (SELECT id FROM w)) AS n_internal,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from sparquill.functions import text as X
 from sparquill.operators import audit as A
 from sparquill.operators import cards as C
 from sparquill.operators import extraction as E
+from sparquill.operators import identity as I
 from sparquill.operators import reports as R
 from sparquill.operators import workspace as W
 from sparquill.plans.corpus_queries import _audited, _records
@@ -80,9 +82,9 @@ def eav_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.items_from_eav(items, data, values, fields, creators, deleted, ["title", "date"]).select("item_id", "title", "date", F.array_join("authors", ";").alias("authors"))
 
 
-@query("SELECT n_nationkey AS collection_id, n_name AS name, count(c_custkey) AS n_items FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_custkey % 50 = 0 GROUP BY 1, 2")
+@query("SELECT n_nationkey AS collection_id, n_name AS name, count(c_custkey) AS n_items FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2")
 def collection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members = table(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select(F.col("c_nationkey").alias("collection_id"), F.col("c_custkey").alias("item_id"))
+    members = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("collection_id"), F.col("c_custkey").alias("item_id"))
     return L.collections_with_counts(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("collection_id"), F.col("n_name").alias("name")), members)
 
 
@@ -92,13 +94,13 @@ def step_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH w AS (SELECT o_orderkey AS pos, o_custkey AS id FROM orders WHERE o_orderkey <= 2000), r AS (SELECT c_custkey AS id, c_name AS dir_name FROM customer)
+    WITH w AS (SELECT o_orderkey AS pos, o_custkey AS id FROM orders), r AS (SELECT c_custkey AS id, c_name AS dir_name FROM customer)
     SELECT w.pos, w.id, r.dir_name, c_mktsegment AS journal, CASE WHEN w.id % 3 = 0 THEN 'full_text' ELSE 'metadata_only' END AS full_text_status FROM w JOIN r USING (id) JOIN customer ON c_name = r.dir_name
 """)
 def workspace_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries with the registry's current name, the record and its full-text status."""
     c = table(spark, sf_dir, "customer")
-    entries = table(spark, sf_dir, "orders").where("o_orderkey <= 2000").select(F.lit("w").alias("ws"), F.col("o_orderkey").alias("pos"), F.col("o_custkey").alias("id"), F.lit("old name").alias("dir_name"))
+    entries = table(spark, sf_dir, "orders").select(F.lit("w").alias("ws"), F.col("o_orderkey").alias("pos"), F.col("o_custkey").alias("id"), F.lit("old name").alias("dir_name"))
     registry = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("dir_name"))
     papers = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("dir_name"), F.col("c_mktsegment").alias("journal"))
     texts = c.where("c_custkey % 3 = 0").select(F.col("c_name").alias("dir_name"))
@@ -194,6 +196,29 @@ def insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.insights(e, table(spark, sf_dir, "benchmark"), titles, "text", ("the", "of"))
 
 
+@query("""
+    WITH every AS (SELECT c_custkey AS id, c_name AS title, 'P' || c_custkey AS pmid, CAST(NULL AS BIGINT) AS pos FROM customer
+                   UNION ALL SELECT o_custkey, o_orderstatus, o_orderpriority, o_orderkey FROM orders),
+    l AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos DESC NULLS LAST) = 1)
+    SELECT id, title, CASE WHEN row_number() OVER (PARTITION BY pmid ORDER BY pos NULLS FIRST, id) = 1 THEN pmid ELSE '' END AS pmid FROM l
+""")
+def registry_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as a registry; each order rewrites its customer's record."""
+    registry = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), F.concat(F.lit("P"), F.col("c_custkey").cast("string")).alias("pmid"))
+    incoming = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("title"), F.col("o_orderpriority").alias("pmid"), F.col("o_orderkey").alias("pos"))
+    return I.upsert_registry(registry, incoming, keys=("pmid",)).select("id", "title", "pmid")
+
+
+@query("SELECT p_partkey AS id, p_size AS year, p_name AS dir_name FROM part")
+def registry_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.listing(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("year"), F.col("p_name").alias("dir_name")))
+
+
+@query("SELECT url, max(page_id) AS page_id FROM pages GROUP BY url")
+def last_duplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.last_of(table(spark, sf_dir, "pages").select("url", "page_id"), "url", "page_id")
+
+
 @query()
 def reference_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.reference_map(_records(spark, sf_dir)).select("id", "citekey")
@@ -212,7 +237,11 @@ def events_stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "false").parquet(f"{sf_dir}/events.parquet*")
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/sparquill-streams"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a stream on a cluster needs spark.checkpoint.dir, a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="sparquill-streams-")
     name = f"daily_{uuid.uuid4().hex}"
     found = S.run_to_table(S.windowed_counts(stream, "1 day"), name, f"{base}/{name}", "complete")
     return found.select(F.col("started").cast("timestamp_ntz").alias("started"), "event_type", "n")

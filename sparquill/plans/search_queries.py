@@ -156,12 +156,25 @@ def node_prev_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.linked(turns).select("paper_id", "ordinal", "node_id", "prev_id", "next_id")
 
 
-@query(f"""
-    WITH {_TURNS}, e AS (SELECT r.conv_id, min(r.rank) AS rank, n.turn FROM r JOIN n ON n.conv_id = r.conv_id AND n.turn BETWEEN r.turn - 1 AND r.turn + 1 GROUP BY r.conv_id, n.turn)
-    SELECT conv_id AS paper_id, turn AS ordinal, rank FROM e
+@query("""
+    SELECT conv_id || ':' || lpad(CAST(turn AS VARCHAR), 4, '0') AS node_id, conv_id AS paper_id, turn AS ordinal, length(text) AS pos FROM conversations WHERE contains(lower(text), 'the')
+""")
+def nodes_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns with a word, fetched by id in order of length."""
+    turns = turn_nodes(spark, sf_dir)
+    wanted = turns.where(F.contains(F.lower("content"), F.lit("the"))).select("node_id", F.length("content").alias("pos"))
+    return N.by_ids(turns, wanted).select("node_id", "paper_id", "ordinal", "pos")
+
+
+@query("""
+    WITH r AS (SELECT conv_id, turn FROM conversations WHERE contains(lower(text), 'the'))
+    SELECT n.conv_id AS paper_id, n.turn AS ordinal, min(r.turn) AS rank FROM r JOIN conversations n ON n.conv_id = r.conv_id AND n.turn BETWEEN r.turn - 1 AND r.turn + 1 GROUP BY n.conv_id, n.turn
 """)
 def neighbor_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.with_neighbours(turn_nodes(spark, sf_dir), _turn_hits(spark, sf_dir), 1).select("paper_id", "ordinal", "rank")
+    """Every turn with a word, in reading order, and its neighbours."""
+    turns = turn_nodes(spark, sf_dir)
+    hits = turns.where(F.contains(F.lower("content"), F.lit("the"))).withColumn("rank", F.col("ordinal"))
+    return N.with_neighbours(turns, hits, 1).select("paper_id", "ordinal", "rank")
 
 
 @query(f"""
@@ -192,27 +205,28 @@ def budget_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH b AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))
-    SELECT item_id, doc_id FROM b
+    SELECT DISTINCT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE trim(b.text) <> ''
 """)
 def containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark text whole.
 
     An item is keyed by its longest inner word, which a document that holds it has between
-    spaces too, so the texts meet on equal keys and are then compared; items without inner
-    words are compared as they are, being few.
+    spaces too, so the texts meet on equal keys and are then compared. An item without inner
+    words is keyed by each word of the documents that holds its own longest word; those words
+    are found among the distinct ones, by their grams. Blank items are in no document.
     """
+    longest = lambda words: F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     words = F.split("item", " ")
     inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item")).withColumn("key", F.nullif(longest, F.lit("")))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item")).withColumns({"key": F.nullif(longest(inner), F.lit("")), "word": longest(words)})
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    keyed = items.where("key is not null")
     seen = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("key"))
+    short = items.where("key is null and word <> ''").select("item_id", "item", "word", F.substring("word", 1, X.GRAM).alias("gram"))
+    known = seen.select("key").where("key <> ''").distinct().select("key", F.explode(X.grams("key")).alias("gram"))
+    spread = short.join(known, "gram").where(F.contains("key", F.col("word")))
+    keyed = items.where("key is not null").select("item_id", "item", "key").unionByName(spread.select("item_id", "item", "key"))
     pairs = seen.join(keyed, "key").select("doc_id", "item_id", "item")
-    found = docs.join(pairs, "doc_id").where(F.contains("text", F.col("item"))).select("item_id", "doc_id")
-    rest = docs.join(items.where("key is null"), F.contains(F.col("text"), F.col("item"))).select("item_id", "doc_id")
-    return found.unionByName(rest)
+    return docs.join(pairs, "doc_id").where(F.contains("text", F.col("item"))).select("item_id", "doc_id").distinct()
 
 
 @query("""

@@ -103,21 +103,29 @@ def works(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def works_filter(issn: str | None = None, years: str | None = None, work_type: str | None = None, min_citations: int | None = None, keyword: str | None = None) -> str:
-    """The service's filter string; numbers that aren't positive are left out."""
-    from sparquill.functions.dates import parse_year_range
-
-    parts = [f"primary_location.source.issn:{issn}"] if issn else []
-    if years:
-        first, last = parse_year_range(years)
-        parts.append(f"publication_year:{first or ''}-{last or ''}" if first != last else f"publication_year:{first}")
-    if work_type:
-        parts.append(f"type:{work_type}")
-    if min_citations and min_citations > 0:
-        parts.append(f"cited_by_count:>{min_citations - 1}")
-    if keyword:
-        parts.append(f"title_and_abstract.search:{keyword}")
-    return ",".join(parts)
+# The service's fields, in the order in which they are asked for.
+FILTER_FIELDS = {
+    "issn": "primary_location.source.issn",
+    "concept": "concepts.id",
+    "topic": "topics.id",
+    "author": "authorships.author.id",
+    "institution": "authorships.institutions.id",
+    "source_type": "primary_location.source.type",
+    "years": "publication_year",
+    "min_citations": "cited_by_count",
+    "work_type": "type",
+}
+
+
+def works_filter(*, min_citations: int | None = None, **wanted: str | None) -> str:
+    """The service's filter string of the FILTER_FIELDS given; a count that isn't positive is left out.
+
+    Keywords are no filter: the service takes them as a search parameter of their own.
+    """
+    if unknown := set(wanted) - set(FILTER_FIELDS):
+        raise TypeError(f"no such filters: {sorted(unknown)}")
+    values = wanted | {"min_citations": f">{min_citations - 1}" if (min_citations or 0) > 0 else None}
+    return ",".join(f"{field}:{values[name]}" for name, field in FILTER_FIELDS.items() if values.get(name))
 
 
 def feed(spark: SparkSession, path: str) -> DataFrame:
