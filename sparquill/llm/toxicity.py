@@ -12,7 +12,8 @@ training documents, of the largest marginal and the sum of all but slight ones,
 offending spans are the runs of tokens above one half.
 
 Training reads a bounded sample: at most `toxic_docs` and `clean_docs` labelled
-documents of at most `longest` bytes, by hash order of their ids, each of them whole.
+documents of at most `longest` bytes, by hash order of their ids, each of them whole;
+where ids repeat, the bound holds for the different texts of all of them together.
 Scoring reads every text whole. A text is one chain, whatever its length: it is laid
 out in rows of `WINDOW` tokens for numpy, and forward and backward messages go from row
 to row. Words are runs of letters, digits and underscores.
@@ -395,9 +396,11 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     short = docs.select(F.col(key).alias("k"), text_bytes(text).alias("t")).where(F.octet_length("t") <= longest)
     pick = lambda y, n: known.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(n)
     chosen = pick(1, toxic_docs).unionByName(pick(0, clean_docs))
-    rows = short.join(F.broadcast(chosen), "k").select("k", "y", "t").collect()  # at most toxic_docs + clean_docs ids
+    # an id may repeat, so rows are made distinct by id and digest, and bounded, before any text is collected
+    met = short.join(F.broadcast(chosen), "k").groupBy("k", "y", F.xxhash64("t").alias("h")).agg(F.min("t").alias("t"))
+    rows = met.orderBy(F.xxhash64("k"), "k", "h").limit(toxic_docs + clean_docs).collect()
     texts: dict[str, int] = {}
-    for r in sorted(rows, key=lambda r: r.k):
+    for r in sorted(rows, key=lambda r: (r.k, r.h)):
         t = bytes(r.t).decode("utf-8", "replace")
         texts[t] = max(texts.get(t, 0), int(r.y))
     return fit(list(texts), list(texts.values()))

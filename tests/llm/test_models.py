@@ -138,6 +138,18 @@ def test_toxicity_of_held_out_documents(spark):
     assert both >= 0.9 * sum(r.toxic for r in got) and both >= 0.9 * sum(r.predicted for r in got)
 
 
+def test_an_id_that_repeats_teaches_within_the_bound(spark, monkeypatch):
+    """Rows of one id are made distinct and bounded before they reach the driver."""
+    told = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic: told.append((texts, toxic)))
+    docs = spark.createDataFrame([(1, f"text {i % 40}") for i in range(200)] + [(2, "other"), (3, "x" * 60_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, toxic int")
+    toxicity.train(docs, labels)
+    assert sorted(told[0][0]) == sorted({f"text {i}" for i in range(40)} | {"other"}) and sum(told[0][1]) == 40
+    toxicity.train(docs, labels, toxic_docs=5, clean_docs=5)
+    assert len(told[1][0]) == 10
+
+
 def test_slots_name_pieces_of_words():
     """Equal pieces get equal numbers whatever words stand beside them; short words lack beginnings."""
     words = ["Straße", "straßen", "a", "你好", "x" * 300, "STRASSE", "\ud800ab"]
