@@ -262,19 +262,23 @@ def _in_groups(search, names: list[str]):
             found = search(group, list(columns)).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, i])) for i in range(len(names))], names=names)
 
-        held: np.ndarray | None = None  # the last group may go on in the next batch
+        held: list[np.ndarray] = []  # the last group may go on in the next batch; joined once, when it ends
         for b in batches:
             rows = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)])
-            held = rows if held is None else np.concatenate([held, rows], axis=1)
-            if not held.shape[1]:
+            if not rows.shape[1]:
                 continue
-            new = np.r_[True, (held[:3, 1:] != held[:3, :-1]).any(axis=0)]
+            held.append(rows)
+            if len(held) > 1 and (rows[:3, -1] == held[0][:3, 0]).all():
+                continue
+            whole = np.concatenate(held, axis=1)
+            new = np.r_[True, (whole[:3, 1:] != whole[:3, :-1]).any(axis=0)]
             last = int(np.flatnonzero(new)[-1])
             if last:
-                yield out(np.cumsum(new[:last]), np.ascontiguousarray(held[3:, :last]).view(np.uint64))
-            held = held[:, last:]
-        if held is not None and held.shape[1]:
-            yield out(np.zeros(held.shape[1], np.int64), np.ascontiguousarray(held[3:]).view(np.uint64))
+                yield out(np.cumsum(new[:last]), np.ascontiguousarray(whole[3:, :last]).view(np.uint64))
+            held = [whole[:, last:]]
+        if held:
+            whole = np.concatenate(held, axis=1)
+            yield out(np.zeros(whole.shape[1], np.int64), np.ascontiguousarray(whole[3:]).view(np.uint64))
 
     return run
 
@@ -443,18 +447,16 @@ def set_keys(hashes: np.ndarray, similarity: float) -> np.ndarray:
     return keys_and_least(hashes, similarity)[0]
 
 
-def same_keys(key: np.ndarray, told: np.ndarray) -> np.ndarray:
-    """(group, told, keys) of keys that two texts or more have; keys of the same texts are one group, `keys` of them. key is sorted."""
-    same = key[1:] == key[:-1]
-    rows = np.stack([key, told.view(np.int64)], axis=1)[np.r_[False, same] | np.r_[same, False]]
-    if not len(rows):
-        return np.empty((0, 3), np.int64)
-    rows = np.unique(rows, axis=0)
-    starts = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
-    sizes = np.diff(np.r_[starts, len(rows)])
-    rows[:, 0] = np.repeat(np.add.reduceat(_mixed(rows[:, 1].view(np.uint64)), starts), sizes).view(np.int64)
-    rows, keys = np.unique(rows[np.repeat(sizes, sizes) > 1], axis=0, return_counts=True)
-    return np.c_[rows, keys]
+def same_keys(keyed: DataFrame) -> DataFrame:
+    """(key, told) rows to (key, told, keys): keys that two texts or more have, keys of the same texts as one group, `keys` of them.
+
+    Keys are counted and their sets of texts hashed by aggregation, so that no task holds a key's texts.
+    """
+    several = keyed.groupBy("key").agg(F.min("told").alias("low"), F.max("told").alias("high")).where("low <> high")
+    shared = store(keyed.join(several, "key", "left_semi").distinct(), "shared-keys")
+    sets = shared.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("told")).alias("one"), F.bit_xor(F.xxhash64("told", F.lit(1))).alias("two"))
+    groups = sets.groupBy("n", "one", "two").agg(F.min("key").alias("key"), F.count("*").alias("keys"))
+    return shared.join(groups.select("key", "keys"), "key")
 
 
 def parities(hashes: np.ndarray) -> np.ndarray:
@@ -539,11 +541,7 @@ def similar_roots(members: DataFrame, texts: DataFrame, similarity: float, words
     stay apart, every other pair that shares as many keys as it must follows.
     """
     keyed = texts.select("told", "t").mapInArrow(_keys_of(similarity, words), "key long, told long")
-    zero = F.lit(0).cast("long")
-    dealt = keyed.repartition("key").sortWithinPartitions("key").select("key", zero.alias("unit"), zero.alias("code"), "told")
-    groups = dealt.mapInArrow(_in_groups(lambda group, c: same_keys(group, *c), ["key", "told", "keys"]), "key long, told long, keys long")
-    # a group of the same texts may come from several batches and tasks
-    groups = store(groups.groupBy("key", "told").agg(F.sum("keys").alias("keys")), "same-keys")
+    groups = same_keys(store(keyed, "set-keys"))
     groups = store(groups.join(members.drop("first"), "told"), "similar-groups")
     places = members.select(F.col("first.doc_id").alias("doc_id"), "told")
 

@@ -326,3 +326,33 @@ def test_parities_rule_out_no_similar_pair():
         if len(b) and simhash.jaccard(a.tobytes(), b.tobytes()) >= 0.8:
             sketch = np.stack([simhash.parities(a), simhash.parities(b)], axis=1)
             assert simhash.may_be_similar(np.asarray([len(a), len(b)]), sketch, np.asarray([0]), np.asarray([1]), 0.8).all()
+
+
+def test_keys_of_the_same_texts_are_one_group(spark):
+    rows = [(k, t) for k in (1, 2, 3) for t in range(2000)] + [(4, t) for t in range(1999)] + [(5, 7), (5, 7), (6, 1), (6, 2), (6, 2)]
+    got = simhash.same_keys(spark.createDataFrame(rows, "key long, told long").repartition(7)).collect()
+    sets, want = {}, {}
+    for k, t in set(rows):
+        sets.setdefault(k, set()).add(t)
+    for s in sets.values():
+        if len(s) > 1:
+            want[frozenset(s)] = want.get(frozenset(s), 0) + 1
+    found = {}
+    for r in got:
+        found.setdefault(r.key, []).append((r.told, r["keys"]))
+    assert {frozenset(t for t, _ in v): v[0][1] for v in found.values()} == want and sum(map(len, found.values())) == sum(map(len, want))
+    assert simhash.same_keys(spark.createDataFrame([], "key long, told long")).count() == 0
+
+
+def test_a_group_over_many_batches_is_held_whole():
+    import pyarrow as pa
+
+    made = [[(1, 0, 0, 5)] * 3, [(1, 0, 0, 6)], [], [(1, 0, 0, 7), (2, 0, 0, 8)], [(2, 0, 0, 9)], [(3, 0, 0, 1)]]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in b], pa.int64()) for i in range(4)], names=["a", "b", "c", "d"]) for b in made]
+    whole = lambda group, c: np.stack([group.astype(np.uint64), c[0]], axis=1)
+    got = [b.to_pydict() for b in simhash._in_groups(whole, ["g", "v"])(iter(batches))]
+    runs = {}
+    for n, b in enumerate(got):
+        for g, v in zip(b["g"], b["v"], strict=True):
+            runs.setdefault((n, g), []).append(v)
+    assert list(runs.values()) == [[5, 5, 5, 6, 7], [8, 9], [1]]
