@@ -26,6 +26,7 @@ repeated rows and null ids give a row each; other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -398,12 +399,19 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     chosen = pick(1, toxic_docs).unionByName(pick(0, clean_docs))
     # an id may repeat, so rows are made distinct by id and digest, and bounded, before any text is collected
     met = short.join(F.broadcast(chosen), "k").groupBy("k", "y", F.xxhash64("t").alias("h")).agg(F.min("t").alias("t"))
-    rows = met.orderBy(F.xxhash64("k"), "k", "h").limit(toxic_docs + clean_docs).collect()
-    texts: dict[str, int] = {}
-    for r in sorted(rows, key=lambda r: (r.k, r.h)):
-        t = bytes(r.t).decode("utf-8", "replace")
-        texts[t] = max(texts.get(t, 0), int(r.y))
-    return fit(list(texts), list(texts.values()))
+    sample = met.orderBy(F.xxhash64("k"), "k", "h").limit(toxic_docs + clean_docs).select("k", "h", "y", "t")
+
+    def learn(batches: Iterator[Batch]) -> Iterator[Batch]:
+        rows = sorted((k, h, bytes(t), int(y)) for b in batches for k, h, y, t in zip(b["k"], b["h"], b["y"], b["t"], strict=True))
+        texts: dict[str, int] = {}
+        for _, _, raw, y in rows:
+            t = raw.decode("utf-8", "replace")
+            texts[t] = max(texts.get(t, 0), y)
+        yield {"model": [pickle.dumps(fit(list(texts), list(texts.values())))]}
+
+    # the sample is one partition of bounded size; an executor learns from it and the driver gets the model alone
+    learnt = map_batches(sample.coalesce(1), learn, "model binary").first()
+    return pickle.loads(learnt.model) if learnt else fit([], [])
 
 
 def score_texts(raws: list[bytes], model: Model, tagger: Tagger) -> list[float]:

@@ -138,16 +138,19 @@ def test_toxicity_of_held_out_documents(spark):
     assert both >= 0.9 * sum(r.toxic for r in got) and both >= 0.9 * sum(r.predicted for r in got)
 
 
-def test_an_id_that_repeats_teaches_within_the_bound(spark, monkeypatch):
-    """Rows of one id are made distinct and bounded before they reach the driver."""
-    told = []
-    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic: told.append((texts, toxic)))
-    docs = spark.createDataFrame([(1, f"text {i % 40}") for i in range(200)] + [(2, "other"), (3, "x" * 60_000)], "doc_id long, text string")
-    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, toxic int")
-    toxicity.train(docs, labels)
-    assert sorted(told[0][0]) == sorted({f"text {i}" for i in range(40)} | {"other"}) and sum(told[0][1]) == 40
-    toxicity.train(docs, labels, toxic_docs=5, clean_docs=5)
-    assert len(told[1][0]) == 10
+def test_an_id_that_repeats_teaches_within_the_bound(spark):
+    """Rows of one id are made distinct and bounded; only the model reaches the driver."""
+    fine, bad = [f"good{i} words{i % 7} here" for i in range(60)], [f"vile{i % 3} rant{i} more" for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(fine)] * 3 + [(1000 + i, t) for i, t in enumerate(bad)] + [(2000, f"copy {i % 40}") for i in range(300)] + [(3, "x" * 60_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0) for i in range(60)] + [(1000 + i, 1) for i in range(60)] + [(2000, 0), (1, 0)], "doc_id long, toxic int")
+    kept = [*fine, *bad, *{f"copy {i}" for i in range(40)}]
+    same = toxicity.fit(*zip(*[(t, int(t.startswith("vile"))) for t in sorted(kept)], strict=True))
+    model = toxicity.train(docs, labels)
+    assert model.constant is None
+    both = [toxicity.score_texts([t.encode() for t in kept], m, toxicity.Tagger(m)) for m in (model, same)]
+    assert [s >= 0.5 for s in both[0]] == [s >= 0.5 for s in both[1]]
+    assert toxicity.train(docs, labels, toxic_docs=0).constant == 0.0
+    assert toxicity.train(docs, labels.where("false")).constant == 0.0
 
 
 def test_slots_name_pieces_of_words():
