@@ -78,6 +78,8 @@ SKETCH = 8
 _SIZES, FILL = 2 ** np.arange(33, dtype=np.int64), 3.0
 #: A key of more texts than this is cut into parts of so many at first, and into pairs of chunks for what stays apart.
 DENSE, PART = 8192, 2048
+#: Keys of more texts are compared by aggregation, not within a task.
+LARGE_KEY = 1 << 16
 _AT_ONCE = 1 << 16
 _PARITIES = [f"p{i}" for i in range(SKETCH)]
 
@@ -447,18 +449,50 @@ def set_keys(hashes: np.ndarray, similarity: float) -> np.ndarray:
     return keys_and_least(hashes, similarity)[0]
 
 
-def same_keys(keyed: DataFrame) -> DataFrame:
-    """(key, told) rows to (key, told, keys): keys that two texts or more have, keys of the same texts as one group, `keys` of them.
+def same_keys(key: np.ndarray, told: np.ndarray) -> np.ndarray:
+    """(group, told, keys) of keys that two texts or more have; keys of the same texts are one group, `keys` of them. key is sorted."""
+    same = key[1:] == key[:-1]
+    rows = np.stack([key, told.view(np.int64)], axis=1)[np.r_[False, same] | np.r_[same, False]]
+    if not len(rows):
+        return np.empty((0, 3), np.int64)
+    rows = np.unique(rows, axis=0)
+    starts = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
+    sizes = np.diff(np.r_[starts, len(rows)])
+    rows[:, 0] = np.repeat(np.add.reduceat(_mixed(rows[:, 1].view(np.uint64)), starts), sizes).view(np.int64)
+    rows, keys = np.unique(rows[np.repeat(sizes, sizes) > 1], axis=0, return_counts=True)
+    return np.c_[rows, keys]
 
-    Keys are counted and their sets of texts hashed by aggregation, so that no task holds a key's texts.
-    """
-    several = keyed.groupBy("key").agg(F.min("told").alias("low"), F.max("told").alias("high")).where("low <> high")
-    shared = store(keyed.join(several, "key", "left_semi").distinct(), "shared-keys")
+
+def same_large_keys(keyed: DataFrame) -> DataFrame:
+    """(key, told) rows to the rows of same_keys, for keys of any size: their texts are counted and hashed by aggregation, so that no task holds them."""
+    shared = store(keyed.distinct(), "large-keys")
     sets = shared.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("told")).alias("one"), F.bit_xor(F.xxhash64("told", F.lit(1))).alias("two"))
-    groups = sets.groupBy("n", "one", "two").agg(F.min("key").alias("key"), F.count("*").alias("keys"))
+    groups = sets.where("n > 1").groupBy("n", "one", "two").agg(F.min("key").alias("key"), F.count("*").alias("keys"))
     return shared.join(groups.select("key", "keys"), "key")
 
 
+def shared_keys(texts: DataFrame, similarity: float, words: int, large: int = LARGE_KEY, one_in: int = 64) -> DataFrame:
+    """(key, told, keys): texts under every group of keys that the same texts have.
+
+    Keys of more than about `large` texts are found from one text in `one_in` and go
+    the way of same_large_keys; the others meet in one shuffle by key. A large key that the sample
+    misses is only a larger group.
+    """
+    keyed = texts.select("told", "t").mapInArrow(_keys_of(similarity, words), "key long, told long")
+    sampled = texts.select("told", "t").where(F.pmod(F.xxhash64("told"), F.lit(one_in)) == 0).distinct()
+    of_sample = sampled.mapInArrow(_keys_of(similarity, words), "key long, told long")
+    often = store(of_sample.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * one_in > large // 2).select("key"), "often")
+    rare = often.isEmpty()
+    zero = F.lit(0).cast("long")
+    few = keyed if rare else keyed.join(often, "key", "left_anti")
+    dealt = few.repartition("key").sortWithinPartitions("key").select("key", zero.alias("unit"), zero.alias("code"), "told")
+    groups = dealt.mapInArrow(_in_groups(lambda group, c: same_keys(group, *c), ["key", "told", "keys"]), "key long, told long, keys long")
+    if not rare:
+        groups = groups.unionByName(same_large_keys(keyed.join(often, "key", "left_semi")))
+    # a group of the same texts may come from several batches and tasks
+    return store(groups.groupBy("key", "told").agg(F.sum("keys").alias("keys")), "same-keys")
+
+
 def parities(hashes: np.ndarray) -> np.ndarray:
     """SKETCH words of bits; a bit is the parity of the hashes that fall on it, so sets differ in as many hashes as bits, or more."""
     bits = np.bincount(hashes % np.uint32(64 * SKETCH), minlength=64 * SKETCH) & 1
@@ -540,8 +574,7 @@ def similar_roots(members: DataFrame, texts: DataFrame, similarity: float, words
     Each is first verified against its `nearest` of other classes under every key; of classes that
     stay apart, every other pair that shares as many keys as it must follows.
     """
-    keyed = texts.select("told", "t").mapInArrow(_keys_of(similarity, words), "key long, told long")
-    groups = same_keys(store(keyed, "set-keys"))
+    groups = shared_keys(texts, similarity, words)
     groups = store(groups.join(members.drop("first"), "told"), "similar-groups")
     places = members.select(F.col("first.doc_id").alias("doc_id"), "told")
 

@@ -330,7 +330,7 @@ def test_parities_rule_out_no_similar_pair():
 
 def test_keys_of_the_same_texts_are_one_group(spark):
     rows = [(k, t) for k in (1, 2, 3) for t in range(2000)] + [(4, t) for t in range(1999)] + [(5, 7), (5, 7), (6, 1), (6, 2), (6, 2)]
-    got = simhash.same_keys(spark.createDataFrame(rows, "key long, told long").repartition(7)).collect()
+    got = simhash.same_large_keys(spark.createDataFrame(rows, "key long, told long").repartition(7)).collect()
     sets, want = {}, {}
     for k, t in set(rows):
         sets.setdefault(k, set()).add(t)
@@ -341,7 +341,7 @@ def test_keys_of_the_same_texts_are_one_group(spark):
     for r in got:
         found.setdefault(r.key, []).append((r.told, r["keys"]))
     assert {frozenset(t for t, _ in v): v[0][1] for v in found.values()} == want and sum(map(len, found.values())) == sum(map(len, want))
-    assert simhash.same_keys(spark.createDataFrame([], "key long, told long")).count() == 0
+    assert simhash.same_large_keys(spark.createDataFrame([], "key long, told long")).count() == 0
 
 
 def test_a_group_over_many_batches_is_held_whole():
@@ -356,3 +356,18 @@ def test_a_group_over_many_batches_is_held_whole():
         for g, v in zip(b["g"], b["v"], strict=True):
             runs.setdefault((n, g), []).append(v)
     assert list(runs.values()) == [[5, 5, 5, 6, 7], [8, 9], [1]]
+
+
+def test_large_keys_give_the_groups_of_small_ones(spark):
+    """The two ways of grouping keys agree, whatever the threshold."""
+    base = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen".split()
+    rows = [(i, " ".join([*base, f"x{i}"])) for i in range(60)] + [(100 + i, " ".join(f"y{i}z{j}" for j in range(30))) for i in range(20)]
+    texts = spark.createDataFrame(rows, "doc_id long, t string").select("doc_id", F.xxhash64("t").alias("told"), F.col("t").cast("binary").alias("t"))
+
+    def sets(large, one_in):
+        found = {}
+        for r in simhash.shared_keys(texts, 0.8, 5, large, one_in).collect():
+            found.setdefault(r.key, []).append((r.told, r["keys"]))
+        return sorted((sorted(t for t, _ in v), v[0][1]) for v in found.values())
+
+    assert sets(1 << 16, 64) == sets(4, 1) == sets(40, 2) != []
