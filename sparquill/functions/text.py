@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -119,11 +120,31 @@ def sentences(col: ColumnLike) -> Column:
     return F.filter(F.split(plain, "(?<=[.!?。！？]) "), lambda s: s != "")
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def first_of_each(items: Column, key: Callable[[Column], Column]) -> Column:
+    """Of the array's items with the same key the first, in order.
+
+    Items are sorted by key and place and compared with their neighbours, so the cost
+    grows as n log n; a list of keys searched for each item would grow as the square.
+    """
+
+    def firsts(placed: Column) -> Column:
+        shifted = F.concat(F.array(F.lit(None).cast("string")), F.transform(placed, lambda x: x["k"]))
+        marked = F.zip_with(placed, F.slice(shifted, 1, F.size(placed)), lambda x, before: F.when(before.isNull() | (before != x["k"]), F.struct(x["i"].alias("i"), x["e"].alias("e"))))
+        return F.transform(F.array_sort(F.filter(marked, lambda x: x.isNotNull())), lambda x: x["e"])
+
+    placed = lambda v: F.array_sort(F.transform(v, lambda e, i: F.struct(key(e).alias("k"), i.alias("i"), e.alias("e"))))
+    return _bound(items, lambda v: F.when(F.size(v) < 2, v).otherwise(_bound(placed(v), firsts)))
+
+
 def matching_sentences(col: ColumnLike, pattern: str, most: int, longest: int = 500) -> Column:
     """The first `most` sentences that match, cut to `longest` characters, of those that differ in case alone the first."""
     hits = F.transform(F.filter(sentences(col), lambda s: s.rlike(pattern)), lambda s: F.trim(F.substring(s, 1, longest)))
-    low = F.transform(hits, lambda s: F.lower(s))
-    return F.slice(F.filter(hits, lambda s, i: F.array_position(low, F.lower(s)) == i + 1), 1, most)
+    return F.slice(first_of_each(hits, F.lower), 1, most)
 
 
 # Patterns of sentences that measure something or limit a claim.
@@ -240,9 +261,7 @@ def citations(col: ColumnLike) -> Column:
     told = F.transform(F.regexp_extract_all(t, F.lit(NARRATIVE), F.lit(0)), lambda m: entry(m, NARRATIVE, False))
     bodies = F.regexp_extract_all(t, F.lit(PARENTHETICAL), F.lit(1))
     inside = F.transform(F.flatten(F.transform(bodies, lambda b: F.regexp_extract_all(b, F.lit(SINGLE), F.lit(0)))), lambda m: entry(m, SINGLE, True))
-    every = F.concat(told, inside)
-    keys = F.transform(every, lambda e: F.concat_ws("\u0001", F.lower(e["author"]), e["year"]))
-    return F.filter(every, lambda e, i: F.array_position(keys, F.element_at(keys, i + 1)) == i + 1)
+    return first_of_each(F.concat(told, inside), lambda e: F.concat_ws("\u0001", F.lower(e["author"]), e["year"]))
 
 
 def surname(col: ColumnLike) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparquill.functions import text as X
+from sparquill.session import stored
 
 # The order in which a name is tried.
 LOOKUP_ORDER = ("id", "dir_name", "doi", "pmid", "publication_number")
@@ -82,15 +85,94 @@ def unique_identifiers(records: DataFrame, keys: tuple[str, ...] = ("pmid", "pub
     return records
 
 
-def upsert_registry(registry: DataFrame, incoming: DataFrame, pos: str = "pos", keys: tuple[str, ...] = ("pmid", "publication_number")) -> DataFrame:
-    """The registry with incoming rows (its columns and their place): of an id the last row holds, whole.
+def _grants(events: DataFrame) -> DataFrame:
+    """Replay each key's events in order: (kind, value, seq, of, granted) of those that want it.
 
-    A key that another id has had for longer is left blank: rows of the registry come
-    before incoming ones, and those in their order. incoming has no null place.
+    events: (kind, value, seq, of, wants, done), `of` the row's id as text. A key is granted
+    if nobody or the same id holds it; a row that is done takes it, and a row that is done
+    and doesn't want it any more gives it up. Keys are dealt and sorted; a task keeps one holder
+    at a time, however many events a key has.
     """
-    every = registry.withColumn(pos, F.lit(None).cast("long")).unionByName(incoming.withColumn(pos, F.col(pos).cast("long")))
-    last = first_by(every, ["id"], [F.desc_nulls_last(pos)])
-    return unique_identifiers(last, keys, (pos, "id")).drop(pos)
+    names = ["kind", "value", "seq", "of", "wants", "done"]
+
+    def replay(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, holder = None, None
+        for part in parts:
+            rows: list[tuple] = []
+            for kind, value, seq, of, wants, done in part[names].itertuples(index=False, name=None):
+                if (kind, value) != now:
+                    now, holder = (kind, value), None
+                if wants:
+                    granted = holder is None or holder == of
+                    rows.append((kind, value, seq, of, granted))
+                    if granted and done:
+                        holder = of
+                elif holder == of:
+                    holder = None
+            yield pd.DataFrame(rows, columns=["kind", "value", "seq", "of", "granted"])
+
+    dealt = events.select(*names).repartition("kind", "value").sortWithinPartitions("kind", "value", "seq", "of")
+    return dealt.mapInPandas(replay, "kind string, value string, seq long, of string, granted boolean")
+
+
+def _key(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def _events(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """What rows (of, seq, done, keys) want, and what a done row gives up of its id's done row before; of keys that two ids or more want."""
+    before = Window.partitionBy("of").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    found = []
+    for key in keys:
+        had = rows.select("of", "seq", "done", _key(key).alias("value"), F.last(F.when(F.col("done"), _key(key)), ignorenulls=True).over(before).alias("had"))
+        found.append(had.where("value <> ''").select(F.lit(key).alias("kind"), "value", "seq", "of", F.lit(True).alias("wants"), "done"))
+        found.append(had.where("done and had <> '' and had <> value").select(F.lit(key).alias("kind"), F.col("had").alias("value"), "seq", "of", F.lit(False).alias("wants"), "done"))
+    every = reduce(lambda a, b: a.unionByName(b), found)
+    contested = every.groupBy("kind", "value").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low <> high")
+    return every.join(contested, ["kind", "value"], "left_semi")
+
+
+def _skipped(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(of, seq) of rows that meet a key another id holds.
+
+    Whether a row is done depends on earlier rows only. So all keys are replayed at once from
+    the last round's outcome, until nothing changes: each round settles the next link of any chain.
+    """
+    none = stored(rows.where("not done").select("of", "seq"), "upsert-skipped")
+    if not keys:
+        return none
+    touched = stored(rows.join(_events(rows, keys).select("of").distinct(), "of", "left_semi"), "upsert-touched")
+    while True:
+        now = touched.drop("done").join(none.withColumn("done", F.lit(False)), ["of", "seq"], "left").withColumn("done", F.col("done").isNull())
+        refused = _grants(_events(now, keys)).where("not granted").select("of", "seq")
+        then = stored(refused.unionByName(rows.where("not done").select("of", "seq")).distinct(), "upsert-skipped")
+        if then.exceptAll(none).isEmpty() and none.exceptAll(then).isEmpty():
+            return then
+        none = then
+
+
+def upsert_registry(registry: DataFrame, incoming: DataFrame, pos: str = "pos", keys: tuple[str, ...] = ("pmid", "publication_number"), hard: tuple[str, ...] = ("dir_name", "doi")) -> DataFrame:
+    """The registry after incoming rows (its columns and their place) are upserted by id, one by one in order.
+
+    A row whose key in `keys` another id holds at that moment is stored without that key; one
+    whose key in `hard` another id holds is skipped, as is one without dir_name. A stored row
+    gives up what its id held before. Rows of the registry come first; ties of place go by id;
+    of rows with the same id and place one counts. Keys the registry lacks are passed over;
+    null and empty are no key, null ids are dropped. incoming has no null place.
+    """
+    keys, hard = (tuple(k for k in names if k in registry.columns) for names in (keys, hard))
+    every = registry.withColumn("seq", F.lit(-(1 << 63)).cast("long")).unionByName(incoming.withColumn("seq", F.col(pos).cast("long")).drop(*({pos} - set(registry.columns))))
+    every = every.where("id is not null").withColumn("of", F.col("id").cast("string"))
+    rows = stored(first_by(every, ["of", "seq"], [F.col(c).cast("string") for c in registry.columns]), "upsert-rows")
+    done = F.col("dir_name").isNotNull() if "dir_name" in hard else F.lit(True)
+    skipped = _skipped(rows.select("of", "seq", *dict.fromkeys((*hard, *keys)), done.alias("done")), hard)
+    rows = rows.join(skipped.withColumn("done", F.lit(False)), ["of", "seq"], "left").withColumn("done", F.col("done").isNull())
+    last = first_by(rows.where("done"), ["of"], [F.desc("seq")])
+    granted = _grants(_events(rows, keys)) if keys else None
+    for key in keys:
+        no = granted.where((F.col("kind") == key) & ~F.col("granted")).select("seq", "of", F.lit(True).alias("no"))
+        last = last.join(no, ["seq", "of"], "left").withColumn(key, F.when(F.col("no").isNull(), F.coalesce(F.col(key), F.lit(""))).otherwise("")).drop("no")
+    return last.select(*registry.columns)
 
 
 def listing(registry: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +16,7 @@ from sparquill.operators import reports as R
 from sparquill.operators import workspace as W
 from sparquill.plans.corpus_queries import _audited, _records
 from sparquill.plans.registry import query
-from sparquill.session import table
+from sparquill.session import shared_dir, table
 from sparquill.sources import library as L
 
 
@@ -197,10 +196,26 @@ def insights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH every AS (SELECT c_custkey AS id, c_name AS title, 'P' || c_custkey AS pmid, CAST(NULL AS BIGINT) AS pos FROM customer
-                   UNION ALL SELECT o_custkey, o_orderstatus, o_orderpriority, o_orderkey FROM orders),
-    l AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos DESC NULLS LAST) = 1)
-    SELECT id, title, CASE WHEN row_number() OVER (PARTITION BY pmid ORDER BY pos NULLS FIRST, id) = 1 THEN pmid ELSE '' END AS pmid FROM l
+    WITH RECURSIVE e AS (
+        SELECT c_custkey AS id, c_name AS title, 'P' || c_custkey AS pmid, -1 AS pos FROM customer UNION ALL SELECT o_custkey, o_orderstatus, o_orderpriority, o_orderkey FROM orders
+    ), runs AS (
+        SELECT *, sum(starts) OVER (PARTITION BY id ORDER BY pos) AS run
+        FROM (SELECT *, CASE WHEN lag(pmid) OVER (PARTITION BY id ORDER BY pos) = pmid THEN 0 ELSE 1 END AS starts FROM e)
+    ), ends AS (
+        SELECT id, run, lead(min(pos)) OVER (PARTITION BY id ORDER BY run) AS until FROM runs GROUP BY id, run
+    ), tries AS (
+        SELECT r.id, r.pmid, r.pos, n.until FROM runs r JOIN ends n ON r.id = n.id AND r.run = n.run
+    ), held AS (
+        SELECT pmid, arg_min(id, pos) AS id, arg_min(until, pos) AS until, min(pos) AS pos FROM (SELECT pmid, id, coalesce(until, 9223372036854775807) AS until, pos FROM tries) GROUP BY pmid
+        UNION ALL
+        SELECT h.pmid, t.id, coalesce(t.until, 9223372036854775807), t.pos
+        FROM held h JOIN tries t ON t.pmid = h.pmid AND t.pos > h.until
+        QUALIFY row_number() OVER (PARTITION BY h.pmid ORDER BY t.pos) = 1
+    ), l AS (
+        SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos DESC) = 1
+    )
+    SELECT l.id, l.title, CASE WHEN h.id IS NULL THEN '' ELSE l.pmid END AS pmid
+    FROM l LEFT JOIN held h ON h.pmid = l.pmid AND h.id = l.id AND h.until = 9223372036854775807
 """)
 def registry_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as a registry; each order rewrites its customer's record."""
@@ -237,11 +252,6 @@ def events_stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "false").parquet(f"{sf_dir}/events.parquet*")
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("a stream on a cluster needs spark.checkpoint.dir, a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="sparquill-streams-")
     name = f"daily_{uuid.uuid4().hex}"
-    found = S.run_to_table(S.windowed_counts(stream, "1 day"), name, f"{base}/{name}", "complete")
+    found = S.run_to_table(S.windowed_counts(stream, "1 day"), name, f"{shared_dir(spark)}/{name}", "complete")
     return found.select(F.col("started").cast("timestamp_ntz").alias("started"), "event_type", "n")
