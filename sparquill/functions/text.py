@@ -120,7 +120,7 @@ def sentences(col: ColumnLike) -> Column:
     return F.filter(F.split(plain, "(?<=[.!?。！？]) "), lambda s: s != "")
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with the value computed once, however often it is used."""
     return F.element_at(F.transform(F.array(value), use), 1)
 
@@ -138,7 +138,7 @@ def first_of_each(items: Column, key: Callable[[Column], Column]) -> Column:
         return F.transform(F.array_sort(F.filter(marked, lambda x: x.isNotNull())), lambda x: x["e"])
 
     placed = lambda v: F.array_sort(F.transform(v, lambda e, i: F.struct(key(e).alias("k"), i.alias("i"), e.alias("e"))))
-    return _bound(items, lambda v: F.when(F.size(v) < 2, v).otherwise(_bound(placed(v), firsts)))
+    return bound(items, lambda v: F.when(F.size(v) < 2, v).otherwise(bound(placed(v), firsts)))
 
 
 def matching_sentences(col: ColumnLike, pattern: str, most: int, longest: int = 500) -> Column:

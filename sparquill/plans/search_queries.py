@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparquill.functions import text as X
+from sparquill.operators import inverted
 from sparquill.operators import nodes as N
 from sparquill.operators import search as S
 from sparquill.plans.registry import query
-from sparquill.session import table
+from sparquill.session import shared_dir, table
 
 QUERY = "the tion and heit queche"
 TERMS = S.query_tokens(QUERY)
@@ -98,6 +101,16 @@ def bm25_from_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.orderBy(F.desc("score"), "node_id").limit(20).select(F.col("node_id").alias("paper_id"), F.round("score", 6).alias("score"))
 
 
+@query(_bm25_sql(TERMS))
+def stored_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index kept in two batches, English documents and then all, and searched by its postings alone."""
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    d = document_nodes(spark, sf_dir)
+    inverted.update(d.where("lang = 'en'"), path, 0)
+    inverted.update(d, path, 1)
+    return inverted.search(spark, path, TERMS, 20).select(F.col("node_id").alias("paper_id"), F.round("score", 6).alias("score"))
+
+
 @query("""
     SELECT doc_id AS paper_id, CAST(-999.0 AS DOUBLE) AS score FROM documents
     WHERE contains(lower(text), 'licensed under') ORDER BY doc_id LIMIT 20

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparquill.session import stored
+
 
 def _files(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -18,14 +20,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def replace(df: DataFrame, path: str) -> None:
+def replace(df: DataFrame, path: str, folders: list[str] | None = None) -> None:
     """Write beside the target, then swap directories: readers see the old table or the new one."""
     spark = df.sparkSession
     fs, target = _files(spark, path)
     tag = uuid.uuid4().hex[:8]
     _, staged = _files(spark, f"{path}.new-{tag}")
     _, old = _files(spark, f"{path}.old-{tag}")
-    df.write.parquet(staged.toString())
+    df.write.partitionBy(*folders or []).parquet(staged.toString())
     had = fs.exists(target)
     if had:
         fs.rename(target, old)
@@ -54,6 +56,61 @@ def upsert(incoming: DataFrame, stored: DataFrame, key: str = "paper_id", digest
     return rest.unionByName(new.select(*stored.columns))
 
 
+BUCKETS = 64
+
+
+def bucket_of(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
+
+
+def read_buckets(spark: SparkSession, path: str, buckets: int = BUCKETS) -> DataFrame:
+    """The table of upsert_buckets, its bucket as bucket_<buckets>; ValueError if it was written with another number."""
+    found = spark.read.parquet(path)
+    if f"bucket_{buckets}" not in found.columns:
+        raise ValueError(f"{path} has other buckets than {buckets}")
+    return found
+
+
+def upsert_buckets(incoming: DataFrame, path: str, key: str = "paper_id", digest: str = "content_hash", batch: int = 0, buckets: int = BUCKETS, gone: DataFrame | None = None) -> int:
+    """Upsert rows into a table in folders by hash of the key; only folders with changed rows are read whole and written. Gives how many.
+
+    Rows whose digest is stored are skipped, so that a batch that comes again writes nothing;
+    rows that are written carry the batch's number. gone (key) names rows to take out. Null
+    keys are dropped, of a repeated key the row with the least digest counts. The number of buckets
+    belongs to the table: choose it so that a bucket fits a few tasks.
+    """
+    spark, name = incoming.sparkSession, f"bucket_{buckets}"
+    first = Window.partitionBy(key).orderBy(digest)
+    rows = incoming.where(F.col(key).isNotNull()).withColumn("__rn", F.row_number().over(first)).where("__rn = 1").drop("__rn")
+    rows = rows.withColumns({"batch": F.lit(batch).cast("long"), name: bucket_of(key, buckets)})
+    if not exists(spark, path):
+        rows.repartition(name).write.partitionBy(name).parquet(path)
+        return buckets
+    table = read_buckets(spark, path, buckets)
+    # at most `buckets` numbers each
+    numbers = lambda df: sorted(r[0] for r in df.select(name).distinct().collect())
+    rows = stored(rows, "upsert-batch")
+    out = stored(gone.select(F.col(key)).distinct().withColumn(name, bucket_of(key, buckets)), "upsert-gone") if gone is not None else None
+    near = table.where(F.col(name).isin(numbers(rows)))
+    new = stored(changed(rows, near, key, digest), "upsert-new")
+    touched = set(numbers(new))
+    if out is not None:
+        old = table.where(F.col(name).isin(numbers(out))).select(key, name)
+        touched |= set(numbers(old.join(out.select(key), key, "left_semi")))
+    if not touched:
+        return 0
+    rest = table.where(F.col(name).isin(sorted(touched))).join(new.select(key), key, "left_anti")
+    if out is not None:
+        rest = rest.join(out.select(key), key, "left_anti")
+    merged = stored(rest.unionByName(new.select(*table.columns)), "upsert-merged")
+    empty = touched - set(numbers(merged))
+    merged.repartition(name).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(name).parquet(path)
+    for b in empty:  # a folder that lost its last row isn't in what was written
+        fs, place = _files(spark, f"{path}/{name}={b}")
+        fs.delete(place, True)
+    return len(touched)
+
+
 def append_new(incoming: DataFrame, path: str, keys: list[str]) -> None:
     """Append rows whose key the table doesn't have; repeated keys within the batch go too."""
     spark = incoming.sparkSession

@@ -10,19 +10,25 @@ from sparquill.functions import text as X
 from sparquill.sources import sinks
 
 
-def index_stream(source: DataFrame, table: str, checkpoint: str, key: str = "paper_id") -> StreamingQuery:
-    """Upsert a stream of records (key, content) into a table: unchanged digests are skipped; runs until the input ends.
+def index_stream(source: DataFrame, table: str, checkpoint: str, key: str = "paper_id", buckets: int = sinks.BUCKETS) -> StreamingQuery:
+    """Upsert a stream of records (key, content) into a table in buckets: unchanged digests are skipped; runs until the input ends.
 
-    A batch that is replayed changes nothing, as its digests are already there.
+    A batch rewrites only the buckets it changes; one that is replayed changes nothing, as its
+    digests are already there.
     """
 
-    def apply(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        digested = batch.withColumn("content_hash", X.short_hash("content")).dropDuplicates([key])
-        if sinks.exists(spark, table):
-            sinks.replace(sinks.upsert(digested, spark.read.parquet(table), key), table)
-        else:
-            sinks.replace(digested, table)
+    def apply(batch: DataFrame, number: int) -> None:
+        sinks.upsert_buckets(batch.withColumn("content_hash", X.short_hash("content")), table, key, batch=number, buckets=buckets)
+
+    return source.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def search_stream(source: DataFrame, index: str, checkpoint: str) -> StreamingQuery:
+    """Keep a stored inverted index (operators.inverted) up with a stream of nodes (node_id, content)."""
+    from sparquill.operators import inverted
+
+    def apply(batch: DataFrame, number: int) -> None:
+        inverted.update(batch, index, number)
 
     return source.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
