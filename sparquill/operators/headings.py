@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,3 +112,70 @@ def captions(docs: DataFrame, key: str, text: str, more: int = 4, most: int = 8)
     found = all_lines.withColumn("caption", caption).where(F.trim("s").rlike("^(?i:fig(?:ure)?\\.?|table)\\s*\\d|^[图表]\\s*\\d"))
     n = F.row_number().over(Window.partitionBy(key).orderBy("line"))
     return found.withColumn("__n", n).where(F.col("__n") <= most).select(key, "line", "caption")
+
+
+# --- where headings stand in a text
+
+#: Candidates of one document that are looked for at once; more are dealt to several passes over it.
+AT_ONCE = 2000
+#: A line of fewer characters, or of less than half of a candidate, is only taken where they are equal.
+SHORTEST = 8
+
+
+def folded_heading(text: str) -> str:
+    """Case folded, each run of anything but letters, digits and underscores one blank."""
+    return re.sub(r"\s+", " ", re.sub(r"[^\w\u4e00-\u9fff]+", " ", text.casefold().replace("．", "."))).strip()
+
+
+def _automaton(words: dict[str, int]):
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for w, value in words.items():
+        found.add_word(w, (w, value))
+    found.make_automaton()
+    return found
+
+
+def places(candidates: list[str], text: str) -> list[int | None]:
+    """The line, from 1, of each candidate: the first that equals it, else the first that holds it or that it holds.
+
+    One pass over the text finds the candidates in lines, one over the candidates finds lines in them.
+    """
+    folded = [folded_heading(c) for c in candidates]
+    asked = {c: 0 for c in folded if c}
+    first: dict[str, int] = {}
+    for n, line in enumerate(text.split("\n"), 1):
+        first.setdefault(folded_heading(line), n)
+    near: dict[str, int] = {}
+    long = {line: n for line, n in first.items() if len(line) >= SHORTEST}
+    if asked and long:
+        within = _automaton(asked)
+        for line, n in long.items():
+            for _, (c, _) in within.iter(line):
+                near[c] = min(near.get(c, n), n)
+        around = _automaton(long)
+        for c in asked:
+            for _, (line, n) in around.iter(c):
+                if len(line) >= len(c) // 2:
+                    near[c] = min(near.get(c, n), n)
+    return [first.get(c, near.get(c)) if c else None for c in folded]
+
+
+def locate(docs: DataFrame, candidates: DataFrame, key: str = "doc_id", text: str = "text", candidate: str = "candidate") -> DataFrame:
+    """candidates (key, candidate), distinct, that stand in their document's text: (key, candidate, line).
+
+    A document's candidates meet its text once, by key; where there are more than AT_ONCE they are
+    dealt to as many rows. Documents without text or candidates, and null keys, give nothing.
+    """
+    asked = candidates.select(key, F.col(candidate).alias("candidate")).where(F.col("candidate").isNotNull()).distinct()
+    parts = asked.groupBy(key).agg(F.ceil(F.count("*") / F.lit(float(AT_ONCE))).alias("parts"))
+    dealt = asked.join(parts, key).withColumn("part", F.pmod(F.xxhash64("candidate"), F.col("parts")))
+    met = docs.where(F.col(text).isNotNull()).select(key, F.col(text).alias("text")).join(dealt.groupBy(key, "part").agg(F.collect_list("candidate").alias("asked")), key)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(k, c, n) for k, t, asked in zip(b[key], b["text"], b["asked"], strict=True) for c, n in zip(asked, places(list(asked), t), strict=True) if n is not None]
+            yield pd.DataFrame(rows, columns=[key, "candidate", "line"])
+
+    return met.select(key, "text", "asked").mapInPandas(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, candidate string, line int")

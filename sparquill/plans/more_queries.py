@@ -11,6 +11,7 @@ from sparquill.functions import text as X
 from sparquill.operators import audit as A
 from sparquill.operators import cards as C
 from sparquill.operators import extraction as E
+from sparquill.operators import headings as H
 from sparquill.operators import identity as I
 from sparquill.operators import reports as R
 from sparquill.operators import workspace as W
@@ -170,17 +171,36 @@ def run_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", X.run_name("url").alias("run_name"))
 
 
-@query("SELECT doc_id, (doc_id % 3 <> 2) AS alike FROM documents")
+@query("""
+    WITH t AS (SELECT conv_id, turn, lower(trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g'))) AS x FROM conversations),
+    w AS (SELECT *, list_distinct(string_split(x, ' ')) AS w FROM t)
+    SELECT a.conv_id, a.turn, (a.x <> '' AND b.x <> '' AND (contains(a.x, b.x) OR contains(b.x, a.x) OR len(list_intersect(a.w, b.w)) / greatest(len(a.w), len(b.w), 1) > 0.1)) AS alike
+    FROM w a JOIN w b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
+""")
 def title_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("doc_id")
-    a, b = F.lit("One two three four five six"), F.when(k % 3 == 0, " one  TWO three four five six ").when(k % 3 == 1, "three four five").otherwise("one two three nine eight ten")
-    return table(spark, sf_dir, "documents").select("doc_id", X.similar_titles(a, b).alias("alike"))
+    """Each turn against the next one, whole texts."""
+    c = table(spark, sf_dir, "conversations")
+    after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
+    return c.select("conv_id", "turn", "text").join(after, ["conv_id", "turn"]).select("conv_id", "turn", X.similar_titles("text", "next", 0.1).alias("alike"))
 
 
-@query("SELECT doc_id, 'b i c l' AS plain, 'text ' || lang AS no_images FROM documents")
+@query("""
+    SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
+               '!?\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '\\*\\*\\*([^*]+)\\*\\*\\*', '\\1', 'g'), '\\*\\*([^*]+)\\*\\*', '\\1', 'g'), '\\*([^*]+)\\*', '\\1', 'g'), '__([^_]+)__', '\\1', 'g'), '`([^`]+)`', '\\1', 'g')) AS plain,
+           md5(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '!\\[[^\\]]*\\]\\([^)]*\\)', '', 'g'), '(?i)<img\\b[^>]*>', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')) AS no_images
+    FROM pages
+""")
 def markdown_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", X.strip_inline(F.lit("**b** *i* `c` [l](u)")).alias("plain"), X.strip_images(F.concat(F.lit("text ![a](b)"), "lang", F.lit("<img src='x'>"))).alias("no_images"))
+    """Digests of whole pages without inline marks, and without images."""
+    digest = lambda c: F.md5(c.cast("binary"))
+    return table(spark, sf_dir, "pages").select("page_id", digest(X.strip_inline("html")).alias("plain"), digest(X.strip_images("html")).alias("no_images"))
+
+
+@query()
+def heading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a page's title and headings stand among the lines that its tags part it into."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("html", "<[^>]*>", "\n").alias("text"), F.regexp_extract_all("html", F.lit("(?i)<(?:title|h[1-6])[^>]*>([^<]+)</"), F.lit(1)).alias("c"))
+    return H.locate(p, p.select("page_id", F.explode("c").alias("candidate")), "page_id")
 
 
 @query("""

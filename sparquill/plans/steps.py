@@ -12,6 +12,14 @@ Step = Callable[[DataFrame], DataFrame]
 SCOPES = ("inbox", "papers", "global")
 
 
+class StepFailed(RuntimeError):
+    """A step failed; log holds what ran, the failed step last."""
+
+    def __init__(self, log: list[dict]):
+        super().__init__(f"{log[-1]['step']} {log[-1]['status']}")
+        self.log = log
+
+
 @dataclass
 class Registry:
     """Named steps in scopes; scopes run in the order inbox, papers, global."""
@@ -44,10 +52,11 @@ class Registry:
             df = df.transform(self.steps[n][1])
         return df
 
-    def run_timed(self, df: DataFrame, names: str | list[str], store: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, list[dict]]:
+    def run_timed(self, df: DataFrame, names: str | list[str], store: Callable[[DataFrame, str], DataFrame], keep_going: bool = False) -> tuple[DataFrame, list[dict]]:
         """Each step written by `store` before the next; gives the last table and (step, status, seconds) of each.
 
-        A step that fails is recorded and passes its input on.
+        A step that fails is recorded and ends the run with StepFailed, which has the log; with
+        keep_going it passes its input on.
         """
         log = []
         for n in self.plan(names):
@@ -57,6 +66,8 @@ class Registry:
             except Exception as e:  # noqa: BLE001  recorded, with its message
                 status = f"failed: {type(e).__name__}: {str(e)[:200]}"
             log.append({"step": n, "status": status, "seconds": time.perf_counter() - began})
+            if status != "ok" and not keep_going:
+                raise StepFailed(log)
         return df, log
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparquill.operators import cards, extraction as E
-from sparquill.plans.steps import Registry
+from sparquill.plans.steps import Registry, StepFailed
 from sparquill.sources import connectors
 
 
@@ -112,8 +112,11 @@ def test_steps(spark):
     r.add("bad", "papers", lambda df: df.select("nothing"))
     r.preset("all", ["index", "clean"])
     assert r.plan("all") == ["clean", "index"] and r.run(spark.range(3), "all").collect() == [(1, 1), (2, 1)]
-    df, log = r.run_timed(spark.range(3), ["clean", "bad", "index"], lambda d, n: d.cache())
+    df, log = r.run_timed(spark.range(3), ["clean", "bad", "index"], lambda d, n: d.cache(), keep_going=True)
     assert [x["status"].split(":")[0] for x in log] == ["ok", "failed", "ok"] and df.count() == 2
+    with pytest.raises(StepFailed) as failed:
+        r.run_timed(spark.range(3), ["clean", "bad", "index"], lambda d, n: d.cache())
+    assert [x["step"] for x in failed.value.log] == ["clean", "bad"]
     for wrong in (lambda: r.add("x", "nowhere", None), lambda: r.preset("p", ["none"]), lambda: r.plan(["none"])):
         with pytest.raises(ValueError):
             wrong()
