@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
 from typing import Any
 
 import pyarrow as pa
@@ -15,26 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from sparquill.session import shared_dir
+
 Batch = dict[str, list]
 
 #: Rows that Python holds at once; Spark bounds the bytes of the batch they are cut from.
 ROWS_AT_ONCE = 512
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary one where that is unset, in local mode only."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir is unset: on a cluster it must name a folder that all executors share")
-    return _own_dir(spark.sparkContext.applicationId)
-
-
-@lru_cache(maxsize=8)
-def _own_dir(_application: str) -> str:
-    return "file://" + tempfile.mkdtemp(prefix="sparquill-")
-
-
 def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
