@@ -44,7 +44,10 @@ def pages(fetch: Callable[[str], dict], limit: int | None = None, **retry) -> It
 
 
 class PagedWorks(DataSource):
-    """Saved pages, a file each, named page-<n>.json; one partition per file."""
+    """Saved pages, a file each, named page-<n>.json; one partition per file.
+
+    Option limit: at most so many works in all, in order of the files' names.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -62,11 +65,27 @@ class _SavedPages(DataSourceReader):
         self.folder, self.limit = options.get("path", ""), int(options.get("limit", "0"))
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(str(p)) for p in sorted(Path(self.folder).glob("page-*.json"))]
+        files = [str(p) for p in sorted(Path(self.folder).glob("page-*.json"))]
+        if not self.limit:
+            return [InputPartition((f, None)) for f in files]
+        # pages are counted until the limit is met, so that it holds for all of them together
+        found, left = [], self.limit
+        for f in files:
+            take = min(left, len(_results(f)))
+            if take:
+                found.append(InputPartition((f, take)))
+            left -= take
+            if not left:
+                break
+        return found
 
     def read(self, partition: InputPartition):
-        with open(partition.value, encoding="utf-8") as f:
-            page = json.load(f)
-        for work in page.get("results", [])[: self.limit or None]:
+        path, most = partition.value
+        for work in _results(path)[:most]:
             inverted = work.get("abstract_inverted_index")
             yield work.get("id"), work.get("doi"), work.get("title"), work.get("publication_year"), work.get("cited_by_count"), json.dumps(inverted) if inverted else None
+
+
+def _results(path: str) -> list[dict]:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f).get("results", [])

@@ -129,6 +129,9 @@ def test_paged_sources(spark, tmp_path):
     spark.dataSource.register(connectors.PagedWorks)
     df = spark.read.format("paged_works").option("path", str(tmp_path)).load()
     assert sorted(r.id for r in df.collect()) == [f"W{i}" for i in range(6)]
+    for most, given in ((1, 1), (3, 3), (4, 4), (50, 6)):
+        some = spark.read.format("paged_works").options(path=str(tmp_path), limit=most).load()
+        assert sorted(r.id for r in some.collect()) == [f"W{i}" for i in range(given)]
     fails = iter([True, True, False, False, False])
 
     def fetch(cursor):
