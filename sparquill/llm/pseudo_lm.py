@@ -7,13 +7,13 @@ the conditional log-probabilities is the document's score.
 
 * vocabulary: words of all documents are counted; the most frequent get numbers of
   their own, the rest share hash buckets. A class holds tokens of neighbouring rank.
+* encode: a text becomes its tokens' numbers, 2 bytes each, once for training and scoring.
 * train: every document is dealt, by a hash of id and text, to a round and there to a
-  trainer of about `docs_per_trainer` documents. In each whole text every `MASK`-th token
-  is masked, from a place that the hash sets; with MASK = 2 * REACH + 1 every token,
-  but for two at most at either end, is masked or seen beside a masked one. Windows travel, 10 bytes each, and not
-  texts. Each trainer, a group of its own, sorted by hash, trains a copy in numpy; copies
-  are averaged slice by slice in a tree, weighted by their tokens, and the next round
-  starts from there. The result doesn't depend on how rows lie in files or tasks.
+  trainer of about `docs_per_trainer` documents. Every token of every whole text is masked
+  once. Numbers travel, and not texts. Each trainer, a group of its own, sorted by hash,
+  trains a copy in numpy; copies are averaged slice by slice in a tree, weighted by their
+  tokens, and the next round starts from there. The result doesn't depend on how rows lie
+  in files or tasks.
 * score: the parameters, of fixed size, are broadcast and every text is scored whole,
   in blocks of tokens that see their neighbours across block ends.
 
@@ -43,8 +43,8 @@ VOCABULARY = CLASSES * WITHIN
 RARE = 256
 REACH = 2
 EMBEDDING, HIDDEN = 16, 32
-#: One token in so many is masked, about so many documents go to a trainer, and each document to one of the rounds.
-MASK, DOCS_PER_TRAINER, ROUNDS = 2 * REACH + 1, 8000, 2
+#: About so many documents go to a trainer, and each document to one of the rounds.
+DOCS_PER_TRAINER, ROUNDS = 8000, 2
 #: Tokens of a step: at most, and so that a trainer makes about so many steps.
 BATCH, STEPS = 4096, 128
 BLOCK = 1 << 15
@@ -108,14 +108,6 @@ def contexts(ids: np.ndarray, start: int = 0, end: int | None = None) -> np.ndar
     return np.stack([wide[i : i + n] for i in range(2 * REACH + 1) if i != REACH], axis=1)
 
 
-def masked(ids: np.ndarray, first: int, every: int) -> np.ndarray:
-    """(places, 2 * REACH + 1): the window of each masked place and, last, its token."""
-    at = np.arange(first, len(ids), every)
-    wide = np.full(len(ids) + 2 * REACH, VOCABULARY, np.uint16)
-    wide[REACH : REACH + len(ids)] = ids
-    return np.stack([wide[at + i] for i in range(2 * REACH + 1) if i != REACH] + [wide[at + REACH]], axis=1)
-
-
 def _softmax(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(log-probability of column `at`, exponentials, their sums) of each row; x is used up."""
     if x.size and (top := float(x.max())) > 60.0:  # below that exponentials can't overflow
@@ -232,37 +224,39 @@ def numbering(words: list[str]) -> ByMiss:
 
 def _ids(raw: bytes, number: ByMiss) -> np.ndarray:
     found = tokens(raw)
-    return np.fromiter(map(number.__getitem__, found), np.int64, len(found))
+    return np.fromiter(map(number.__getitem__, found), np.uint16, len(found))
 
 
-def deal(docs: DataFrame, words: list[str], text: str = "text", key: str = "doc_id", docs_per_trainer: int = DOCS_PER_TRAINER, rounds: int = ROUNDS, every: int = MASK) -> tuple[DataFrame, int]:
-    """(round, trainer, h, times, windows) of every document, and the number of trainers of a round."""
-    texts = docs.select(F.xxhash64(key, text).alias("h"), text_bytes(text).alias("t"))
-    trainers = max(1, -(-texts.count() // (docs_per_trainer * rounds)))
+def encode(docs: DataFrame, words: list[str], text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc_id, h, ids) of every row: a hash of key and text, and the numbers of the text's tokens, 16 bits each."""
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.xxhash64(key, text).alias("h"), text_bytes(text).alias("t"))
     sent = docs.sparkSession.sparkContext.broadcast(words)
 
-    def windows(batches: Iterator[Batch]) -> Iterator[Batch]:
+    def run(batches: Iterator[Batch]) -> Iterator[Batch]:
         number = numbering(sent.value)
         for b in batches:
-            out: Batch = {"round": [], "trainer": [], "h": [], "times": [], "windows": []}
-            for (h, raw), times in Counter(zip(b["h"], b["t"], strict=True)).items():  # rows that repeat id and text
-                ids = _ids(raw, number)
-                if len(ids):
-                    mixed = h & (2**63 - 1)
-                    out["round"].append(mixed % rounds)
-                    out["trainer"].append((mixed >> 20) % trainers)
-                    out["h"].append(h)
-                    out["times"].append(times)
-                    out["windows"].append(masked(ids, (mixed >> 8) % min(every, len(ids)), every).tobytes())
-            yield out
-
-    return store(map_batches(texts, windows, "round int, trainer int, h long, times long, windows binary"), "windows"), trainers
-
-
-def train(docs: DataFrame, words: list[str], text: str = "text", key: str = "doc_id", docs_per_trainer: int = DOCS_PER_TRAINER, rounds: int = ROUNDS, rate: float = 0.1, every: int = MASK) -> Network:
-    """The averaged network of all trainers; every document trains, in one of the rounds."""
-    spark = docs.sparkSession
-    dealt, trainers = deal(docs, words, text, key, docs_per_trainer, rounds, every)
+            yield {"doc_id": b["k"], "h": b["h"], "ids": [_ids(raw, number).tobytes() for raw in b["t"]]}
+
+    return map_batches(rows, run, "doc_id long, h long, ids binary")
+
+
+def deal(coded: DataFrame, docs_per_trainer: int = DOCS_PER_TRAINER, rounds: int = ROUNDS) -> tuple[DataFrame, int]:
+    """(round, trainer, h, ids) of every encoded document with a token, and the number of trainers of a round."""
+    trainers = max(1, -(-coded.count() // (docs_per_trainer * rounds)))
+    mixed = F.col("h").bitwiseAND(2**63 - 1)
+    at = (mixed % rounds).cast("int").alias("round"), (F.shiftright(mixed, 20) % trainers).cast("int").alias("trainer")
+    return coded.where(F.length("ids") > 0).select(*at, "h", "ids"), trainers
+
+
+def train(docs: DataFrame, words: list[str], text: str = "text", key: str = "doc_id", **training) -> Network:
+    """The averaged network of all trainers; every token of every document trains, in one of the rounds."""
+    return train_coded(store(encode(docs, words, text, key), "coded"), **training)
+
+
+def train_coded(coded: DataFrame, docs_per_trainer: int = DOCS_PER_TRAINER, rounds: int = ROUNDS, rate: float = 0.1) -> Network:
+    """The same from encoded documents, which are read once a round."""
+    spark = coded.sparkSession
+    dealt, trainers = deal(coded, docs_per_trainer, rounds)
     net = Network.fresh()
     for i in range(rounds):
         sent = spark.sparkContext.broadcast(net.flat)
@@ -270,12 +264,12 @@ def train(docs: DataFrame, words: list[str], text: str = "text", key: str = "doc
         def teach(rows: pd.DataFrame) -> pd.DataFrame:
             flat = sent.value
             own = Network(flat.copy())
-            each = rows.groupby(["h", "windows"], sort=True)["times"].sum().reset_index()
-            seen = _pass(Trainer(own, rate), each["windows"], each["times"])
+            each = rows.groupby(["h", "ids"], sort=True).size().reset_index(name="times")  # rows that repeat key and text
+            seen = _pass(Trainer(own, rate), each["ids"], each["times"])
             node, slices = int(rows["trainer"].iloc[0]), range(0, len(flat), _SLICE)
             return pd.DataFrame({"node": node, "slice": [s // _SLICE for s in slices], "weight": float(seen), "sums": [(own.flat[s : s + _SLICE].astype(np.float64) * seen).tobytes() for s in slices]})
 
-        taught = dealt.where(F.col("round") == i).groupBy("trainer").applyInPandas(teach, _SLICES)
+        taught = dealt.where(F.col("round") == i).drop("round").groupBy("trainer").applyInPandas(teach, _SLICES)
         net = Network(_average(store(taught, "taught"), trainers, net.flat))
     return net
 
@@ -283,18 +277,21 @@ def train(docs: DataFrame, words: list[str], text: str = "text", key: str = "doc
 _SLICES = "node int, slice int, weight double, sums binary"
 
 
-def _pass(trainer: Trainer, windows: Iterable[bytes], times: Iterable[int]) -> int:
-    """Steps over all windows in random order; gives how many tokens they stand for."""
-    rows = [np.frombuffer(w, np.uint16).reshape(-1, 2 * REACH + 1) for w in windows]
-    weight = np.repeat(np.fromiter(times, np.int64), [len(r) for r in rows])
-    every = np.concatenate(rows)
-    order = np.random.default_rng(len(every)).permutation(len(every))
-    batch = min(BATCH, max(64, len(every) // STEPS))
+def _pass(trainer: Trainer, ids: Iterable[bytes], times: Iterable[int]) -> int:
+    """Steps over every token of the encoded texts in random order; gives how many tokens they stand for."""
+    rows = [np.frombuffer(i, np.uint16) for i in ids]
+    gap = np.full(REACH, VOCABULARY, np.uint16)  # texts don't see each other
+    wide = np.concatenate([gap, *(x for r in rows for x in (r, gap))])
+    places = np.flatnonzero(wide != VOCABULARY)
+    weight = np.repeat(np.fromiter(times, np.int32), [len(r) for r in rows])
+    order = np.random.default_rng(len(places)).permutation(len(places))
+    batch = min(BATCH, max(64, len(places) // STEPS))
     for s in range(0, len(order), batch):
         at = order[s : s + batch]
-        part = every[at].astype(np.int64)
-        trainer.step(part[:, :-1], part[:, -1], weight[at])
-    return int(weight.sum())
+        p = places[at]
+        context = np.stack([wide[p + i] for i in range(-REACH, REACH + 1) if i], axis=1)
+        trainer.step(context.astype(np.int64), wide[p].astype(np.int64), weight[at])
+    return int(weight.sum(dtype=np.int64))
 
 
 def _average(taught: DataFrame, nodes: int, before: np.ndarray) -> np.ndarray:
@@ -319,13 +316,17 @@ def _average(taught: DataFrame, nodes: int, before: np.ndarray) -> np.ndarray:
 
 def score(docs: DataFrame, words: list[str], net: Network, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per document: doc_id, n_tokens, log_likelihood and perplexity."""
-    sent = docs.sparkSession.sparkContext.broadcast((words, net.flat))
+    return score_coded(encode(docs, words, text, key), net)
+
+
+def score_coded(coded: DataFrame, net: Network) -> DataFrame:
+    """The same of encoded documents."""
+    sent = coded.sparkSession.sparkContext.broadcast(net.flat)
 
     def run(batches: Iterator[Batch]) -> Iterator[Batch]:
-        words, flat = sent.value
-        number, own = numbering(words), Network(flat)
+        own = Network(sent.value)
         for b in batches:
-            ids = [_ids(raw, number) for raw in b["t"]]
+            ids = [np.frombuffer(raw, np.uint16).astype(np.int64) for raw in b["ids"]]
             lengths = np.asarray([len(x) for x in ids])
             total = np.zeros(len(ids))
             # short texts share a block; a long one takes several
@@ -341,10 +342,9 @@ def score(docs: DataFrame, words: list[str], net: Network, text: str = "text", k
                         _add(total, own, of, context, wanted)
                         of, context, wanted, held = [], [], [], 0
             _add(total, own, of, context, wanted)
-            yield {"doc_id": b["k"], "n_tokens": lengths, "log_likelihood": total, "perplexity": np.exp(-total / np.maximum(lengths, 1))}
+            yield {"doc_id": b["doc_id"], "n_tokens": lengths, "log_likelihood": total, "perplexity": np.exp(-total / np.maximum(lengths, 1))}
 
-    rows = docs.select(F.col(key).cast("long").alias("k"), text_bytes(text).alias("t"))
-    return map_batches(rows, run, SCHEMA)
+    return map_batches(coded.select("doc_id", "ids"), run, SCHEMA)
 
 
 def _add(total: np.ndarray, net: Network, of: list[np.ndarray], context: list[np.ndarray], ids: list[np.ndarray]) -> None:
@@ -354,6 +354,6 @@ def _add(total: np.ndarray, net: Network, of: list[np.ndarray], context: list[np
 
 
 def pseudo_likelihood(docs: DataFrame, text: str = "text", key: str = "doc_id", **training) -> DataFrame:
-    """Count, train and score."""
-    words = vocabulary(docs, text)
-    return score(docs, words, train(docs, words, text, key, **training), text, key)
+    """Count, encode, train and score."""
+    coded = store(encode(docs, vocabulary(docs, text), text, key), "coded")
+    return score_coded(coded, train_coded(coded, **training))

@@ -292,15 +292,20 @@ def test_every_document_trains_the_language_model(spark):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.integers(1, 60), st.integers(0, 4))
-def test_masked_windows_show_every_token(n, first):
-    ids = np.arange(n)
-    first %= min(pseudo_lm.MASK, n)
-    rows = pseudo_lm.masked(ids, first, pseudo_lm.MASK)
-    assert rows[:, -1].tolist() == list(range(first, n, pseudo_lm.MASK))
-    assert (rows[:, :-1] == pseudo_lm.contexts(ids)[rows[:, -1]]).all()
-    reach = pseudo_lm.REACH
-    assert set(range(max(0, first - reach), min(n, n - reach))) <= set(rows.ravel().tolist())
+@given(st.lists(st.lists(st.integers(0, 9), min_size=1, max_size=12), min_size=1, max_size=8))
+def test_every_token_is_a_target_with_its_window_once(texts):
+    class Seen:
+        rows: list = []
+
+        def step(self, context, ids, weight):
+            self.rows += [(*c, i, w) for c, i, w in zip(context.tolist(), ids.tolist(), weight.tolist(), strict=True)]
+
+    seen = Seen()
+    seen.rows = []
+    times = [1 + i % 3 for i in range(len(texts))]
+    assert pseudo_lm._pass(seen, [np.asarray(t, np.uint16).tobytes() for t in texts], times) == sum(n * len(t) for n, t in zip(times, texts, strict=True))
+    wanted = [(*c, i, n) for n, t in zip(times, texts, strict=True) for c, i in zip(pseudo_lm.contexts(np.asarray(t)).tolist(), t, strict=True)]
+    assert sorted(seen.rows) == sorted(wanted)
 
 
 def test_places_that_count_twice_weigh_twice():
@@ -320,8 +325,8 @@ def test_training_does_not_depend_on_the_layout(spark):
     words = list("abcdefgh")
     nets = [pseudo_lm.train(d, words, docs_per_trainer=10).flat for d in (docs.repartition(7), docs.coalesce(1).orderBy(F.desc("doc_id")))]
     assert np.array_equal(*nets)
-    dealt, trainers = pseudo_lm.deal(docs, words, docs_per_trainer=10)
-    assert trainers == 4 and dealt.agg(F.sum("times")).first()[0] == 65  # all with a token
+    dealt, trainers = pseudo_lm.deal(pseudo_lm.encode(docs, words), docs_per_trainer=10)
+    assert trainers == 4 and dealt.count() == 65  # all with a token
 
 
 def test_one_token_of_a_million_characters(spark):
