@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparquill.functions import text as X
+from sparquill.operators import proximity
 
 # BM25's parameters, the floor of a term's weight, limits of an expression.
 K1, B, FLOOR = 1.2, 0.75, 1e-6
@@ -171,9 +172,10 @@ def search(nodes: DataFrame, query: str, top_k: int = 20, first: list[str] | Non
     return roll_up(search_nodes(nodes, query, max(OVERFETCH * top_k, top_k), **filters), top_k, first=first)
 
 
-# --- silo search: terms, "phrases", AND, OR, NOT, prefix*, column:term
+# --- silo search: terms, "phrases", AND, OR, NOT, prefix*, column:term, NEAR(terms and "phrases", distance)
 
 
+_NEAR = re.compile(r'\s*(?:(\w+)\s*:\s*)?NEAR\s*\(((?:[^()"]|"[^"]*")*)\)')
 _PART = re.compile(r'\s*(?:(\w+)\s*:\s*)?(?:"([^"]*)"(\*)?|(\()|(\))|([^\s()":]+))')
 
 
@@ -182,6 +184,10 @@ def parse_expression(text: str) -> list:
     found, at, depth = [], 0, 0
     text = text.strip()
     while at < len(text):
+        if m := _NEAR.match(text, at):
+            found.append((m[1], *proximity.parse_near(m[2]), "near"))
+            at = m.end()
+            continue
         m = _PART.match(text, at)
         if not m or m.end() == at:
             raise ValueError(f"can't read {text[at:]!r}")
@@ -205,7 +211,15 @@ def expression_filter(text: str, columns: list[str]) -> Column:
         parts = parse_expression(text)
         position = 0
 
+        def near(part: tuple) -> Column:
+            column, phrases, distance, _ = part
+            if column and column not in columns:
+                raise ValueError("no such column")
+            return reduce(lambda a, b: a | b, [proximity.near(X.folded_tokens(c), phrases, distance) for c in ([column] if column else columns)])
+
         def phrase(part: tuple) -> Column:
+            if len(part) == 4:
+                return near(part)
             column, words, star = part
             tokens = re.findall(r"[^\W_]+", words.lower())
             star = star or words.endswith("*")
@@ -270,7 +284,8 @@ def expression_filter(text: str, columns: list[str]) -> Column:
 def silo_search(records: DataFrame, text: str, top_k: int = 20, columns: tuple[str, ...] = ("title", "authors", "abstract"), key: str = "paper_id") -> DataFrame:
     """Records of a silo that satisfy the expression, ranked by BM25 of its words over all columns."""
     cols = list(columns)
-    words = [w for w in re.findall(r"[^\W_]+", text) if w not in ("AND", "OR", "NOT")]
+    plain = _NEAR.sub(lambda m: " " + re.sub(r",\s*\d+\s*$", "", m[2]) + " ", text)
+    words = [w for w in re.findall(r"[^\W_]+", plain) if w not in ("AND", "OR", "NOT")]
     whole = F.concat_ws(" ", *cols)
     indexed = records.select(F.col(key).alias("node_id"), F.array_distinct(X.folded_tokens(whole)).alias("tokens"))
     scored = bm25(indexed, list(dict.fromkeys(w.lower() for w in words)))

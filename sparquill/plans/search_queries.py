@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sparquill.functions import text as X
 from sparquill.operators import inverted
 from sparquill.operators import nodes as N
+from sparquill.operators import proximity as P
 from sparquill.operators import search as S
 from sparquill.plans.registry import query
 from sparquill.session import shared_dir, table
@@ -277,3 +278,26 @@ def silo_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The silo grammar: a phrase and a word, without another."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title"), F.col("lang").alias("authors"), F.col("text").alias("abstract"))
     return S.silo_search(d, '"of the" AND (tion OR heit) NOT license', 20, key="doc_id").select("doc_id", F.round("score", 6).alias("score"))
+
+
+_TOKENS = """regexp_extract_all(translate(regexp_replace(lower(coalesce(text, '')), '\\p{M}+', '', 'g'), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\\p{L}\\p{N}]+')"""
+_NEAR_SQL = f"""
+    WITH t AS (SELECT doc_id, {_TOKENS} AS ws FROM documents),
+    e AS (SELECT doc_id, unnest(ws) AS w, unnest(ws[2:] || ['']) AS after, unnest(range(len(ws))) AS pos FROM t),
+    s AS (SELECT doc_id, pos, CASE WHEN w = 'tion' THEN 1 ELSE 2 END AS n, w = 'tion' AS one FROM e WHERE w = 'tion' OR (w = 'of' AND after = 'the')),
+    l AS (SELECT doc_id, pos, one, lag(one) OVER v AS was, lag(pos + n) OVER v AS ended FROM s WINDOW v AS (PARTITION BY doc_id ORDER BY pos))
+    SELECT DISTINCT doc_id FROM l WHERE one <> was AND pos - ended <= 5
+"""
+
+
+@query(_NEAR_SQL)
+def silo_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a word near a phrase, by the silo grammar over whole texts."""
+    return table(spark, sf_dir, "documents").where(S.expression_filter('NEAR("of the" tion, 5)', ["text"])).select("doc_id")
+
+
+@query(_NEAR_SQL)
+def near_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from postings with positions."""
+    post = P.positions(table(spark, sf_dir, "documents"), ["text"], "doc_id")
+    return P.near_from_positions(post, *P.parse_near('"of the" tion, 5')).select(F.col("node_id").alias("doc_id"))

@@ -241,3 +241,17 @@ def test_types_without_a_conclusion(spark):
     rows = [(i, f"## Conclusion\n{'This holds. ' * 20}", t) for i, t in enumerate([*types, " Book ", "article", None])]
     got = {r.d: r.status for r in C.cards(spark.createDataFrame(rows, "d int, t string, k string"), "d", "t", "k").collect()}
     assert [got[i] for i in range(len(rows))] == ["skipped"] * 14 + ["ok"] * 2
+
+
+def test_a_reference_list_is_numbered_over_ranges(spark):
+    """Positions over several ranges, with ties, nulls and a row that makes up a third of all."""
+    rows = [(str(i % 40), f"T{i % 7}" if i % 5 else None, 1990 + i % 9 if i % 4 else None) for i in range(120)] + [("hot", "Same", 2000)] * 60
+    df = spark.createDataFrame([(i, t, [], y, *[None] * 6) for i, t, y in rows], "id string, title string, authors array<string>, year int, journal string, doi string, volume string, issue string, pages string, paper_type string")
+    lines = exports.reference_list(df, "apa", numbered=True)
+    got = [(r.position, r.line) for r in lines.collect()]
+    assert sorted(p for p, _ in got) == list(range(1, 181))
+    plain = exports.formatted(df, "apa").select("year", "title", "id", "reference").collect()
+    want = sorted(plain, key=lambda r: (-(r.year or 0), r.title is not None, r.title or "", r.id, r.reference))
+    assert [x for _, x in sorted(got)] == [f"{i}. {r.reference}" for i, r in enumerate(want, 1)]
+    assert "SinglePartition" not in lines._jdf.queryExecution().toString()
+    assert exports.reference_list(df.limit(0), "apa").count() == 0

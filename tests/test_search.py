@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import random
 import sqlite3
 
 import pytest
 from pyspark.sql import functions as F
 
 from sparquill.functions import text as X
+from sparquill.operators import proximity
 from sparquill.operators import search as S
 
 ROWS = [
@@ -107,3 +109,50 @@ SILO = [("w1", "Fluid dynamics", "A", "Deep learning of fluids"), ("w2", "Graph
 def test_silo_grammar(spark, ask, found):
     df = spark.createDataFrame(SILO, "paper_id string, title string, authors string, abstract string")
     assert {r.paper_id for r in S.silo_search(df, ask).collect()} == found
+
+
+NEAR_ROWS = [
+    ("a", "one two three four five six seven", "", ""), ("b", "seven six one", "two", "x"), ("c", "one x x x two", "", "two y one"), ("d", None, "one", ""),
+    ("e", "Two words, then one", "oneself two", None), ("f", "one two one two three", "three " * 30 + "one", ""), ("g", "", "", ""),
+]
+NEAR_ASKS = [
+    "NEAR(one two)", "NEAR(one two, 0)", "NEAR(one two, 2)", "NEAR(one two, 3)", "NEAR(two one, 1)", 'NEAR("one two" three, 0)', 'NEAR("two three" "six seven", 2)', 'NEAR("two three" "six seven", 1)',
+    "title : NEAR(one two, 1)", "NEAR(one* two, 0)", "NEAR(one one, 0)", "NEAR(one)", "NEAR(one three, 5) OR seven", "six NOT NEAR(one seven, 5)", "NEAR(one two three, 1)", "NEAR(seven one, 4)",
+]
+
+
+def test_near_is_what_sqlite_finds(spark):
+    df = spark.createDataFrame(NEAR_ROWS, "paper_id string, title string, authors string, abstract string")
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE VIRTUAL TABLE t USING fts5(paper_id UNINDEXED, title, authors, abstract)")
+    db.executemany("INSERT INTO t VALUES (?, ?, ?, ?)", NEAR_ROWS)
+    columns = ["title", "authors", "abstract"]
+    got = df.select("paper_id", *[S.expression_filter(a, columns).alias(f"q{i}") for i, a in enumerate(NEAR_ASKS)]).collect()
+    for i, ask in enumerate(NEAR_ASKS):
+        assert {r.paper_id for r in got if r[f"q{i}"]} == {x for (x,) in db.execute("SELECT paper_id FROM t WHERE t MATCH ?", (ask,))}, ask
+    assert {r.paper_id for r in S.silo_search(df, "NEAR(one two, 0)").collect()} == {x for (x,) in db.execute("SELECT paper_id FROM t WHERE t MATCH 'NEAR(one two, 0)'")}
+    post = proximity.positions(df, columns, "paper_id")
+    for body in ("one two, 0", '"one two" three, 0', "one* two, 0", "one two three, 1", "one one, 0"):
+        found = {x for (x,) in db.execute("SELECT paper_id FROM t WHERE t MATCH ?", (f"NEAR({body})",))}
+        assert {r.node_id for r in proximity.near_from_positions(post, *proximity.parse_near(body)).collect()} == found, body
+
+
+def test_near_over_random_texts_and_long_ones(spark):
+    rng = random.Random(5)
+    rows = [(str(i), " ".join(rng.choice("abcdefg") for _ in range(rng.randint(0, 25)))) for i in range(150)]
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE VIRTUAL TABLE t USING fts5(id UNINDEXED, x)")
+    db.executemany("INSERT INTO t VALUES (?, ?)", rows)
+    df = spark.createDataFrame(rows, "id string, x string")
+    asks = ["NEAR(a b c, 1)", 'NEAR("a b" c, 2)', 'NEAR("a b" "c d" e, 4)', "NEAR(a b c d, 0)", 'NEAR("a a" a, 0)']
+    got = df.select("id", *[S.expression_filter(a, ["x"]).alias(f"q{i}") for i, a in enumerate(asks)]).collect()
+    for i, ask in enumerate(asks):
+        assert {r.id for r in got if r[f"q{i}"]} == {x for (x,) in db.execute("SELECT id FROM t WHERE t MATCH ?", (ask,))}, ask
+    long = spark.createDataFrame([("far", "a " * 200_000 + "x " * 11 + "b"), ("near", "a " * 200_000 + "x " * 10 + "b")], "id string, x string")
+    assert [r.id for r in long.where(S.expression_filter("NEAR(a b)", ["x"])).collect()] == ["near"]
+
+
+@pytest.mark.parametrize("body", ["", ", 3", "a, b", 'a "', "a, 1, 2", "***"])
+def test_near_that_cannot_be_read(body):
+    with pytest.raises(ValueError):
+        proximity.parse_near(body)
