@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, IsNotNull, LessThan
 from pyspark.sql import functions as F
 
 from sparquill.operators import cards, extraction as E
@@ -143,3 +144,24 @@ def test_paged_sources(spark, tmp_path):
     assert [w["id"] for w in connectors.pages(fetch, 5, sleep=pauses.append)] == [f"W{i}" for i in range(5)] and pauses == [1.0, 2.0]
     with pytest.raises(OSError):
         connectors.with_retries(lambda: (_ for _ in ()).throw(OSError("down")), sleep=pauses.append)
+
+
+def test_conditions_reach_the_paged_reader(spark, tmp_path):
+    years = [2018, 2019, None, 2020, 2021, 2022]
+    for p in range(3):
+        (tmp_path / f"page-{p}.json").write_text(json.dumps({"results": [{"id": f"W{i}", "title": "t", "publication_year": years[i], "cited_by_count": i} for i in (2 * p, 2 * p + 1)]}))
+    spark.dataSource.register(connectors.PagedWorks)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        for where in ("publication_year = 2020", "publication_year >= 2020 and cited_by_count < 5", "publication_year > 2018 and title = 't'", "cited_by_count <= 2", "publication_year is null", "2019 < publication_year or cited_by_count = 0"):
+            plain, pushed, few = (spark.read.format("paged_works").options(path=str(tmp_path), **o).load().where(where) for o in ({}, {"pushdown": "true"}, {"pushdown": "true", "limit": "4"}))
+            want = sorted(r.id for r in plain.collect())
+            assert sorted(r.id for r in pushed.collect()) == want, where
+            assert sorted(r.id for r in few.collect()) == [i for i in want if i < "W4"], where
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    reader = connectors.PagedWorks({"path": str(tmp_path), "pushdown": "true"}).reader(None)
+    rest = [EqualTo(("title",), "t"), IsNotNull(("publication_year",))]
+    assert list(reader.pushFilters([GreaterThanOrEqual(("publication_year",), 2020), *rest, LessThan(("cited_by_count",), 5)])) == rest
+    assert reader.asked == "publication_year:>2019,cited_by_count:<5"
+    assert [w[0] for part in reader.partitions() for w in reader.read(part)] == ["W3", "W4"]
