@@ -191,30 +191,63 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
-def ingest_decision(incoming: DataFrame, existing: DataFrame, document_types: tuple[str, ...] = ("thesis", "book", "document", "patent", "technical-report")) -> DataFrame:
-    """Status of each incoming record (pos, doi, pmid, publication_number, title, paper_type).
+#: What identifies a record, in the order in which a duplicate's owner is named.
+IDENTIFIERS = ("doi", "pmid", "publication_number")
+DOCUMENT_TYPES = ("thesis", "book", "document", "patent", "technical-report")
 
-    A record whose identifier the library or an earlier record has is a duplicate of
-    it; one without title is pending; one without identifier is pending unless its
-    type needs none; the rest are ingested.
+
+def identifiers(rows: DataFrame, *keep: str) -> DataFrame:
+    """(kind, value, keep...): a row for each identifier that rows (doi, pmid, publication_number) have, normalised."""
+    forms = {"doi": X.normalize_doi("doi"), "pmid": X.normalize_pmid("pmid"), "publication_number": F.upper(F.trim(X.text_or_empty("publication_number")))}
+    each = F.array(*[F.struct(F.lit(k).alias("kind"), forms[k].alias("value")) for k in IDENTIFIERS])
+    return rows.select(*keep, F.explode(F.filter(each, lambda x: x["value"] != "")).alias("__x")).select("__x.kind", "__x.value", *keep)
+
+
+def ingest_decision(incoming: DataFrame, existing: DataFrame, document_types: tuple[str, ...] = DOCUMENT_TYPES) -> DataFrame:
+    """Status of each incoming record (pos, doi, pmid, publication_number, title, paper_type), as if they came one by one in order of pos.
+
+    A record whose identifier the library (existing: id and identifiers) or an earlier ingested
+    record has is a duplicate of it; one without title is pending; one without identifier is
+    pending unless its type needs none; the rest are ingested. Only ingested records hold their
+    identifiers. Records of the same place and content count as one; those of the same place go
+    by a digest of their content, those without place meet the library alone.
+    """
+    return ingest_among(incoming, identifiers(existing, "id").withColumn("earlier", F.lit(False)), document_types)
+
+
+def ingest_among(incoming: DataFrame, owners: DataFrame, document_types: tuple[str, ...] = DOCUMENT_TYPES) -> DataFrame:
+    """ingest_decision against owners (kind, value, id, earlier) of identifiers; `earlier` ones are ingested records of the same run.
+
+    An earlier record is held by its identifiers alone: it gives the issue in_batch and no owner.
+    Keys are settled in parallel: of each, the first record that is still thought to be ingested
+    counts, again until nothing changes. Each round settles the next link of any chain.
     """
-    out = incoming
-    checks = []
-    for key, norm in (("doi", X.normalize_doi), ("pmid", X.normalize_pmid), ("publication_number", lambda c: F.upper(F.trim(X.text_or_empty(c))))):
-        have = existing.select(norm(key).alias(f"__{key}"), F.col("id").alias(f"__{key}_of")).where(f"__{key} <> ''").groupBy(f"__{key}").agg(F.min(f"__{key}_of").alias(f"__{key}_of"))
-        earlier = Window.partitionBy(f"__{key}").orderBy("pos")
-        out = out.withColumn(f"__{key}", norm(key))
-        out = out.withColumn(f"__{key}_again", F.when(F.col(f"__{key}") != "", F.row_number().over(earlier) > 1).otherwise(False))
-        out = out.join(have, f"__{key}", "left")
-        checks.append(key)
-    known = F.coalesce(*[F.col(f"__{k}_of").cast("string") for k in checks])
-    again = reduce(lambda a, b: a | b, [F.col(f"__{k}_again") for k in checks])
-    named = reduce(lambda a, b: a | b, [F.col(f"__{k}") != "" for k in checks])
-    status = (
-        F.when(known.isNotNull() | again, "duplicate")
-        .when(X.normalize_title("title") == "", "pending")
-        .when(named | F.col("paper_type").isin(*document_types), "ingested")
-        .otherwise("pending")
-    )
-    issue = F.when(known.isNotNull(), "in_library").when(again, "in_batch").when(X.normalize_title("title") == "", "no_title").when(status == "pending", "no_identifier")
-    return out.withColumns({"status": status, "issue": issue, "duplicate_of": known}).drop(*[c for c in out.columns if c.startswith("__")])
+    titled = X.normalize_title("title") != ""
+    rows = incoming.withColumn("__row", F.xxhash64(*[F.col(c).cast("string") for c in (*IDENTIFIERS, "title", "paper_type")]))
+    claims = identifiers(rows.select("pos", "__row", *IDENTIFIERS, titled.alias("takes")), "pos", "__row", "takes")
+    met = F.array_position(F.array(*[F.lit(k) for k in IDENTIFIERS]), F.col("kind"))
+    owned = owners.groupBy("kind", "value").agg(F.min(F.when(~F.col("earlier"), F.col("id").cast("string"))).alias("id"))
+    known = claims.join(owned, ["kind", "value"]).groupBy("pos", "__row").agg(F.min(F.when(F.col("id").isNotNull(), F.struct(met.alias("at"), "id")))["id"].alias("__of"), F.lit(True).alias("__known"))
+    known = stored(known, "ingest-known")
+    again = stored(_taken(claims.where("pos is not null").join(known, ["pos", "__row"], "left_anti")), "ingest-again")
+    here = known.withColumnsRenamed({"pos": "__at", "__row": "__its"})
+    out = rows.join(here, (F.col("__row") == F.col("__its")) & F.col("pos").eqNullSafe(F.col("__at")), "left").join(again.withColumn("__again", F.lit(True)), ["pos", "__row"], "left")
+    named = reduce(lambda a, b: a | b, [f != "" for f in (X.normalize_doi("doi"), X.normalize_pmid("pmid"), F.trim(X.text_or_empty("publication_number")))])
+    twice = F.col("__known").isNotNull() | F.col("__again").isNotNull()
+    status = F.when(twice, "duplicate").when(~titled, "pending").when(named | F.coalesce(F.col("paper_type").isin(*document_types), F.lit(False)), "ingested").otherwise("pending")
+    issue = F.when(F.col("__of").isNotNull(), "in_library").when(twice, "in_batch").when(~titled, "no_title").when(status == "pending", "no_identifier")
+    return out.select(*incoming.columns, status.alias("status"), issue.alias("issue"), F.col("__of").alias("duplicate_of"))
+
+
+def _taken(claims: DataFrame) -> DataFrame:
+    """(pos, __row) of claims (kind, value, pos, __row, takes) to a key that an earlier record took, which no key stopped."""
+    place = F.struct("pos", "__row")
+    shared = claims.groupBy("kind", "value").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("kind", "value")
+    told = stored(claims.join(shared, ["kind", "value"], "left_semi"), "ingest-shared")
+    none = told.select("pos", "__row").limit(0)
+    while True:
+        first = told.where("takes").join(none, ["pos", "__row"], "left_anti").groupBy("kind", "value").agg(F.min(place).alias("first"))
+        then = stored(told.join(first, ["kind", "value"]).where(place > F.col("first")).select("pos", "__row").distinct(), "ingest-taken")
+        if then.exceptAll(none).isEmpty() and none.exceptAll(then).isEmpty():
+            return then
+        none = then

@@ -120,10 +120,14 @@ def append_new(incoming: DataFrame, path: str, keys: list[str]) -> None:
     fresh.write.mode("append").parquet(path)
 
 
-def split_pending(decided: DataFrame, accepted: str, pending: str) -> None:
-    """Ingested records to one table, the others with their issue to another."""
-    decided.where("status = 'ingested'").drop("issue", "duplicate_of").write.mode("append").parquet(accepted)
-    decided.where("status <> 'ingested'").write.mode("append").parquet(pending)
+def split_pending(decided: DataFrame, accepted: str, pending: str, batch: int | None = None) -> None:
+    """Ingested records to one table, the others with their issue to another; a batch's rows replace what it wrote before."""
+    kept, other = decided.where("status = 'ingested'").drop("issue", "duplicate_of"), decided.where("status <> 'ingested'")
+    for rows, path in ((kept, accepted), (other, pending)):
+        if batch is None:
+            rows.write.mode("append").parquet(path)
+        else:
+            rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
 def joined_text(df: DataFrame, column: str, order: list[str], separator: str = "\n\n") -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sparquill.functions import text as X
+from sparquill.session import stored
 from sparquill.sources import sinks
 
 
@@ -33,16 +34,36 @@ def search_stream(source: DataFrame, index: str, checkpoint: str) -> StreamingQu
     return source.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def ingest_stream(source: DataFrame, existing: DataFrame, accepted: str, pending: str, checkpoint: str) -> StreamingQuery:
-    """Decide on each batch of incoming records against the library and what earlier batches accepted."""
-    from sparquill.operators.identity import ingest_decision
+def ingest_stream(source: DataFrame, existing: DataFrame, accepted: str, pending: str, checkpoint: str, buckets: int = sinks.BUCKETS) -> StreamingQuery:
+    """Decide on each batch of incoming records against the library and what earlier batches accepted.
 
-    def apply(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        known = existing.select("id", "doi", "pmid", "publication_number")
-        if sinks.exists(spark, accepted):
-            known = known.unionByName(spark.read.parquet(accepted).select(F.col("pos").cast("string").alias("id"), "doi", "pmid", "publication_number"))
-        sinks.split_pending(ingest_decision(batch, known), accepted, pending)
+    Decisions equal `identity.ingest_decision` over all records at once, however they are parted
+    into batches in order of pos. The identifiers of the library (read once, when the stream first
+    starts) and of accepted records lie beside the checkpoint in folders by batch and hash; a batch
+    reads the folders of its own identifiers, not the accepted table. Whether a record holds an
+    identifier hangs on its others, so state keyed by identifier cannot settle it. A batch that is
+    run again sees earlier batches alone and replaces what it wrote.
+    """
+    from sparquill.operators import identity as I
+
+    held = f"{checkpoint}/identifiers"
+    bucket = F.pmod(F.xxhash64("kind", "value"), F.lit(buckets)).cast("int").alias("bucket")
+
+    def hold(rows: DataFrame, of: str, earlier: bool, folder: int) -> None:
+        found = I.identifiers(rows, of).select("kind", "value", F.col(of).cast("string").alias("id"), F.lit(earlier).alias("earlier"), bucket)
+        found.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{held}/batch={folder}")
+
+    if not sinks.exists(existing.sparkSession, f"{held}/batch=0/_SUCCESS"):
+        hold(existing, "id", False, 0)
+
+    def apply(batch: DataFrame, number: int) -> None:
+        rows = stored(batch, "ingest-batch")
+        near = [r[0] for r in I.identifiers(rows).select(bucket).distinct().collect()]  # at most `buckets` numbers
+        known = rows.sparkSession.read.schema("kind string, value string, id string, earlier boolean, batch long, bucket int").parquet(held)
+        known = known.where((F.col("batch") <= number) & F.col("bucket").isin(near))
+        decided = stored(I.ingest_among(rows, known), "ingest-decided")
+        sinks.split_pending(decided, accepted, pending, number)
+        hold(decided.where("status = 'ingested'"), "pos", True, number + 1)
 
     return source.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
