@@ -1,4 +1,4 @@
-"""Structure of long Markdown: headings, section bounds, running headers, captions, windows, a table of contents."""
+"""Structure of long Markdown: headings, section bounds, running headers, captions, windows, where headings stand."""
 
 from __future__ import annotations
 
@@ -14,11 +14,8 @@ from sparquill.functions import text as X
 # Line windows of the backward scan, and names of sections.
 WINDOW_LINES, WINDOW_OVERLAP, SCAN_SHARE, MOST_WINDOWS = 320, 100, 0.40, 6
 RUNNING = 3
-KNOWN_SECTIONS = ("abstract", "introduction", "background", "methods", "materials and methods", "method", "results", "results and discussion", "discussion", "conclusion", "conclusions", "references", "acknowledgments", "acknowledgements")
 NOISE = ("contents", "table of contents", "acronyms", "abbreviations", "articleinfo", "affiliations", "目录", "插图目录", "表格目录")
-CONCLUSION = "(?i)conclu|summary|closing remarks|结论|总结|结语"
-NUMBERED = "^(\\d+(?:\\.\\d+)*)\\.?\\s+(\\S.*)$"
-CHAPTER = "(?i)^chapter\\s+(\\d+)\\b[.:]?\\s*(.*)$"
+CONCLUSION = "(?i)conclusion|concluding|summary|future directions|future work|outlook|final remarks|closing|结论|总结|结语|小结"
 
 
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -33,17 +30,6 @@ def markdown_headings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return found.select(key, "line", F.length(F.regexp_extract("s", "^(#+)", 1)).alias("level"), title.alias("title"))
 
 
-def infer_level(title: Column, default: Column) -> Column:
-    """1.2.3 is at level 3 (the deepest), a chapter at 1, else as given."""
-    number = F.regexp_extract(title, NUMBERED, 1)
-    return F.when(title.rlike(CHAPTER), 1).when(number != "", F.least(F.lit(3), F.size(F.split(number, "\\.")))).otherwise(default)
-
-
-def is_known(title: Column) -> Column:
-    bare = F.lower(F.trim(F.regexp_replace(title, NUMBERED, "$2")))
-    return bare.isin(*KNOWN_SECTIONS) | bare.startswith("appendix") | bare.startswith("supplementary")
-
-
 def is_conclusion(title: Column) -> Column:
     return title.rlike(CONCLUSION)
 
@@ -60,20 +46,6 @@ def running_headings(headings: DataFrame, key: str, least: int = RUNNING) -> Dat
     return said.groupBy(key, "title").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def toc(headings: DataFrame, key: str, paper_title: Column | None = None) -> DataFrame:
-    """Headings that make a table of contents: repeated ones, the title and noise go; numbered, chapter and known ones stay."""
-    low = F.lower(F.trim("title"))
-    repeats = F.count("*").over(Window.partitionBy(key, low))  # headings, not lines
-    kept = headings.withColumn("__n", repeats).where((F.col("__n") < RUNNING) & ~low.isin(*NOISE)).drop("__n")
-    if paper_title is not None:
-        kept = kept.where(~X.similar_titles("title", paper_title))
-    title = F.col("title")
-    wanted = title.rlike(NUMBERED) | title.rlike(CHAPTER) | is_known(title)
-    chapter = F.trim(F.concat_ws(" ", F.regexp_extract(title, CHAPTER, 1), F.regexp_extract(title, CHAPTER, 2)))
-    clean = F.when(title.rlike(CHAPTER), F.when(chapter.rlike("^\\d+$"), F.concat(F.lit("Chapter "), chapter)).otherwise(chapter)).otherwise(title)
-    return kept.where(wanted).select(key, "line", infer_level(title, F.lit(1)).alias("level"), clean.alias("title"))
-
-
 def section_bounds(headings: DataFrame, key: str, real: Column, last_line: Column) -> DataFrame:
     """Each heading's section: up to the line before the next real heading, or the document's last."""
     after = Window.partitionBy(key).orderBy("line").rowsBetween(1, Window.unboundedFollowing)

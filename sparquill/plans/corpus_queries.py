@@ -11,6 +11,7 @@ from sparquill.operators import audit as A
 from sparquill.operators import exports as E
 from sparquill.operators import headings as H
 from sparquill.operators import identity as I
+from sparquill.operators import structure as S
 from sparquill.operators import usage as U
 from sparquill.operators import workspace as W
 from sparquill.plans.registry import query
@@ -439,7 +440,15 @@ def running_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM h WHERE regexp_matches(title, '^\\d+(\\.\\d+)*\\.?\\s')
 """)
 def rule_toc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.toc(H.markdown_headings(_markdown(spark, sf_dir), "doc_id", "md"), "doc_id")
+    return S.toc(S.merged_headings(_markdown(spark, sf_dir), "doc_id", "md"), "doc_id")
+
+
+@query()
+def page_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings of whole pages: their h tags as layout files give them, and plain lines that read like headings."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("html", "<[^>]*>", "\n").alias("text"), F.expr("regexp_extract_all(html, '(?i)<h([1-6])[^>]*>[^<]+</', 1)").alias("levels"), F.expr("regexp_extract_all(html, '(?i)<h[1-6][^>]*>([^<]+)</', 1)").alias("titles"))
+    layout = pages.select("page_id", F.explode(F.arrays_zip("levels", "titles")).alias("h")).select("page_id", F.col("h.titles").alias("text"), F.col("h.levels").cast("int").alias("level"))
+    return S.merged_headings(pages.select("page_id", "text"), "page_id", "text", layout)
 
 
 @query(_LINES + "SELECT doc_id, CAST(line AS INTEGER) AS line, 'Fig. 1 shown more' AS caption FROM l WHERE s = 'Fig. 1 shown'")

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparquill.operators import headings as H
+from sparquill.operators import structure as S
 from sparquill.operators import nodes as N
 from sparquill.sources import sinks
 from sparquill.streaming import incremental as inc
@@ -83,7 +84,7 @@ def test_headings(spark):
     df = spark.createDataFrame([(1, md)], "d int, t string")
     h = H.markdown_headings(df, "d", "t")
     assert [(r.line, r.level) for r in h.orderBy("line").collect()] == [(1, 1), (3, 2), (5, 3), (7, 2), (9, 2), (10, 2), (15, 2)]
-    toc = [(r.level, r.title) for r in H.toc(h, "d", F.lit("Title")).orderBy("line").collect()]
+    toc = [(r.level, r.title) for r in S.toc(h, "d", F.lit("Title")).orderBy("line").collect()]
     assert toc == [(1, "1 Introduction"), (2, "1.2 Scope"), (1, "3 Results"), (1, "Conclusion")]
     assert [r.title for r in H.running_headers(df, "d", "t").collect()] == ["run"]
     repeated = spark.createDataFrame([(1, "## Run\nrun\nrun\n## run\n# RUN \n## Once\nline\nline\nline"), (2, None)], "d int, t string")
