@@ -184,6 +184,14 @@ def grams(col: ColumnLike) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.transform(lengths(i), lambda n: c.substr(i, n)))))
 
 
+def substrings(col: ColumnLike, lengths: ColumnLike) -> Column:
+    """The distinct substrings of a text with one of the lengths of an array, each over 0."""
+    c = _c(col)
+    starts = lambda n: F.sequence(F.lit(1), F.length(c) - n + 1)
+    fitting = F.filter(_c(lengths), lambda n: n <= F.length(c))
+    return F.array_distinct(F.flatten(F.transform(fitting, lambda n: F.transform(starts(n), lambda i: c.substr(i, n)))))
+
+
 def inverted_to_text(col: ColumnLike) -> Column:
     """map<word, array<position>> to the text it indexes."""
     entries = F.map_entries(_c(col))

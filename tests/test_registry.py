@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparquill.functions import text as X
 from sparquill.operators import identity, nodes
@@ -48,3 +49,34 @@ def test_citations_meet_names_that_hold_the_surname(spark):
 def test_grams(spark):
     row = spark.createDataFrame([("abcab",)], "t string").select(X.grams("t").alias("g")).first()
     assert sorted(row.g) == sorted({"abcab"[i : i + n] for i in range(5) for n in range(1, 5) if i + n <= 5})
+
+
+def test_surnames_of_any_length_meet_all_papers_of_a_name(spark):
+    """Surnames of one character to more than the join's key, papers that share their authors, characters beyond two bytes."""
+    long = "Abcdefghij-klmnopqrst-uvwxyz"
+    rows = [(i, "Smith, C; Li, B", "2020") for i in range(5)] + [(9, f"{long}-Smith, A", "2020"), (10, f"{long[:-1]}q, B", "2020"), (11, "𝒳yz, É", "2020"), (12, "Li", None)]
+    papers = spark.createDataFrame(rows, "id long, authors string, year string")
+    cites = spark.createDataFrame([(a, "2020") for a in ("S", "Smith & Doe", "smith", long, long[:24], "𝒳y", "É", "Li, B")] + [("Li", None)], "author string, year string")
+    got = {(r.author, r.year): r.n_matches for r in check_citations(cites, papers).collect()}
+    assert got == {("S", "2020"): 7, ("Smith & Doe", "2020"): 6, ("smith", "2020"): 6, (long, "2020"): 1, (long[:24], "2020"): 2, ("𝒳y", "2020"): 1, ("É", "2020"): 1, ("Li, B", "2020"): 5, ("Li", None): 0}
+    assert check_citations(cites.limit(0), papers).count() == 0
+
+
+def test_substrings_of_names_are_not_broadcast(spark, tmp_path):
+    """Papers that are small as a file aren't once their substrings are listed."""
+    papers = spark.range(20_000).select("id", F.concat(F.md5(F.col("id").cast("string")), F.lit("x" * 40)).alias("authors"), F.lit("2020").alias("year"))
+    papers.write.parquet(f"file://{tmp_path}/papers")
+    papers = spark.read.parquet(f"file://{tmp_path}/papers")
+    cites = papers.select(F.substring("authors", 1, 12).alias("author"), "year").distinct()
+    found = check_citations(cites, papers)
+    assert found.agg(F.min("n_matches")).first()[0] == 1
+
+    def check(plan, above):
+        """Substrings are summed before they meet a join."""
+        name = plan.nodeName()
+        assert name != "Generate" or above == "Aggregate"
+        children = plan.children()
+        for i in range(children.length()):
+            check(children.apply(i), name if name in ("Join", "Aggregate") else above)
+
+    check(found._jdf.queryExecution().optimizedPlan(), "")
