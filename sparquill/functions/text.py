@@ -192,6 +192,22 @@ def substrings(col: ColumnLike, lengths: ColumnLike) -> Column:
     return F.array_distinct(F.flatten(F.transform(fitting, lambda n: F.transform(starts(n), lambda i: c.substr(i, n)))))
 
 
+def text_to_inverted(col: ColumnLike) -> Column:
+    """map<word, array<position>> of the words between single blanks; inverted_to_text reads it back."""
+
+    def ends(placed: Column) -> Column:
+        # equal words stand together once sorted, by position
+        numbered = F.transform(placed, lambda x, i: F.struct(x["w"].alias("w"), (i + 1).alias("end")))
+        return F.filter(numbered, lambda x: (x["end"] == F.size(placed)) | (F.try_element_at(placed, x["end"] + 1)["w"] != x["w"]))
+
+    def entries(placed: Column, v: Column) -> Column:
+        start = lambda i: F.when(i == 0, F.lit(1)).otherwise(F.try_element_at(v, i)["end"] + 1)
+        return F.map_from_entries(F.transform(v, lambda x, i: F.struct(x["w"], F.transform(F.slice(placed, start(i), x["end"] - start(i) + 1), lambda p: p["p"]))))
+
+    words = F.transform(F.split(_c(col), " "), lambda w, i: F.struct(w.alias("w"), i.alias("p")))
+    return bound(F.sort_array(words), lambda placed: bound(ends(placed), lambda v: entries(placed, v)))
+
+
 def inverted_to_text(col: ColumnLike) -> Column:
     """map<word, array<position>> to the text it indexes."""
     entries = F.map_entries(_c(col))

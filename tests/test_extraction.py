@@ -180,3 +180,21 @@ def test_conditions_reach_the_paged_reader(spark, tmp_path):
     assert list(reader.pushFilters([GreaterThanOrEqual(("publication_year",), 2020), *rest, LessThan(("cited_by_count",), 5)])) == rest
     assert reader.asked == "publication_year:>2019,cited_by_count:<5"
     assert [w[0] for part in reader.partitions() for w in reader.read(part)] == ["W3", "W4"]
+
+
+def test_texts_are_inverted_where_they_are(spark, tmp_path):
+    """Null, empty and blank texts, repeated ids and words; no text is taken apart over a shuffle."""
+    from compare import compare
+
+    from sparquill.functions import text as X
+    from sparquill.plans.corpus_queries import inverted_abstract
+    from sparquill.plans.registry import ORACLE
+
+    texts = ["b a b", "", " ", None, "  x  x ", "a\nb é 深", "b a b", " ".join(f"w{i % 97}" for i in range(3000))]
+    docs = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    assert docs.select(X.text_to_inverted("text")).first()[0] == {"a": [1], "b": [0, 2]}
+    docs.write.parquet(f"file://{tmp_path}/made")
+    next((tmp_path / "made").glob("part-*.parquet")).rename(tmp_path / "documents.parquet")
+    found = inverted_abstract(spark, f"{tmp_path}")
+    assert compare(found, ORACLE["inverted_abstract"], str(tmp_path)) == []
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
