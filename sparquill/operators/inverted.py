@@ -1,7 +1,7 @@
 """A stored inverted index: postings in folders by token hash, kept up batch by batch.
 
 Under one folder lie
-* forward: a row per node with its digest, length and term counts, in buckets by node;
+* forward: a row per node with its digest, length and terms, joined by blanks, in buckets by node;
 * postings: (token, node_id, f, dl, batch) in folders by token hash. A batch appends what it
   changes: a node's new counts, and a row with f 0 for each term it lost. Of a token and node the
   row of the latest batch holds;
@@ -36,53 +36,75 @@ def _bucket(token: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
 
 
-def _forward(nodes: DataFrame) -> DataFrame:
-    """node_id, content_hash, dl and counts, an array of (token, f)."""
+def _counted(nodes: DataFrame) -> DataFrame:
+    """nodes with dl, terms, joined by blanks, which no term holds, and f, their counts."""
 
-    def counts(terms: Column) -> Column:
+    def ends(terms: Column) -> Column:
         # equal terms stand together once sorted: the place of the last, less that of the one before, is the count
         placed = F.transform(terms, lambda t, i: F.struct(t.alias("token"), (i + 1).alias("end")))
-        ends = F.filter(placed, lambda x: (x["end"] == F.size(terms)) | (F.try_element_at(terms, x["end"] + 1) != x["token"]))
-        return X.bound(ends, lambda v: F.transform(v, lambda x, i: F.struct(x["token"].alias("token"), (x["end"] - F.when(i == 0, F.lit(0)).otherwise(F.try_element_at(v, i)["end"])).alias("f"))))
+        return F.filter(placed, lambda x: (x["end"] == F.size(terms)) | (F.try_element_at(terms, x["end"] + 1) != x["token"]))
 
-    counted = X.bound(F.array_sort(X.index_terms("content")), lambda terms: F.struct(F.size(terms).alias("dl"), counts(terms).alias("counts")))
-    return nodes.select("node_id", X.short_hash("content").alias("content_hash"), counted.alias("n")).select("node_id", "content_hash", "n.dl", "n.counts")
+    def counts(v: Column) -> Column:
+        f = F.transform(v, lambda x, i: (x["end"] - F.when(i == 0, F.lit(0)).otherwise(F.try_element_at(v, i)["end"])).cast("int"))
+        return F.struct(F.array_join(F.transform(v, lambda x: x["token"]), " ").alias("terms"), f.alias("f"))
+
+    counted = X.bound(F.sort_array(X.index_terms("content")), lambda terms: F.struct(F.size(terms).alias("dl"), X.bound(ends(terms), counts).alias("c")))
+    return nodes.withColumn("__n", counted).select(*[c for c in nodes.columns if c != "content"], "__n.dl", "__n.c.terms", "__n.c.f")
+
+
+def _terms(column: str) -> Column:
+    return F.filter(F.split(column, " "), lambda t: t != "")
 
 
 def update(nodes: DataFrame, path: str, batch: int, buckets: int = BUCKETS, keep_missing: bool = True) -> int:
-    """Index nodes (node_id, content) that are new or changed; gives how many changed. keep_missing False takes out those not among nodes."""
+    """Index nodes (node_id, content) that are new or changed; gives how many changed. keep_missing False takes out those not among nodes.
+
+    Contents are shuffled once, by node, to meet their digests; terms are counted of changed nodes alone.
+    """
     spark = nodes.sparkSession
     forward, postings = f"{path}/forward", f"{path}/postings"
-    now = _forward(nodes.where("node_id is not null").dropDuplicates(["node_id", "content"]))
-    now = stored(now.groupBy("node_id").agg(F.min_by(F.struct("content_hash", "dl", "counts"), "content_hash").alias("n")).select("node_id", "n.*"), "index-batch")
+    told = nodes.where("node_id is not null").select("node_id", "content", X.short_hash("content").alias("content_hash")).repartition("node_id")
+    now = told.groupBy("node_id").agg(F.min("content_hash").alias("content_hash"), F.min_by("content", "content_hash").alias("content"))
     had = sinks.read_buckets(spark, forward, buckets) if sinks.exists(spark, forward) else None
-    new, gone = now, None
-    if had is not None:
-        # nodes of this batch only, in their buckets
-        ids = sorted(r[0] for r in now.select(sinks.bucket_of("node_id", buckets)).distinct().collect())
-        near = had.where(F.col(f"bucket_{buckets}").isin(ids)) if keep_missing else had
-        new = stored(sinks.changed(now, near, "node_id"), "index-new")
-        old = near.join(new.select("node_id"), "node_id", "left_semi")
+    gone = lost = None
+    if had is None:
+        new = stored(_counted(now.withColumn("known", F.lit(False))), "index-new")
+    else:
+        near = had
+        if keep_missing:
+            # nodes of this batch only, in their buckets
+            ids = sorted(r[0] for r in nodes.where("node_id is not null").select(sinks.bucket_of("node_id", buckets)).distinct().collect())
+            near = had.where(F.col(f"bucket_{buckets}").isin(ids))
+        digests = near.select("node_id", F.col("content_hash").alias("had_hash"))
+        differs = now.join(digests, "node_id", "left").where(~F.col("had_hash").eqNullSafe(F.col("content_hash")))
+        new = stored(_counted(differs.withColumn("known", F.col("had_hash").isNotNull()).drop("had_hash")), "index-new")
         if not keep_missing:
-            gone = stored(had.select("node_id", "dl", "counts").join(now.select("node_id"), "node_id", "left_anti"), "index-gone")
-            old = old.select("node_id", "dl", "counts").unionByName(gone)
-        old = stored(old.select("node_id", "dl", "counts"), "index-old")
+            gone = stored(had.select("node_id", "dl", "terms").join(nodes.select("node_id"), "node_id", "left_anti"), "index-gone")
+        known = new.where("known").select("node_id", F.col("terms").alias("new_terms"))
+        replaced = sorted(r[0] for r in known.select(sinks.bucket_of("node_id", buckets)).distinct().collect())
+        if replaced:
+            old = near.where(F.col(f"bucket_{buckets}").isin(replaced)).select("node_id", "dl", "terms").join(known, "node_id")
+            lost = old.select("node_id", "dl", F.array_except(_terms("terms"), _terms("new_terms")).alias("out"))
+        if gone is not None:
+            out = gone.select("node_id", "dl", _terms("terms").alias("out"))
+            lost = out if lost is None else lost.unionByName(out)
+        lost = lost if lost is None else stored(lost, "index-lost")
     changed = new.count() + (gone.count() if gone is not None else 0)
     if not changed:
         return 0
-    listed = lambda df: df.select("node_id", "dl", F.explode("counts").alias("c")).select("c.token", "node_id", F.col("c.f").cast("int").alias("f"), "dl")
-    rows = listed(new)
+    listed = new.select("node_id", "dl", F.explode(F.arrays_zip(_terms("terms").alias("token"), F.col("f"))).alias("c"))
+    rows = listed.select("c.token", "node_id", "c.f", "dl")
     grown = new.agg(F.count("*").alias("nodes"), F.coalesce(F.sum("dl"), F.lit(0)).alias("terms"))
-    if had is not None:
-        lost = listed(old).select("token", "node_id").join(rows.select("token", "node_id"), ["token", "node_id"], "left_anti")
-        rows = rows.unionByName(lost.select("token", "node_id", F.lit(0).alias("f"), F.lit(0).alias("dl")))
-        less = old.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("t"))
+    if lost is not None:
+        rows = rows.unionByName(lost.select(F.explode("out").alias("token"), "node_id", F.lit(0).alias("f"), F.lit(0).alias("dl")))
+        less = lost.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("t"))
         grown = grown.crossJoin(less).select((F.col("nodes") - F.col("n")).alias("nodes"), (F.col("terms") - F.col("t")).alias("terms"))  # a row each
     # sorted by token, so that row groups are passed over too
-    rows = rows.withColumns({"batch": F.lit(batch).cast("long"), "bucket": _bucket("token", buckets)}).repartition("bucket", F.pmod(F.xxhash64("node_id"), F.lit(8))).sortWithinPartitions("bucket", "token")
+    rows = rows.repartition(_bucket("token", buckets), F.pmod(F.xxhash64("node_id"), F.lit(8)))
+    rows = rows.withColumns({"batch": F.lit(batch).cast("long"), "bucket": _bucket("token", buckets)}).sortWithinPartitions("bucket", "token")
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(postings)
     grown.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{path}/totals")
-    sinks.upsert_buckets(new, forward, "node_id", batch=batch, buckets=buckets, gone=gone)
+    sinks.upsert_buckets(new.drop("known", "f"), forward, "node_id", batch=batch, buckets=buckets, gone=gone, distinct=True)
     return changed
 
 

@@ -71,17 +71,20 @@ def read_buckets(spark: SparkSession, path: str, buckets: int = BUCKETS) -> Data
     return found
 
 
-def upsert_buckets(incoming: DataFrame, path: str, key: str = "paper_id", digest: str = "content_hash", batch: int = 0, buckets: int = BUCKETS, gone: DataFrame | None = None) -> int:
-    """Upsert rows into a table in folders by hash of the key; only folders with changed rows are read whole and written. Gives how many.
+def upsert_buckets(incoming: DataFrame, path: str, key: str = "paper_id", digest: str = "content_hash", batch: int = 0, buckets: int = BUCKETS, gone: DataFrame | None = None, distinct: bool = False) -> int:
+    """Upsert rows into a table in folders by hash of the key; a batch whose keys are all new is appended, else folders with changed rows are read whole and written. Gives how many folders.
 
     Rows whose digest is stored are skipped, so that a batch that comes again writes nothing;
     rows that are written carry the batch's number. gone (key) names rows to take out. Null
-    keys are dropped, of a repeated key the row with the least digest counts. The number of buckets
+    keys are dropped, of a repeated key the row with the least digest counts; distinct says that there
+    are none of either, and that incoming is a stored table. The number of buckets
     belongs to the table: choose it so that a bucket fits a few tasks.
     """
     spark, name = incoming.sparkSession, f"bucket_{buckets}"
-    first = Window.partitionBy(key).orderBy(digest)
-    rows = incoming.where(F.col(key).isNotNull()).withColumn("__rn", F.row_number().over(first)).where("__rn = 1").drop("__rn")
+    rows = incoming
+    if not distinct:
+        first = Window.partitionBy(key).orderBy(digest)
+        rows = incoming.where(F.col(key).isNotNull()).withColumn("__rn", F.row_number().over(first)).where("__rn = 1").drop("__rn")
     rows = rows.withColumns({"batch": F.lit(batch).cast("long"), name: bucket_of(key, buckets)})
     if not exists(spark, path):
         rows.repartition(name).write.partitionBy(name).parquet(path)
@@ -89,19 +92,26 @@ def upsert_buckets(incoming: DataFrame, path: str, key: str = "paper_id", digest
     table = read_buckets(spark, path, buckets)
     # at most `buckets` numbers each
     numbers = lambda df: sorted(r[0] for r in df.select(name).distinct().collect())
-    rows = stored(rows, "upsert-batch")
+    rows = rows if distinct else stored(rows, "upsert-batch")
     out = stored(gone.select(F.col(key)).distinct().withColumn(name, bucket_of(key, buckets)), "upsert-gone") if gone is not None else None
     near = table.where(F.col(name).isin(numbers(rows)))
-    new = stored(changed(rows, near, key, digest), "upsert-new")
+    met = stored(rows.select(key, name, digest).join(near.select(key, F.col(digest).alias("__had")), key), "upsert-met")  # keys that the table has
+    same = met.where(F.col("__had") == F.col(digest)).select(key)
+    new = rows.join(same, key, "left_anti") if not same.isEmpty() else rows
     touched = set(numbers(new))
+    rewritten = set(numbers(met.join(same, key, "left_anti")))
     if out is not None:
         old = table.where(F.col(name).isin(numbers(out))).select(key, name)
-        touched |= set(numbers(old.join(out.select(key), key, "left_semi")))
+        rewritten |= set(numbers(old.join(out.select(key), key, "left_semi")))
+    touched |= rewritten
     if not touched:
         return 0
-    rest = table.where(F.col(name).isin(sorted(touched))).join(new.select(key), key, "left_anti")
-    if out is not None:
-        rest = rest.join(out.select(key), key, "left_anti")
+    # one write in either case, so that a batch is there or isn't
+    if not rewritten:
+        new.select(*table.columns).repartition(name).write.mode("append").partitionBy(name).parquet(path)
+        return len(touched)
+    going = new.select(key) if out is None else new.select(key).unionByName(out.select(key))
+    rest = table.where(F.col(name).isin(sorted(touched))).join(going, key, "left_anti")
     merged = stored(rest.unionByName(new.select(*table.columns)), "upsert-merged")
     empty = touched - set(numbers(merged))
     merged.repartition(name).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(name).parquet(path)

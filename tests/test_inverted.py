@@ -93,6 +93,18 @@ def test_a_failed_batch_runs_again(spark, tmp_path, monkeypatch):
     assert _got(spark, path, terms) == _want(spark, {1: "two three", 2: "two", 3: "three"}, terms)
 
 
+def test_new_nodes_are_appended(spark, tmp_path):
+    """Nothing that is stored is written again for a batch of new nodes, and nodes that come again unchanged write nothing."""
+    path, kind = f"file://{tmp_path}/i", "node_id long, content string"
+    nodes = {i: f"w{i % 7} common w{i % 3}" for i in range(90)}
+    inverted.update(spark.createDataFrame([(i, nodes[i]) for i in range(60)], kind), path, 0)
+    before = _files(tmp_path / "i")
+    assert inverted.update(spark.createDataFrame([*nodes.items(), (3, nodes[3]), (None, "w1")], kind), path, 1) == 30
+    after = _files(tmp_path / "i")
+    assert {f: after.get(f) for f in before} == before
+    assert _got(spark, path, ["w1", "common", "w2"]) == _want(spark, nodes, ["w1", "common", "w2"])
+
+
 def test_a_search_reads_its_terms_folders_only(spark, tmp_path):
     path = f"file://{tmp_path}/i"
     inverted.update(spark.createDataFrame([(i, f"word{i} common") for i in range(200)], "node_id long, content string"), path, 0)
