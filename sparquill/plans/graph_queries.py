@@ -10,9 +10,15 @@ from sparquill.plans.registry import query
 from sparquill.session import table
 
 
+#: At least so many tasks hold the edges by source, so that a task's share stays small; Spark coalesces what has no number.
+LEAST_PARTS = 200
+
+
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("source_id"), F.col("l_partkey").cast("string").alias("target_key"), F.col("l_partkey").alias("target_id"))
-    return lines.distinct()
+    """Distinct edges, dealt by source once: duplicates go and scopes are met where they lie. Keys are made of distinct pairs."""
+    parts = max(LEAST_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("source_id"), F.col("l_partkey").alias("target_id"))
+    return lines.repartition(parts, "source_id").distinct().select("source_id", F.col("target_id").cast("string").alias("target_key"), "target_id")
 
 
 def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -160,3 +160,17 @@ def test_silo_stream(spark, tmp_path):
     spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "doi string, n int").write.parquet(src)
     inc.silo_stream(spark.readStream.schema("doi string, n int").parquet(src), out, f"file://{tmp_path}/ck", ["doi"]).awaitTermination()
     assert sorted(r.doi for r in spark.read.parquet(out).collect()) == ["a", "b"]
+
+
+def test_edges_of_a_source_lie_together(spark, tmp_path):
+    """Distinct edges, in many small parts by source, so that a scope is met and sources are counted where they lie."""
+    from sparquill.plans import graph_queries
+
+    rows = [(i % 50, i % 7) for i in range(3000)] + [(None, 1), (None, 1)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long").write.parquet(f"file://{tmp_path}/lineitem.parquet")
+    edges = graph_queries._edges(spark, f"file://{tmp_path}")
+    got = [tuple(r) for r in edges.collect()]
+    assert len(got) == len(set(got)) and set(got) == {(s, str(t), t) for s, t in rows}
+    assert edges.rdd.getNumPartitions() >= graph_queries.LEAST_PARTS
+    spread = edges.withColumn("part", F.spark_partition_id()).groupBy("source_id").agg(F.countDistinct("part").alias("n"))
+    assert {r.n for r in spread.collect()} == {1}
