@@ -33,9 +33,12 @@ keep_one(docs) filters documents. Three bits are few for texts of a similarity o
   key for each bucket with two hashes or more, or fewer where it is too small for that.
   Two such sets then share a number of keys that each of them knows, wherever the edits
   are (set_keys).
-* Under every key a text is verified against its nearest of other components; then
-  whatever pairs are still apart, not yet verified and share the keys they must are
-  verified, all of them. Only texts in such pairs are read again for their sets.
+* A text's keys are put in one order of all keys, rarest first. A pair is a candidate under
+  the first key that it shares and not under every one: only where each text has as many
+  keys left as the two must share, and where none of the keys just before is shared too.
+* Under a key a text is verified against its nearest of other components; then whatever
+  pairs are still apart and not yet verified are verified, all of them. Only texts in such
+  pairs are read again for their sets.
 
 Defined results: a text without words (null and empty too) has fingerprint zero and
 is linked like any other; repeated rows and null ids give a row each, a null id
@@ -72,6 +75,8 @@ SIMILARITY, WORDS = 0.8, 5
 #: How many nearest texts of other classes a text is verified against at first, under every key; the rest
 #: follows where classes stay apart, so this decides cost, never results.
 NEAREST = 2
+#: How many of the keys ahead of it each of a text's keys knows; pairs that share one of them met there. Decides cost, never results.
+BEFORE = 16
 #: 64-bit words of a set's parities.
 SKETCH = 8
 #: Least sizes of the classes of set size, each twice the one before, and the mean content of a bucket at the top of a class.
@@ -82,6 +87,7 @@ DENSE, PART = 8192, 2048
 LARGE_KEY = 1 << 16
 _AT_ONCE = 1 << 16
 _PARITIES = [f"p{i}" for i in range(SKETCH)]
+_BEFORE = [f"b{i}" for i in range(BEFORE)]
 
 
 def fingerprint(raw: bytes, size: int = SHINGLE) -> int:
@@ -320,14 +326,18 @@ def link(distinct: DataFrame, radius: int = RADIUS, sample_size: int = SAMPLE, h
 # --- verified similarity, beyond the radius of the fingerprints
 
 
-def _met(group: np.ndarray, fp: np.ndarray, other: np.ndarray, root: np.ndarray, told: np.ndarray, radius: int, other_radius: int, nearest: int) -> np.ndarray:
+def _met(group: np.ndarray, fp: np.ndarray, other: np.ndarray, root: np.ndarray, told: np.ndarray, radius: int, other_radius: int, nearest: int, may=None) -> np.ndarray:
     """Positions (i, j), i < j: each row with its nearest rows of other roots in its group, if both fingerprints are near.
 
-    With a small `nearest`, pairs grow with rows, however dense a group is.
+    With a small `nearest`, pairs grow with rows, however dense a group is; 0 stands for all. may(i, j) tells which pairs to keep.
     """
     far = BITS * 4
     found: list[np.ndarray] = []
 
+    def kept(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        pairs = np.stack([i, j])
+        return pairs if may is None else pairs[:, may(i, j)]
+
     def distance(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         by_word, by_shingle = np.bitwise_count(fp[i] ^ fp[j]), np.bitwise_count(other[i] ^ other[j])
         out = by_word.astype(np.int16) + by_shingle
@@ -346,27 +356,29 @@ def _met(group: np.ndarray, fp: np.ndarray, other: np.ndarray, root: np.ndarray,
         d = distance(at, at + step)
         near = d < far
         i, j, d = at[near], at[near] + step, d[near]
-        found += [np.stack([i, d, j]), np.stack([j, d, i])]
-    if found:  # the nearest few of each row
+        found += [np.stack([i, d, j]), np.stack([j, d, i])] if nearest else [kept(i, j)]
+    if found and nearest:  # the nearest few of each row
         i, d, j = np.concatenate(found, axis=1)
         order = np.lexsort((told[j], d, i))
         i, j = i[order], j[order]
         new = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
         place = np.arange(len(i)) - np.repeat(new, np.diff(np.r_[new, len(i)]))
-        found = [np.stack([i[place < nearest], j[place < nearest]])]
+        found = [kept(i[place < nearest], j[place < nearest])]
     for s, n in zip(starts[sizes > 48].tolist(), sizes[sizes > 48].tolist(), strict=True):
         columns = s + np.argsort(told[s : s + n], kind="stable")  # so that ties go to the smaller
-        for at in range(s, s + n, 128):
-            rows = np.arange(at, min(at + 128, s + n))
-            d = distance(rows[:, None], columns[None, :])
-            if nearest >= n:
-                i, j = np.nonzero(d < far)
-                found.append(np.stack([rows[i], columns[j]]))
+        for at in range(0, n, 128):
+            if not nearest:
+                rows, rest = columns[at : at + 128], columns[at + 1 :]
+                i, j = np.nonzero(distance(rows[:, None], rest[None, :]) < far)
+                once = j >= i
+                found.append(kept(rows[i[once]], rest[j[once]]))
                 continue
+            rows = np.arange(s + at, min(s + at + 128, s + n))
+            d = distance(rows[:, None], columns[None, :])
             for _ in range(nearest):
                 best = d.argmin(axis=1)
                 near = d[np.arange(len(rows)), best] < far
-                found.append(np.stack([rows[near], columns[best[near]]]))
+                found.append(kept(rows[near], columns[best[near]]))
                 d[np.arange(len(rows)), best] = far
     if not found:
         return np.empty((2, 0), np.int64)
@@ -510,6 +522,33 @@ def may_be_similar(n: np.ndarray, sketch: np.ndarray, x: np.ndarray, y: np.ndarr
     return out
 
 
+def may_meet_first(left: np.ndarray, least: np.ndarray, before: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Under one key, which pairs of rows x, y share none of the keys before it (columns of before) and may share as many from here on as they must.
+
+    Two texts that share so many have that many left at the first key they share, and there nothing before is shared.
+    """
+    out = np.minimum(left[x], left[y]) >= np.minimum(least[x], least[y])
+    for at in range(0, len(out), _AT_ONCE):
+        own = at + np.flatnonzero(out[at : at + _AT_ONCE])
+        one, two = before[:, x[own]], before[:, y[own]]
+        for shift in range(len(before)):
+            out[own] &= ~(one == np.roll(two, shift, axis=0)).any(axis=0)
+    return out
+
+
+def in_order(grouped: DataFrame) -> DataFrame:
+    """The rows (key, told, keys, root, ...) of keys that several roots have, in one order of all keys in each text, rarest first.
+
+    `left` counts the text's keys from here on; _BEFORE are the keys just before it, or else the text's own
+    number, which no other text has.
+    """
+    several = grouped.groupBy("key").agg(F.count("*").alias("rows"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    from_last = Window.partitionBy("told").orderBy(F.desc("rows"), F.desc("key"))
+    left = F.sum("keys").over(from_last.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    before = {name: F.coalesce(F.lead("key", i).over(from_last), "told") for i, name in enumerate(_BEFORE, 1)}
+    return grouped.join(several.select("key", "rows"), "key").withColumns({"left": left} | before).drop("rows", "keys")
+
+
 def _keys_of(similarity: float, words: int, most: int = 200_000):
     """mapInArrow over (told, t): (key, told); within a task a text gives its keys once."""
 
@@ -533,11 +572,11 @@ def _keys_of(similarity: float, words: int, most: int = 200_000):
     return run
 
 
-def _pairs(grouped: DataFrame, similarity: float, nearest: int) -> DataFrame:
-    """(a, b, x, y): pairs of roots and texts, from (key, told, keys, root, fp, n, least, parities) rows.
+def pairs_met(grouped: DataFrame, similarity: float, nearest: int) -> DataFrame:
+    """(a, b, x, y): pairs of roots and texts, from the rows of in_order; a pair is seldom found twice.
 
     With `nearest`, each text and the nearest of its part of a key; without, all pairs of different
-    roots that share as many keys as they must, large keys being dealt as pairs of chunks.
+    roots that may share as many keys as they must, large keys being dealt as pairs of chunks.
     """
     per_key = grouped.groupBy("key").agg(F.count("*").alias("rows"), F.min("root").alias("least_root"), F.max("root").alias("most_root")).where("least_root <> most_root")
     parts = F.ceil(F.col("rows") / F.lit(float(DENSE))) if nearest else F.ceil(F.sqrt(F.col("rows") / F.lit(float(PART))))
@@ -547,23 +586,25 @@ def _pairs(grouped: DataFrame, similarity: float, nearest: int) -> DataFrame:
     if not nearest:
         split = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
         unit = F.least("own", "other") * F.col("k") + F.greatest("own", "other")
-    dealt = split.select("key", unit.alias("unit"), F.lit(0).cast("long").alias("zero"), "fp", "root", "told", "keys", "n", "least", *_PARITIES)
+    dealt = split.select("key", unit.alias("unit"), F.lit(0).cast("long").alias("zero"), "fp", "root", "told", "n", "least", "left", *_PARITIES, *_BEFORE)
     dealt = dealt.repartition("key", "unit").sortWithinPartitions("key", "unit")
 
     def search(group: np.ndarray, c: list[np.ndarray]) -> np.ndarray:
-        root, told, keys, n, least = (x.view(np.int64) for x in c[1:6])
-        i, j = _met(group, c[0], c[0], root, told, BITS, BITS, nearest or len(group))
-        may = may_be_similar(n, np.stack(c[6:]), i, j, similarity)
-        i, j = i[may], j[may]
+        root, told, n, least, left = (x.view(np.int64) for x in c[1:6])
+        sketch, before = np.stack(c[6 : 6 + SKETCH]), np.stack(c[6 + SKETCH :])
+
+        def may(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            out = may_be_similar(n, sketch, i, j, similarity)
+            out[out] = may_meet_first(left, least, before, i[out], j[out])
+            return out
+
+        i, j = _met(group, c[0], c[0], root, told, BITS, BITS, nearest, may)
         turned = root[i] > root[j]
         i, j = np.where(turned, j, i), np.where(turned, i, j)
-        pairs, of = np.unique(np.stack([root[i], root[j], told[i], told[j], np.minimum(least[i], least[j])], axis=1), axis=0, return_inverse=True)
-        return np.c_[pairs, np.bincount(of.ravel(), weights=keys[i], minlength=len(pairs)).astype(np.int64)]
+        return np.unique(np.stack([root[i], root[j], told[i], told[j]], axis=1), axis=0)
 
-    names = ["a", "b", "x", "y", "least", "keys"]
-    met = dealt.mapInArrow(_in_groups(search, names), ", ".join(f"{c} long" for c in names))
-    found = met.groupBy("a", "b", "x", "y").agg(F.min("least").alias("least"), F.sum("keys").alias("keys"))
-    return (found if nearest else found.where("keys >= least")).select("a", "b", "x", "y")
+    names = ["a", "b", "x", "y"]
+    return dealt.mapInArrow(_in_groups(search, names), ", ".join(f"{c} long" for c in names))
 
 
 def similar_roots(members: DataFrame, texts: DataFrame, similarity: float, words: int, nearest: int = NEAREST) -> DataFrame:
@@ -571,19 +612,19 @@ def similar_roots(members: DataFrame, texts: DataFrame, similarity: float, words
 
     members: (told, first, root, fp, n, least, parities), a row for each distinct text, `first` a
     (none, doc_id, told) that has it; texts: (doc_id, told, t). Texts that share a key are candidates.
-    Each is first verified against its `nearest` of other classes under every key; of classes that
-    stay apart, every other pair that shares as many keys as it must follows.
+    Each is first verified against its `nearest` of other classes; of classes that stay apart, every
+    other pair that may share as many keys as it must follows.
     """
     groups = shared_keys(texts, similarity, words)
-    groups = store(groups.join(members.drop("first"), "told"), "similar-groups")
+    groups = store(in_order(groups.join(members.drop("first"), "told")), "similar-groups")
     places = members.select(F.col("first.doc_id").alias("doc_id"), "told")
 
-    first = store(_pairs(groups, similarity, nearest), "candidate-pairs")
+    first = store(pairs_met(groups, similarity, nearest).distinct(), "candidate-pairs")
     edges = _verified(first, texts, places, similarity, words)
     joined = store(components(edges).select(F.col("node").alias("root"), F.col("root").alias("whole")), "joined")
     moved = groups.join(joined, "root", "left").withColumn("root", F.coalesce("whole", "root")).drop("whole")
     had = first.select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"))
-    rest = _pairs(moved, similarity, 0).withColumns({"p": F.least("x", "y"), "q": F.greatest("x", "y")})
+    rest = pairs_met(moved, similarity, 0).distinct().withColumns({"p": F.least("x", "y"), "q": F.greatest("x", "y")})
     rest = store(rest.join(had, ["p", "q"], "left_anti").drop("p", "q"), "rest-pairs")
     # a class that the first round moved is named by its whole in the second
     edges = edges.unionByName(_verified(rest, texts, places, similarity, words))

@@ -371,3 +371,56 @@ def test_large_keys_give_the_groups_of_small_ones(spark):
         return sorted((sorted(t for t, _ in v), v[0][1]) for v in found.values())
 
     assert sets(1 << 16, 64) == sets(4, 1) == sets(40, 2) != []
+
+
+def test_candidates_grow_with_pairs_and_not_with_their_keys(spark, monkeypatch):
+    """Long texts of a family share hundreds of keys, in any number of tasks; a pair is a candidate a few times."""
+    rng = np.random.default_rng(6)
+    fresh = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    shared, rows = [fresh() for _ in range(1500)], []
+    for i in range(16):
+        words = list(shared)
+        for at in rng.choice(1500, 20 + i, replace=False):
+            words[at] = fresh()
+        rows.append((i, " ".join(words)))
+    made, inner = spark.sparkContext.accumulator(0), simhash._in_groups
+
+    def counting(search, names):
+        run = inner(search, names)
+
+        def counted(batches):
+            for b in run(batches):
+                made.add(b.num_rows)
+                yield b
+
+        return counted if len(names) > 3 else run
+
+    monkeypatch.setattr(simhash, "_in_groups", counting)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert kept == _survivors(rows)
+    assert 0 < made.value <= 3 * math.comb(len(rows), 2)
+
+
+@pytest.mark.parametrize("part", [2048, 4])
+def test_pairs_that_share_enough_keys_meet(spark, part, monkeypatch):
+    monkeypatch.setattr(simhash, "PART", part)
+    monkeypatch.setattr(simhash, "DENSE", part)
+    rng = np.random.default_rng(part)
+    keys = {t: set(rng.choice(120, int(rng.integers(1, 60)), replace=False).tolist()) for t in range(60)}
+    times = rng.integers(1, 4, 120).tolist()
+    least = {t: int(rng.integers(1, 30)) for t in keys}
+    root = {t: int(rng.integers(0, 20)) for t in keys}
+    columns = ["key", "told", "keys", "root", "fp", "n", "least", *simhash._PARITIES]
+    rows = [(1000 + k, t, times[k], root[t], t, 100, least[t], *[0] * simhash.SKETCH) for t, own in keys.items() for k in own]
+    ordered = simhash.in_order(spark.createDataFrame(rows, ", ".join(f"{c} long" for c in columns)))
+    found = {(min(r.x, r.y), max(r.x, r.y)) for r in simhash.pairs_met(ordered, 0.8, 0).collect()}
+    share = {(x, y): sum(times[k] for k in keys[x] & keys[y]) for x in keys for y in keys if x < y and root[x] != root[y]}
+    enough = {p for p, n in share.items() if n >= min(least[p[0]], least[p[1]])}
+    assert enough <= found <= {p for p, n in share.items() if n} and len(enough) > 100
