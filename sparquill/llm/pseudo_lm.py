@@ -118,28 +118,37 @@ def _softmax(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return picked - np.log(sums), x, sums
 
 
-def _by_class(ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(ids // WITHIN, kind="stable")
-    classes = (ids // WITHIN)[order]
-    starts = np.flatnonzero(np.r_[True, classes[1:] != classes[:-1]])
-    for s, e in zip(starts, np.r_[starts[1:], len(order)], strict=True):
-        yield int(classes[s]), order[s:e]
+def _by_class(ids: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """An order of the places in which those of a class stand together, and each class with its places there."""
+    classes = (ids // WITHIN).astype(np.uint8)
+    order = np.argsort(classes, kind="stable")
+    ends = np.cumsum(np.bincount(classes, minlength=CLASSES)).tolist()
+    return order, [(c, slice(s, e)) for c, (s, e) in enumerate(zip([0, *ends], ends, strict=False)) if s < e]
+
+
+def _within(net: Network, h: np.ndarray, parts: list[tuple[int, slice]], x: np.ndarray) -> np.ndarray:
+    """Each place's logits of the tokens of its class, in x; places stand by class."""
+    for c, own in parts:
+        np.matmul(h[own], net.within[c], out=x[own])
+        x[own] += net.within_bias[c]
+    return x
 
 
 def log_probabilities(net: Network, context: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """log p(id | window) of each place."""
-    if not len(ids):
-        return np.empty(0)
-    h = net.embed[context].reshape(len(ids), -1) @ net.into
-    h += net.bias
-    np.tanh(h, out=h)
-    x = h @ net.klass
-    x += net.klass_bias
-    out = _softmax(x, ids // WITHIN)[0].astype(np.float64)
-    for c, rows in _by_class(ids):
-        x = h[rows] @ net.within[c]
-        x += net.within_bias[c]
-        out[rows] += _softmax(x, ids[rows] % WITHIN)[0]
+    """log p(id | window) of each place; so many at a time that their arrays stay in a core's cache."""
+    out = np.empty(len(ids))
+    for at in range(0, len(ids), BATCH):
+        order, parts = _by_class(ids[at : at + BATCH])
+        order += at
+        own = ids[order]
+        h = np.take(net.embed, context[order], axis=0).reshape(len(own), -1) @ net.into
+        h += net.bias
+        np.tanh(h, out=h)
+        x = h @ net.klass
+        x += net.klass_bias
+        logs = _softmax(x, own // WITHIN)[0].astype(np.float64)
+        logs += _softmax(_within(net, h, parts, x), own % WITHIN)[0]
+        out[order] = logs
     return out
 
 
@@ -151,37 +160,55 @@ class Trainer:
         self.grad = Network(np.zeros_like(net.flat))
         self.square = np.full_like(net.flat, start)
         self.work = np.empty_like(net.flat)
+        self.held: dict[str, np.ndarray] = {}
+
+    def _array(self, name: str, *shape: int) -> np.ndarray:
+        """A working array that is kept from step to step, as fresh memory costs more than what is done in it."""
+        size = int(np.prod(shape))
+        if name not in self.held or len(self.held[name]) < size:
+            self.held[name] = np.empty(size, self.net.flat.dtype)
+        return self.held[name][:size].reshape(shape)
 
     def step(self, context: np.ndarray, ids: np.ndarray, weight: np.ndarray | None = None) -> float:
         """One step on a batch, of places that count `weight` times (once); gives the mean log-likelihood before it."""
         net, grad, n = self.net, self.grad, len(ids)
-        times = np.ones(n, np.float32) if weight is None else weight.astype(np.float32)
+        order, parts = _by_class(ids)
+        context, ids, at = context[order], ids[order], np.arange(n)
+        one = np.ones(n, net.flat.dtype)
+        times = np.ones(n, np.float32) if weight is None else weight[order].astype(np.float32)
         grad.flat[:] = 0.0
-        x = net.embed[context].reshape(n, -1)
-        h = np.tanh(x @ net.into + net.bias)
-        classes = ids // WITHIN
-        logs, d, sums = _softmax(h @ net.klass + net.klass_bias, classes)
-        total = logs @ times.astype(np.float64)
-        d /= -sums[:, None]
-        d[np.arange(n), classes] += 1.0
-        d *= times[:, None]
-        grad.klass[...], grad.klass_bias[...] = h.T @ d, d.sum(axis=0)
-        dh = d @ net.klass.T
-        for c, rows in _by_class(ids):
-            own, at = h[rows], ids[rows] % WITHIN
-            logs, d, sums = _softmax(own @ net.within[c] + net.within_bias[c], at)
-            total += logs @ times[rows].astype(np.float64)
-            d /= -sums[:, None]
-            d[np.arange(len(rows)), at] += 1.0
-            d *= times[rows][:, None]
-            grad.within[c], grad.within_bias[c] = own.T @ d, d.sum(axis=0)
-            dh[rows] += d @ net.within[c].T
-        dh *= 1.0 - h * h
+        x = np.take(net.embed, context, axis=0, out=self._array("x", n, 2 * REACH, EMBEDDING), mode="clip").reshape(n, -1)
+        h = np.matmul(x, net.into, out=self._array("h", n, HIDDEN))
+        h += net.bias
+        np.tanh(h, out=h)
+
+        def slopes(logits: np.ndarray, own: np.ndarray) -> tuple[float, np.ndarray]:
+            logs, d, sums = _softmax(logits, own)
+            d *= (-times / sums)[:, None]
+            d[at, own] += times
+            return float(logs @ times.astype(np.float64)), d
+
+        logits = np.matmul(h, net.klass, out=self._array("logits", n, CLASSES))
+        logits += net.klass_bias
+        total, d = slopes(logits, ids // WITHIN)
+        np.matmul(h.T, d, out=grad.klass)
+        np.matmul(one, d, out=grad.klass_bias)
+        dh = np.matmul(d, net.klass.T, out=self._array("dh", n, HIDDEN))
+        more, d = slopes(_within(net, h, parts, self._array("logits", n, WITHIN)), ids % WITHIN)
+        total += more
+        for c, own in parts:
+            part = d[own]
+            np.matmul(h[own].T, part, out=grad.within[c])
+            np.matmul(one[own], part, out=grad.within_bias[c])
+            dh[own] += part @ net.within[c].T
+        h *= h
+        np.subtract(1.0, h, out=h)
+        dh *= h
         grad.into[...], grad.bias[...] = x.T @ dh, dh.sum(axis=0)
-        dx = (dh @ net.into.T).reshape(-1, EMBEDDING)
-        flat = context.ravel()
+        dx = np.matmul(net.into, dh.T, out=self._array("dx", 2 * REACH * EMBEDDING, n)).reshape(2 * REACH, EMBEDDING, n)
+        flat = context.T.ravel()
         for j in range(EMBEDDING):
-            grad.embed[:, j] = np.bincount(flat, weights=dx[:, j], minlength=VOCABULARY + 1)
+            grad.embed[:, j] = np.bincount(flat, weights=dx[:, j].ravel(), minlength=VOCABULARY + 1)
         g, work = grad.flat, self.work
         g /= times.sum()
         np.multiply(g, g, out=work)

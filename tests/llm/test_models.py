@@ -332,3 +332,26 @@ def test_training_does_not_depend_on_the_layout(spark):
 def test_one_token_of_a_million_characters(spark):
     docs = spark.createDataFrame([(1, "x" * 1_000_000), (2, "x")], "doc_id long, text string")
     assert {r.doc_id: r.n_tokens for r in pseudo_lm.pseudo_likelihood(docs).collect()} == {1: 1, 2: 1}
+
+
+def test_a_training_step_takes_all_classes_at_once(monkeypatch):
+    """Softmax over tokens runs once a step and once a block of scores, not once a class."""
+    calls, inner = [], pseudo_lm._softmax
+    monkeypatch.setattr(pseudo_lm, "_softmax", lambda x, at: calls.append(len(x)) or inner(x, at))
+    ids = np.random.default_rng(3).integers(0, pseudo_lm.VOCABULARY, 500)
+    context = pseudo_lm.contexts(ids)
+    trainer = pseudo_lm.Trainer(pseudo_lm.Network.fresh(), 0.1)
+    for _ in range(2):
+        trainer.step(context, ids)
+    assert calls == [500] * 4
+    calls.clear()
+    long, around = np.tile(ids, 20), np.tile(context, (20, 1))
+    got = pseudo_lm.log_probabilities(trainer.net, around, long)
+    assert len(calls) == 2 * -(-len(long) // pseudo_lm.BATCH)
+    assert np.allclose(got[:500], pseudo_lm.log_probabilities(trainer.net, context, ids), rtol=1e-5)
+    one = pseudo_lm.Network(trainer.net.flat)
+    h = np.tanh(one.embed[context].reshape(500, -1) @ one.into + one.bias)
+    x, c = h @ one.klass + one.klass_bias, ids // pseudo_lm.WITHIN
+    y = np.einsum("nh,nhw->nw", h, one.within[c]) + one.within_bias[c]
+    want = sum(z[np.arange(500), at] - np.log(np.exp(z).sum(axis=1)) for z, at in ((x, c), (y, ids % pseudo_lm.WITHIN)))
+    assert np.allclose(got[:500], want, rtol=1e-4)
