@@ -5,9 +5,12 @@ after it, never from itself: embeddings of the window, one tanh layer, then a
 softmax in two steps, the token's class and the token within its class. The sum of
 the conditional log-probabilities is the document's score.
 
-* vocabulary: words of all documents are counted; the most frequent get numbers of
-  their own, the rest share hash buckets. A class holds tokens of neighbouring rank.
-* encode: a text becomes its tokens' numbers, 2 bytes each, once for training and scoring.
+* runs: every text is cut into tokens once. Some documents together hold their distinct
+  words, how often each occurs, and each token's place among those words.
+* vocabulary: words of all runs are counted; the most frequent get numbers of their
+  own, the rest share hash buckets. A class holds tokens of neighbouring rank.
+* encode: a text becomes its tokens' numbers, 2 bytes each, once for training and scoring;
+  numbers are looked up once for each distinct word of a run.
 * train: every document is dealt, by a hash of id and text, to a round and there to a
   trainer of about `docs_per_trainer` documents. Every token of every whole text is masked
   once. Numbers travel, and not texts. Each trainer, a group of its own, sorted by hash,
@@ -26,12 +29,12 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +51,8 @@ DOCS_PER_TRAINER, ROUNDS = 8000, 2
 #: Tokens of a step: at most, and so that a trainer makes about so many steps.
 BATCH, STEPS = 4096, 128
 BLOCK = 1 << 15
+#: Tokens after which a run of documents ends.
+RUN = 1 << 19
 _SLICE = 8192
 _FAN = 64
 
@@ -63,10 +68,8 @@ def _shapes() -> list[tuple[str, tuple[int, ...]]]:
         ("embed", (VOCABULARY + 1, EMBEDDING)),  # the last row stands for a place outside the text
         ("into", (2 * REACH * EMBEDDING, HIDDEN)),
         ("bias", (HIDDEN,)),
-        ("klass", (HIDDEN, CLASSES)),
-        ("klass_bias", (CLASSES,)),
-        ("within", (CLASSES, HIDDEN, WITHIN)),
-        ("within_bias", (CLASSES, WITHIN)),
+        ("to_klass", (HIDDEN + 1, CLASSES)),  # the last row is the bias, here and below
+        ("to_token", (CLASSES, HIDDEN + 1, WITHIN)),
     ]
 
 
@@ -82,6 +85,8 @@ class Network:
             n = int(np.prod(shape))
             setattr(self, name, self.flat[at : at + n].reshape(shape))
             at += n
+        self.klass, self.klass_bias = self.to_klass[:HIDDEN], self.to_klass[HIDDEN]
+        self.within, self.within_bias = self.to_token[:, :HIDDEN], self.to_token[:, HIDDEN]
 
     @classmethod
     def size(cls) -> int:
@@ -91,10 +96,9 @@ class Network:
     def fresh(cls, seed: int = 11) -> Network:
         net = cls(np.zeros(cls.size(), np.float32))
         rng = np.random.default_rng(seed)
-        for name, shape in _shapes():
-            if "bias" not in name:
-                scale = 0.1 if name == "embed" else 1.0 / np.sqrt(shape[-2])
-                getattr(net, name)[...] = rng.normal(0.0, scale, shape)
+        for name in ("embed", "into", "klass", "within"):
+            layer = getattr(net, name)
+            layer[...] = rng.normal(0.0, 0.1 if name == "embed" else 1.0 / np.sqrt(layer.shape[-2]), layer.shape)
         return net
 
 
@@ -126,29 +130,49 @@ def _by_class(ids: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
     return order, [(c, slice(s, e)) for c, (s, e) in enumerate(zip([0, *ends], ends, strict=False)) if s < e]
 
 
-def _within(net: Network, h: np.ndarray, parts: list[tuple[int, slice]], x: np.ndarray) -> np.ndarray:
+def _tanh(x: np.ndarray) -> np.ndarray:
+    """tanh in place, as 1 - 2 / (exp(2x) + 1), which takes less time than numpy's."""
+    x += x
+    np.exp(np.minimum(x, 60.0, out=x), out=x)
+    x += 1.0
+    np.divide(-2.0, x, out=x)
+    x += 1.0
+    return x
+
+
+def _hidden(net: Network, x: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The tanh layer over embedded windows x, in h, whose last column is one, for the biases after it."""
+    layer = x @ net.into
+    layer += net.bias
+    h[:, :HIDDEN] = _tanh(layer)
+    h[:, HIDDEN] = 1.0
+    return h
+
+
+def _tokens(net: Network, h: np.ndarray, parts: list[tuple[int, slice]], x: np.ndarray) -> np.ndarray:
     """Each place's logits of the tokens of its class, in x; places stand by class."""
     for c, own in parts:
-        np.matmul(h[own], net.within[c], out=x[own])
-        x[own] += net.within_bias[c]
+        np.dot(h[own], net.to_token[c], out=x[own])
     return x
 
 
 def log_probabilities(net: Network, context: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """log p(id | window) of each place; so many at a time that their arrays stay in a core's cache."""
+    """log p(id | window) of each place; so many at a time that their arrays stay in a core's cache.
+
+    All places stand by class, so that those at a time have few classes, each in one product."""
     out = np.empty(len(ids))
+    order, parts = _by_class(ids)
+    most = min(BATCH, len(ids))
+    held_h, held_x = np.empty((most, HIDDEN + 1), net.flat.dtype), np.empty((most, WITHIN), net.flat.dtype)
     for at in range(0, len(ids), BATCH):
-        order, parts = _by_class(ids[at : at + BATCH])
-        order += at
-        own = ids[order]
-        h = np.take(net.embed, context[order], axis=0).reshape(len(own), -1) @ net.into
-        h += net.bias
-        np.tanh(h, out=h)
-        x = h @ net.klass
-        x += net.klass_bias
+        places = order[at : at + BATCH]
+        own, end = ids[places], at + len(places)
+        here = [(c, slice(max(s.start - at, 0), min(s.stop, end) - at)) for c, s in parts if s.start < end and s.stop > at]
+        h = _hidden(net, np.take(net.embed, context[places], axis=0).reshape(len(own), -1), held_h[: len(own)])
+        x = np.dot(h, net.to_klass, out=held_x[: len(own)])
         logs = _softmax(x, own // WITHIN)[0].astype(np.float64)
-        logs += _softmax(_within(net, h, parts, x), own % WITHIN)[0]
-        out[order] = logs
+        logs += _softmax(_tokens(net, h, here, x), own % WITHIN)[0]
+        out[places] = logs
     return out
 
 
@@ -173,38 +197,32 @@ class Trainer:
         """One step on a batch, of places that count `weight` times (once); gives the mean log-likelihood before it."""
         net, grad, n = self.net, self.grad, len(ids)
         order, parts = _by_class(ids)
-        context, ids, at = context[order], ids[order], np.arange(n)
-        one = np.ones(n, net.flat.dtype)
+        context, ids, at = context[order], ids[order], np.arange(0, n * WITHIN, WITHIN)
         times = np.ones(n, np.float32) if weight is None else weight[order].astype(np.float32)
         grad.flat[:] = 0.0
         x = np.take(net.embed, context, axis=0, out=self._array("x", n, 2 * REACH, EMBEDDING), mode="clip").reshape(n, -1)
-        h = np.matmul(x, net.into, out=self._array("h", n, HIDDEN))
-        h += net.bias
-        np.tanh(h, out=h)
+        h = _hidden(net, x, self._array("h", n, HIDDEN + 1))
 
         def slopes(logits: np.ndarray, own: np.ndarray) -> tuple[float, np.ndarray]:
             logs, d, sums = _softmax(logits, own)
             d *= (-times / sums)[:, None]
-            d[at, own] += times
+            d.reshape(-1)[at + own] += times
             return float(logs @ times.astype(np.float64)), d
 
-        logits = np.matmul(h, net.klass, out=self._array("logits", n, CLASSES))
-        logits += net.klass_bias
-        total, d = slopes(logits, ids // WITHIN)
-        np.matmul(h.T, d, out=grad.klass)
-        np.matmul(one, d, out=grad.klass_bias)
-        dh = np.matmul(d, net.klass.T, out=self._array("dh", n, HIDDEN))
-        more, d = slopes(_within(net, h, parts, self._array("logits", n, WITHIN)), ids % WITHIN)
+        total, d = slopes(np.dot(h, net.to_klass, out=self._array("logits", n, CLASSES)), ids // WITHIN)
+        np.dot(h.T, d, out=grad.to_klass)
+        dh = np.dot(d, net.klass.T, out=self._array("dh", n, HIDDEN))
+        more, d = slopes(_tokens(net, h, parts, self._array("logits", n, WITHIN)), ids % WITHIN)
         total += more
+        dh_token = self._array("dh_token", n, HIDDEN)
         for c, own in parts:
-            part = d[own]
-            np.matmul(h[own].T, part, out=grad.within[c])
-            np.matmul(one[own], part, out=grad.within_bias[c])
-            dh[own] += part @ net.within[c].T
-        h *= h
-        np.subtract(1.0, h, out=h)
-        dh *= h
-        grad.into[...], grad.bias[...] = x.T @ dh, dh.sum(axis=0)
+            np.dot(h[own].T, d[own], out=grad.to_token[c])
+            np.dot(d[own], net.within[c].T, out=dh_token[own])
+        dh += dh_token
+        h = h[:, :HIDDEN]
+        dh *= np.subtract(1.0, np.multiply(h, h, out=dh_token), out=dh_token)
+        np.dot(x.T, dh, out=grad.into)
+        np.sum(dh, axis=0, out=grad.bias)
         dx = np.matmul(net.into, dh.T, out=self._array("dx", 2 * REACH * EMBEDDING, n)).reshape(2 * REACH, EMBEDDING, n)
         flat = context.T.ravel()
         for j in range(EMBEDDING):
@@ -223,23 +241,49 @@ class Trainer:
 # --- over the corpus
 
 
-def vocabulary(docs: DataFrame, text: str = "text") -> list[str]:
-    """The most frequent words of all documents, most frequent first."""
+def runs(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """All documents, some in a row: a hash of key and text each, and their tokens as places in the row's distinct words."""
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.xxhash64(key, text).alias("h"), text_bytes(text).alias("t"))
 
-    def count(batches: Iterator[Batch]) -> Iterator[Batch]:
-        held: Counter[str] = Counter()
+    def cut(batches: Iterator[Batch]) -> Iterator[Batch]:
         for b in batches:
-            for raw in b["t"]:
-                found = tokens(raw)
-                for at in range(0, len(found), 1 << 16):
-                    held.update(found[at : at + (1 << 16)])
-                    if len(held) > 150_000:
-                        yield {"word": list(held), "n": list(held.values())}
-                        held = Counter()
-        yield {"word": list(held), "n": list(held.values())}
-
-    counted = map_batches(docs.select(text_bytes(text).alias("t")), count, "word string, n long")
-    whole = counted.groupBy("word").agg(F.sum("n").alias("n"))
+            start, found, held = 0, [], 0
+            for i, raw in enumerate(b["t"]):
+                found.append(pa.array(tokens(raw), pa.string()))
+                held += len(found[-1])
+                if held >= RUN or i + 1 == len(b["t"]):
+                    coded = pa.chunked_array(found).combine_chunks().dictionary_encode()
+                    at, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+                    yield {
+                        "words": [words],
+                        "n": [np.bincount(at, minlength=len(words))],
+                        "doc_id": [b["k"][start : i + 1]],
+                        "h": [b["h"][start : i + 1]],
+                        "n_tokens": [[len(x) for x in found]],
+                        "places": [at.astype(_width(words)).tobytes()],
+                    }
+                    start, found, held = i + 1, [], 0
+
+    return map_batches(rows, cut, _RUNS)
+
+
+_RUNS = "words array<string>, n array<long>, doc_id array<long>, h array<long>, n_tokens array<long>, places binary"
+
+
+def _width(words: list[str]) -> type:
+    """The places' type: 2 bytes, or 4 where there are too many words."""
+    return np.uint16 if len(words) <= 1 << 16 else np.uint32
+
+
+def vocabulary(docs: DataFrame, text: str = "text", key: str = "doc_id") -> list[str]:
+    """The most frequent words of all documents, most frequent first."""
+    return frequent(runs(docs, text, key))
+
+
+def frequent(cut: DataFrame) -> list[str]:
+    """The same from runs."""
+    counted = cut.select(F.explode(F.arrays_zip("words", "n")).alias("of")).select("of.words", "of.n")
+    whole = counted.groupBy(F.col("words").alias("word")).agg(F.sum("n").alias("n"))
     return [r.word for r in whole.orderBy(F.desc("n"), "word").limit(VOCABULARY - RARE).collect()]
 
 
@@ -256,15 +300,22 @@ def _ids(raw: bytes, number: ByMiss) -> np.ndarray:
 
 def encode(docs: DataFrame, words: list[str], text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, h, ids) of every row: a hash of key and text, and the numbers of the text's tokens, 16 bits each."""
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.xxhash64(key, text).alias("h"), text_bytes(text).alias("t"))
-    sent = docs.sparkSession.sparkContext.broadcast(words)
+    return encode_runs(runs(docs, text, key), words)
+
+
+def encode_runs(cut: DataFrame, words: list[str]) -> DataFrame:
+    """The same from runs."""
+    sent = cut.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[Batch]) -> Iterator[Batch]:
         number = numbering(sent.value)
         for b in batches:
-            yield {"doc_id": b["k"], "h": b["h"], "ids": [_ids(raw, number).tobytes() for raw in b["t"]]}
+            for own, ids, h, lengths, places in zip(b["words"], b["doc_id"], b["h"], b["n_tokens"], b["places"], strict=True):
+                numbers = np.fromiter(map(number.__getitem__, own), np.uint16, len(own))
+                whole = numbers[np.frombuffer(places, _width(own))]
+                yield {"doc_id": ids, "h": h, "ids": [x.tobytes() for x in np.split(whole, np.cumsum(lengths[:-1]))]}
 
-    return map_batches(rows, run, "doc_id long, h long, ids binary")
+    return map_batches(cut.select("words", "doc_id", "h", "n_tokens", "places"), run, "doc_id long, h long, ids binary", 1)
 
 
 def deal(coded: DataFrame, docs_per_trainer: int = DOCS_PER_TRAINER, rounds: int = ROUNDS) -> tuple[DataFrame, int]:
@@ -307,20 +358,28 @@ _SLICES = "node int, slice int, weight double, sums binary"
 def _pass(trainer: Trainer, ids: Iterable[bytes], times: Iterable[int]) -> int:
     """Steps over every token of the encoded texts in random order; gives how many tokens they stand for."""
     rows = [np.frombuffer(i, np.uint16) for i in ids]
-    gap = np.full(REACH, VOCABULARY, np.uint16)  # texts don't see each other
-    wide = np.concatenate([gap, *(x for r in rows for x in (r, gap))])
-    places = np.flatnonzero(wide != VOCABULARY)
+    wide, places = _wide(rows)
     weight = np.repeat(np.fromiter(times, np.int32), [len(r) for r in rows])
     order = np.random.default_rng(len(places)).permutation(len(places))
     batch = min(BATCH, max(64, len(places) // STEPS))
     for s in range(0, len(order), batch):
         at = order[s : s + batch]
         p = places[at]
-        context = np.stack([wide[p + i] for i in range(-REACH, REACH + 1) if i], axis=1)
-        trainer.step(context.astype(np.int64), wide[p].astype(np.int64), weight[at])
+        trainer.step(_windows(wide, p), wide[p].astype(np.int64), weight[at])
     return int(weight.sum(dtype=np.int64))
 
 
+def _wide(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Texts one after another, apart so that they don't see each other, and the places of their tokens."""
+    gap = np.full(REACH, VOCABULARY, np.uint16)
+    wide = np.concatenate([gap, *(x for r in rows for x in (r, gap))])
+    return wide, np.flatnonzero(wide != VOCABULARY)
+
+
+def _windows(wide: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return np.stack([wide[places + i] for i in range(-REACH, REACH + 1) if i], axis=1).astype(np.int64)
+
+
 def _average(taught: DataFrame, nodes: int, before: np.ndarray) -> np.ndarray:
     """Weighted mean of the trainers' parameters, summed by slice in a tree of fan-in _FAN."""
 
@@ -353,34 +412,21 @@ def score_coded(coded: DataFrame, net: Network) -> DataFrame:
     def run(batches: Iterator[Batch]) -> Iterator[Batch]:
         own = Network(sent.value)
         for b in batches:
-            ids = [np.frombuffer(raw, np.uint16).astype(np.int64) for raw in b["ids"]]
-            lengths = np.asarray([len(x) for x in ids])
-            total = np.zeros(len(ids))
-            # short texts share a block; a long one takes several
-            of, context, wanted, held = [], [], [], 0
-            for i, x in enumerate(ids):
-                for s in range(0, len(x), BLOCK):
-                    e = min(len(x), s + BLOCK)
-                    of.append(np.full(e - s, i))
-                    context.append(contexts(x, s, e))
-                    wanted.append(x[s:e])
-                    held += e - s
-                    if held >= BLOCK:
-                        _add(total, own, of, context, wanted)
-                        of, context, wanted, held = [], [], [], 0
-            _add(total, own, of, context, wanted)
+            rows = [np.frombuffer(raw, np.uint16) for raw in b["ids"]]
+            lengths = np.asarray([len(x) for x in rows])
+            wide, places = _wide(rows)
+            of, total = np.repeat(np.arange(len(rows), dtype=np.uint16), lengths), np.zeros(len(rows))
+            for at in range(0, len(places), BLOCK):  # short texts share a block; a long one takes several
+                p = places[at : at + BLOCK]
+                found = log_probabilities(own, _windows(wide, p), wide[p].astype(np.int64))
+                total += np.bincount(of[at : at + BLOCK], weights=found, minlength=len(total))
             yield {"doc_id": b["doc_id"], "n_tokens": lengths, "log_likelihood": total, "perplexity": np.exp(-total / np.maximum(lengths, 1))}
 
     return map_batches(coded.select("doc_id", "ids"), run, SCHEMA)
 
 
-def _add(total: np.ndarray, net: Network, of: list[np.ndarray], context: list[np.ndarray], ids: list[np.ndarray]) -> None:
-    if ids:
-        found = log_probabilities(net, np.concatenate(context), np.concatenate(ids))
-        total += np.bincount(np.concatenate(of), weights=found, minlength=len(total))
-
-
 def pseudo_likelihood(docs: DataFrame, text: str = "text", key: str = "doc_id", **training) -> DataFrame:
     """Count, encode, train and score."""
-    coded = store(encode(docs, vocabulary(docs, text), text, key), "coded")
+    cut = store(runs(docs, text, key), "runs")
+    coded = store(encode_runs(cut, frequent(cut)), "coded")
     return score_coded(coded, train_coded(coded, **training))

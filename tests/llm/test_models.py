@@ -355,3 +355,39 @@ def test_a_training_step_takes_all_classes_at_once(monkeypatch):
     y = np.einsum("nh,nhw->nw", h, one.within[c]) + one.within_bias[c]
     want = sum(z[np.arange(500), at] - np.log(np.exp(z).sum(axis=1)) for z, at in ((x, c), (y, ids % pseudo_lm.WITHIN)))
     assert np.allclose(got[:500], want, rtol=1e-4)
+
+
+def test_texts_are_cut_into_tokens_once(spark, odd_docs, monkeypatch):
+    """Runs hold all tokens of all rows, each word once; words and numbers come from there, whatever the runs' length."""
+    words = ["cat", "la", "the"]
+    want = sorted((str(r.doc_id), pseudo_lm._ids((r.text or "").encode(), pseudo_lm.numbering(words)).tobytes()) for r in odd_docs.collect())
+    n = {}
+    for r in odd_docs.collect():
+        for w in pseudo_lm.tokens((r.text or "").encode()):
+            n[w] = n.get(w, 0) + 1
+    for length in (1, 1 << 19):
+        monkeypatch.setattr(pseudo_lm, "RUN", length)
+        cut = pseudo_lm.runs(odd_docs.coalesce(1)).persist()
+        assert cut.count() == (1 if length > 1 else sum(bool(pseudo_lm.tokens((r.text or "").encode())) for r in odd_docs.collect()))
+        assert all(len(set(r.words)) == len(r.words) for r in cut.collect())
+        assert sorted((str(r.doc_id), bytes(r.ids)) for r in pseudo_lm.encode_runs(cut, words).collect()) == want
+        assert pseudo_lm.frequent(cut) == sorted(n, key=lambda w: (-n[w], w))
+
+
+def test_a_run_of_more_words_than_two_bytes_count(spark):
+    many = [f"w{i}" for i in range((1 << 16) + 5)]
+    docs = spark.createDataFrame([(1, " ".join(many)), (2, many[-1])], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: np.frombuffer(r.ids, np.uint16) for r in pseudo_lm.encode(docs, many[::-1][:100]).collect()}
+    assert got[2].tolist() == [0] and len(got[1]) == len(many) and got[1][-100:].tolist() == list(range(99, -1, -1))
+
+
+def test_scores_take_each_class_of_a_block_in_few_products(monkeypatch):
+    """A class of a block is one product, cut only where a step of BATCH places ends."""
+    parts, inner = [], pseudo_lm._tokens
+    monkeypatch.setattr(pseudo_lm, "_tokens", lambda net, h, own, x: parts.append(len(own)) or inner(net, h, own, x))
+    ids = np.random.default_rng(5).integers(0, pseudo_lm.VOCABULARY, 5 * pseudo_lm.BATCH)
+    net = pseudo_lm.Network.fresh()
+    got = pseudo_lm.log_probabilities(net, pseudo_lm.contexts(ids), ids)
+    assert sum(parts) < pseudo_lm.CLASSES + len(parts)
+    some = np.arange(0, len(ids), 997)
+    assert np.allclose(got[some], pseudo_lm.log_probabilities(net, pseudo_lm.contexts(ids)[some], ids[some]), rtol=1e-5)
