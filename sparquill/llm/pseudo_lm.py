@@ -35,6 +35,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,8 +60,21 @@ _FAN = 64
 SCHEMA = "doc_id long, n_tokens long, log_likelihood double, perplexity double"
 
 
+#: ASCII characters that are tokens of their own; a search for the others.
+MARKS = [c for c in map(chr, range(128)) if not (c.isalnum() or c.isspace() or c == "_")]
+OTHER_MARK = re.compile(r"[^\w\s\x00-\x7f]")
+
+
 def tokens(raw: bytes) -> list[str]:
-    return TOKEN.findall(raw.decode("utf-8", "replace").lower())
+    """TOKEN's matches; setting marks apart by spaces takes less time than matching every token."""
+    text = raw.decode("utf-8", "replace").lower()
+    others = set() if text.isascii() else set(OTHER_MARK.findall(text))
+    if len(others) > len(MARKS):
+        return TOKEN.findall(text)
+    for c in (*MARKS, *others):
+        if c in text:
+            text = text.replace(c, f" {c} ")
+    return text.split()
 
 
 def _shapes() -> list[tuple[str, tuple[int, ...]]]:
@@ -116,7 +130,7 @@ def _softmax(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     """(log-probability of column `at`, exponentials, their sums) of each row; x is used up."""
     if x.size and (top := float(x.max())) > 60.0:  # below that exponentials can't overflow
         x -= top if top - float(x.min()) < 60.0 else x.max(axis=1, keepdims=True)
-    picked = x[np.arange(len(x)), at]
+    picked = x.reshape(-1)[np.arange(0, x.size, x.shape[1]) + at]
     np.exp(x, out=x)
     sums = x @ np.ones(x.shape[1], x.dtype)
     return picked - np.log(sums), x, sums
@@ -199,14 +213,15 @@ class Trainer:
         order, parts = _by_class(ids)
         context, ids, at = context[order], ids[order], np.arange(0, n * WITHIN, WITHIN)
         times = np.ones(n, np.float32) if weight is None else weight[order].astype(np.float32)
+        share = times / times.sum()
         grad.flat[:] = 0.0
         x = np.take(net.embed, context, axis=0, out=self._array("x", n, 2 * REACH, EMBEDDING), mode="clip").reshape(n, -1)
         h = _hidden(net, x, self._array("h", n, HIDDEN + 1))
 
         def slopes(logits: np.ndarray, own: np.ndarray) -> tuple[float, np.ndarray]:
             logs, d, sums = _softmax(logits, own)
-            d *= (-times / sums)[:, None]
-            d.reshape(-1)[at + own] += times
+            d *= (-share / sums)[:, None]
+            d.reshape(-1)[at + own] += share
             return float(logs @ times.astype(np.float64)), d
 
         total, d = slopes(np.dot(h, net.to_klass, out=self._array("logits", n, CLASSES)), ids // WITHIN)
@@ -225,10 +240,12 @@ class Trainer:
         np.sum(dh, axis=0, out=grad.bias)
         dx = np.matmul(net.into, dh.T, out=self._array("dx", 2 * REACH * EMBEDDING, n)).reshape(2 * REACH, EMBEDDING, n)
         flat = context.T.ravel()
+        embed = self._array("embed", EMBEDDING, VOCABULARY + 1)
+        embed[...] = 0.0
         for j in range(EMBEDDING):
-            grad.embed[:, j] = np.bincount(flat, weights=dx[:, j].ravel(), minlength=VOCABULARY + 1)
+            np.add.at(embed[j], flat, dx[:, j].ravel())
+        grad.embed[...] = embed.T
         g, work = grad.flat, self.work
-        g /= times.sum()
         np.multiply(g, g, out=work)
         self.square += work
         np.sqrt(self.square, out=work)
@@ -253,14 +270,14 @@ def runs(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
                 held += len(found[-1])
                 if held >= RUN or i + 1 == len(b["t"]):
                     coded = pa.chunked_array(found).combine_chunks().dictionary_encode()
-                    at, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+                    at, words = coded.indices.to_numpy(), coded.dictionary
                     yield {
-                        "words": [words],
+                        "words": pa.ListArray.from_arrays([0, len(words)], words),
                         "n": [np.bincount(at, minlength=len(words))],
                         "doc_id": [b["k"][start : i + 1]],
                         "h": [b["h"][start : i + 1]],
                         "n_tokens": [[len(x) for x in found]],
-                        "places": [at.astype(_width(words)).tobytes()],
+                        "places": [at.astype(_width(len(words))).tobytes()],
                     }
                     start, found, held = i + 1, [], 0
 
@@ -270,9 +287,9 @@ def runs(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
 _RUNS = "words array<string>, n array<long>, doc_id array<long>, h array<long>, n_tokens array<long>, places binary"
 
 
-def _width(words: list[str]) -> type:
+def _width(words: int) -> type:
     """The places' type: 2 bytes, or 4 where there are too many words."""
-    return np.uint16 if len(words) <= 1 << 16 else np.uint32
+    return np.uint16 if words <= 1 << 16 else np.uint32
 
 
 def vocabulary(docs: DataFrame, text: str = "text", key: str = "doc_id") -> list[str]:
@@ -307,15 +324,29 @@ def encode_runs(cut: DataFrame, words: list[str]) -> DataFrame:
     """The same from runs."""
     sent = cut.sparkSession.sparkContext.broadcast(words)
 
-    def run(batches: Iterator[Batch]) -> Iterator[Batch]:
-        number = numbering(sent.value)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = pa.array(sent.value, pa.string())
         for b in batches:
-            for own, ids, h, lengths, places in zip(b["words"], b["doc_id"], b["h"], b["n_tokens"], b["places"], strict=True):
-                numbers = np.fromiter(map(number.__getitem__, own), np.uint16, len(own))
-                whole = numbers[np.frombuffer(places, _width(own))]
-                yield {"doc_id": ids, "h": h, "ids": [x.tobytes() for x in np.split(whole, np.cumsum(lengths[:-1]))]}
+            for words_of, ids, h, lengths, places in zip(*(b[c] for c in _CODED), strict=True):
+                numbers = _numbers(words_of.values, own)
+                whole = numbers[np.frombuffer(places.as_py(), _width(len(numbers)))]
+                coded = [x.tobytes() for x in np.split(whole, np.cumsum(lengths.values.to_numpy()[:-1]))]
+                yield pa.RecordBatch.from_arrays([ids.values, h.values, pa.array(coded, pa.binary())], ["doc_id", "h", "ids"])
+
+    return cut.select(*_CODED).mapInArrow(run, "doc_id long, h long, ids binary")
+
+
+_CODED = ["words", "doc_id", "h", "n_tokens", "places"]
+
 
-    return map_batches(cut.select("words", "doc_id", "h", "n_tokens", "places"), run, "doc_id long, h long, ids binary", 1)
+def _numbers(words: pa.Array, own: pa.Array) -> np.ndarray:
+    """The number of each word, as by `numbering`."""
+    found = pc.fill_null(pc.index_in(words, value_set=own), -1).to_numpy(zero_copy_only=False)
+    rare = found < 0
+    crc = map(zlib.crc32, words.filter(pa.array(rare)).cast(pa.binary()).to_pylist())
+    numbers = found.astype(np.uint16)
+    numbers[rare] = VOCABULARY - RARE + np.fromiter(crc, np.int64, int(rare.sum())) % RARE
+    return numbers
 
 
 def deal(coded: DataFrame, docs_per_trainer: int = DOCS_PER_TRAINER, rounds: int = ROUNDS) -> tuple[DataFrame, int]:
@@ -359,13 +390,15 @@ def _pass(trainer: Trainer, ids: Iterable[bytes], times: Iterable[int]) -> int:
     """Steps over every token of the encoded texts in random order; gives how many tokens they stand for."""
     rows = [np.frombuffer(i, np.uint16) for i in ids]
     wide, places = _wide(rows)
-    weight = np.repeat(np.fromiter(times, np.int32), [len(r) for r in rows])
+    times = np.fromiter(times, np.int32)
+    weight = np.repeat(times, [len(r) for r in rows])
+    repeated = (times != 1).any()
     order = np.random.default_rng(len(places)).permutation(len(places))
     batch = min(BATCH, max(64, len(places) // STEPS))
     for s in range(0, len(order), batch):
         at = order[s : s + batch]
         p = places[at]
-        trainer.step(_windows(wide, p), wide[p].astype(np.int64), weight[at])
+        trainer.step(_windows(wide, p), wide[p].astype(np.int64), weight[at] if repeated else weight[: len(at)])  # all are one
     return int(weight.sum(dtype=np.int64))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -391,3 +392,16 @@ def test_scores_take_each_class_of_a_block_in_few_products(monkeypatch):
     assert sum(parts) < pseudo_lm.CLASSES + len(parts)
     some = np.arange(0, len(ids), 997)
     assert np.allclose(got[some], pseudo_lm.log_probabilities(net, pseudo_lm.contexts(ids)[some], ids[some]), rtol=1e-5)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text() | st.text(st.sampled_from("aZé_9 \n\x1c\x85 .,!«»\x00你—'")) | st.text(st.characters(categories=["So", "Po"]), min_size=150))
+def test_marks_set_apart_are_the_pattern_s_tokens(text):
+    raw = text.encode("utf-8", "replace")
+    assert pseudo_lm.tokens(raw) == pseudo_lm.TOKEN.findall(raw.decode("utf-8", "replace").lower())
+
+
+def test_words_are_numbered_in_an_array_as_one_by_one():
+    own, words = ["b", "été", "a"], ["a", "x", "été", "你好", "b", ""]
+    got = pseudo_lm._numbers(pa.array(words), pa.array(own))
+    assert got.dtype == np.uint16 and got.tolist() == [pseudo_lm.numbering(own)[w] for w in words]
